@@ -9,7 +9,7 @@ need no further shuffle and no second fit.
 from pyspark.sql import functions as F
 
 from lunario.operators.panel import FINAL
-from lunario.operators.scoring import abs_error, finite, percent_error
+from lunario.operators.scoring import abs_error, finite, percent_error, score_order
 
 PREDICTIONS = "array<struct<ds:date,y:double,yhat:double>>"
 
@@ -69,7 +69,7 @@ def choose(records, keys=("series",)):
         F.flatten(F.collect_list(F.when(validating, tagged))).alias("validation"),
         F.first(F.when(~validating, F.col("predictions")), ignorenulls=True).alias("forecast"),
     )
-    order = F.struct(F.coalesce(F.col("mape"), F.lit(float("inf"))), F.col("param_id"))
+    order = F.struct(score_order(F.col("mape")), F.col("param_id"))
     fields = ["param_id", "mape", "mae", "n_folds", "validation", "forecast"]
     return (
         per_set.groupBy(*keys)

@@ -53,6 +53,15 @@ def score_join(actual, predicted, keys=("series", "fold_id", "param_id")):
     return actual.join(predicted, [*on, "ds"])
 
 
+def score_order(score):
+    """Order of a score: unscored last, differences below 1e-9 count as ties.
+
+    Without the rounding, sets with equal predictions would be ranked by
+    floating-point noise.
+    """
+    return F.coalesce(F.round(finite(score), 9), F.lit(float("inf")))
+
+
 def fold_mean(scores, keys=("series",)):
     """Unweighted mean over folds for each parameter set."""
     return scores.groupBy(*keys, "param_id").agg(
@@ -68,7 +77,7 @@ def best_params(means, keys=("series",)):
     A set without a score loses to any scored one and is only chosen when no
     set of that series has a score.
     """
-    order = F.struct(F.coalesce(finite(F.col("mape")), F.lit(float("inf"))), F.col("param_id"))
+    order = F.struct(score_order(F.col("mape")), F.col("param_id"))
     rest = [c for c in means.columns if c not in keys]
     return (
         means.groupBy(*keys)
@@ -79,7 +88,7 @@ def best_params(means, keys=("series",)):
 
 def rank_params(means, keys=("series",)):
     """Rank of each parameter set, unscored sets last, ties in parameter order."""
-    order = Window.partitionBy(*keys).orderBy(finite(F.col("mape")).asc_nulls_last(), "param_id")
+    order = Window.partitionBy(*keys).orderBy(score_order(F.col("mape")), "param_id")
     return means.withColumn("rank", F.row_number().over(order))
 
 

@@ -1,6 +1,6 @@
 """All named queries."""
 
-from lunario.plans import file_queries, text_queries  # noqa: F401  (register on import)
+from lunario.plans import file_queries, model_queries, panel_queries, text_queries  # noqa: F401  (register on import)
 from lunario.plans.registry import ORACLES, QUERIES
 
 

@@ -47,6 +47,11 @@ def spine(end=None):
   FROM months m LEFT JOIN panel p ON p.series = m.series AND p.ds = m.ds)"""
 
 
+def signed(expression, name, places=4):
+    """Rounded value without a negative zero."""
+    return f"CASE WHEN abs({expression}) < 0.5e-{places} THEN 0 ELSE round({expression}, {places}) END AS {name}"
+
+
 PLUS_12 = "CAST(last_ds + INTERVAL 12 MONTH AS DATE)"
 
 
@@ -111,7 +116,7 @@ SCORES = f"""scores AS (
 MEANS = """means AS (
   SELECT series, param_id, avg(mape) AS mape, avg(mae) AS mae, count(*) AS n_folds
   FROM scores GROUP BY 1, 2), ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY series ORDER BY mape NULLS LAST, param_id) AS rank
+  SELECT *, row_number() OVER (PARTITION BY series ORDER BY round(mape, 9) NULLS LAST, param_id) AS rank
   FROM means), best AS (SELECT * FROM ranked WHERE rank = 1)"""
 
 
