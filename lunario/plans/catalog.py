@@ -1,6 +1,12 @@
 """All named queries."""
 
-from lunario.plans import file_queries, model_queries, panel_queries, text_queries  # noqa: F401  (register on import)
+from lunario.plans import (  # noqa: F401  (register on import)
+    file_queries,
+    model_queries,
+    panel_queries,
+    regression_queries,
+    text_queries,
+)
 from lunario.plans.registry import ORACLES, QUERIES
 
 

@@ -165,11 +165,13 @@ def solved(source, p, ridge):
     return f"""cells AS (
   SELECT series, fold_id, param_id, i.i AS i, j.j AS j,
          sum(x[i.i] * x[j.j]) + CASE WHEN i.i = j.j THEN {diagonal}[i.i] ELSE 0 END AS g
-  FROM {source}, range(1, {p + 1}) AS i(i), range(1, {p + 1}) AS j(j) GROUP BY ALL
+  FROM {source}, range(1, {p + 1}) AS i(i), range(1, {p + 1}) AS j(j)
+  GROUP BY series, fold_id, param_id, i.i, j.j
   UNION ALL
   SELECT series, fold_id, param_id, i.i, {p + 1}, sum(x[i.i] * v)
-  FROM {source}, range(1, {p + 1}) AS i(i) GROUP BY ALL), lines AS (
-  SELECT series, fold_id, param_id, i, list(g ORDER BY j) AS line FROM cells GROUP BY ALL), eliminated AS (
+  FROM {source}, range(1, {p + 1}) AS i(i) GROUP BY series, fold_id, param_id, i.i), lines AS (
+  SELECT series, fold_id, param_id, i, list(g ORDER BY j) AS line FROM cells
+  GROUP BY series, fold_id, param_id, i), eliminated AS (
   SELECT series, fold_id, param_id, CAST(0 AS BIGINT) AS k, list(line ORDER BY i) AS m
   FROM lines GROUP BY series, fold_id, param_id
   UNION ALL
