@@ -7,7 +7,7 @@ from lunario.fixed import DECOMPOSED_GRID
 from lunario.operators.decompose import deseasonalize, detrend_quadratic, solve_symmetric_3, train_rows
 from lunario.operators.grid import with_params
 from lunario.operators.models.least_squares import fit
-from lunario.operators.models.records import PREDICTIONS, with_errors
+from lunario.operators.models.records import PREDICTIONS, by_series, with_errors
 from lunario.operators.models.trend_season import recursive_values
 from lunario.operators.panel import ar_lags
 
@@ -48,11 +48,9 @@ def decomposed_ar(rows, grid=DECOMPOSED_GRID, keys=("series",)):
     )
     most = max(grid["lags"])
     lagged = ar_lags(scaled.withColumn("z_known", F.coalesce("target", F.lit(0.0))), most, "z_known", by)
-    designed = with_params(lagged, grid)
     usable = train & (F.col("t") >= F.col("start_idx") + F.col("lags"))
-    terms = [F.lit(1.0)] + [
-        F.when(F.col("lags") >= k, F.col(f"lag_{k}")).otherwise(0.0) for k in range(1, most + 1)
-    ]
+    designed = with_params(lagged, grid).withColumn("usable", usable)
+    terms = ["1D"] + [f"if(lags >= {k}, lag_{k}, 0D)" for k in range(1, most + 1)]
     later = F.col("part") != "train"
     level = (F.col("trend") + F.col("season")).alias("level")
     recent = F.col("t") >= F.col("start_idx") + F.col("train_n") - most
@@ -67,7 +65,7 @@ def decomposed_ar(rows, grid=DECOMPOSED_GRID, keys=("series",)):
         F.first("scale").alias("scale"),
     ]
     fitted = fit(
-        designed, [*keys, "fold_id", "param_id"], terms, F.col("target"), usable, [0.0] * len(terms), gather
+        designed, [*keys, "fold_id", "param_id"], terms, "target", "usable", [0.0] * len(terms), gather
     )
     base = F.transform("steps", lambda r: F.get(F.col("coef"), F.lit(0)))
     # short windows: lags a parameter set does not use may lie before the first row
@@ -80,5 +78,4 @@ def decomposed_ar(rows, grid=DECOMPOSED_GRID, keys=("series",)):
             r["ds"].alias("ds"), r["y"].alias("y"), (v * F.col("scale") + r["level"]).alias("yhat")
         ),
     )
-    records = with_errors(valued.withColumn("predictions", points.cast(PREDICTIONS)))
-    return records.select(*keys, "param_id", "fold_id", "n", "mape", "mae", "mse", "predictions")
+    return by_series(with_errors(valued.withColumn("predictions", points.cast(PREDICTIONS))), keys)

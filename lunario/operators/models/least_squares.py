@@ -1,9 +1,9 @@
-"""Many regressions in one job: Spark sums the moments, a small solve follows.
+"""Many regressions in one job.
 
-For each (series, fold, parameter set) one grouped aggregate adds up all
-products ``x_i * x_j`` and ``x_i * y`` over the training rows and gathers the
-few rows to predict. The rows are already partitioned by series, so this needs
-no shuffle. Only the p x p solve runs in Python, vectorised over models.
+Design columns are Spark expressions. Each (series, fold, parameter set) then
+gathers its training rows; at most one row per month, so a group is short by
+construction. The rows are already partitioned by series, so this needs no
+shuffle. Only the p x p solve runs in Python, on Arrow batches of fits.
 """
 
 import numpy as np
@@ -18,20 +18,20 @@ def dot(x, y):
     return F.aggregate(F.zip_with(x, y, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
 
 
-def normal_solver(p, ridge):
-    """Vectorised solve of the normal equations with per-column ridge terms."""
-    upper = np.triu_indices(p)
-    diagonal = np.diag(np.asarray(ridge, dtype=float))
+def ridge_solver(ridge):
+    """Least squares with one ridge term per column, for a batch of fits."""
+    p, diagonal = len(ridge), np.diag(np.asarray(ridge, dtype=float))
 
     @F.pandas_udf("array<double>")
-    def solve(gram: pd.Series, moment: pd.Series) -> pd.Series:
-        packed = np.array(gram.tolist(), dtype=float).reshape(len(gram), -1)
-        matrices = np.zeros((len(gram), p, p))
-        matrices[:, upper[0], upper[1]] = packed
-        matrices[:, upper[1], upper[0]] = packed
-        right = np.array(moment.tolist(), dtype=float).reshape(len(gram), p, 1)
-        solved = np.linalg.solve(matrices + diagonal, right)[:, :, 0]
-        return pd.Series(list(solved))
+    def solve(design: pd.Series, values: pd.Series) -> pd.Series:
+        coefs = []
+        for x, y in zip(design, values):
+            if len(y) == 0:
+                coefs.append(None)
+                continue
+            x = np.asarray(x, dtype=float).reshape(-1, p)
+            coefs.append(np.linalg.solve(x.T @ x + diagonal, x.T @ np.asarray(y, dtype=float)))
+        return pd.Series(coefs)
 
     return solve
 
@@ -39,29 +39,15 @@ def normal_solver(p, ridge):
 def fit(rows, by, terms, target, usable, ridge, gather):
     """Coefficients per group.
 
-    ``terms`` are the design columns (doubles), ``target`` the regressand,
-    ``usable`` the training condition, ``ridge`` one penalty per term and
-    ``gather`` further aggregates to keep beside the coefficients. Groups
-    without usable rows get null coefficients.
+    ``terms`` are the design columns and ``target`` the regressand (SQL
+    expressions), ``usable`` a boolean column marking training rows. ``ridge``
+    has one penalty per term and ``gather`` further aggregates to keep.
+    Returns the groups with ``train`` (x, v and month of the training rows)
+    and ``coef``; groups without usable rows get null coefficients.
     """
-    p = len(terms)
-    names = [f"x{i}" for i in range(p)]
-    kept = [c for c in rows.columns]
-    masked = rows.select(
-        *kept,
-        *[F.when(usable, x.cast("double")).otherwise(0.0).alias(n) for n, x in zip(names, terms)],
-        F.when(usable, target).otherwise(0.0).alias("xy"),
-        usable.alias("used"),
+    design = f"struct(array({', '.join(terms)}) AS x, CAST({target} AS DOUBLE) AS v, month(ds) AS month)"
+    gathered = rows.groupBy(*by).agg(
+        F.collect_list(F.expr(f"if({usable}, {design}, NULL)")).alias("train"), *gather
     )
-    products = [F.sum(F.col(names[i]) * F.col(names[j])) for i in range(p) for j in range(i, p)]
-    moments = [F.sum(F.col(n) * F.col("xy")) for n in names]
-    summed = masked.groupBy(*by).agg(
-        F.count_if("used").alias("train_rows"),
-        F.array(*products).alias("gram"),
-        F.array(*moments).alias("moment"),
-        *gather,
-    )
-    solve = normal_solver(p, [BASE_RIDGE + r for r in ridge])
-    return summed.withColumn(
-        "coef", F.when(F.col("train_rows") > 0, solve("gram", "moment"))
-    ).drop("gram", "moment")
+    solve = ridge_solver([BASE_RIDGE + r for r in ridge])
+    return gathered.withColumn("coef", solve(F.flatten("train.x"), F.col("train.v")))

@@ -46,6 +46,16 @@ def records_from_rows(predicted, keys=("series",)):
     )
 
 
+def by_series(records, keys=("series",)):
+    """Records brought together by series after the Python solve.
+
+    The solve hides the partitioning, so without this each later grouping
+    would shuffle on its own; records are small by now.
+    """
+    fields = ["param_id", "fold_id", "n", "mape", "mae", "mse", "predictions"]
+    return records.select(*keys, *fields).repartition(*keys)
+
+
 def scores(records):
     """Fold scores without the predictions; the final fit has none."""
     return records.where(F.col("fold_id") != FINAL).drop("predictions")

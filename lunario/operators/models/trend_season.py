@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from lunario.fixed import TREND_SEASON_GRID
 from lunario.operators.grid import with_params
 from lunario.operators.models.least_squares import dot, fit
-from lunario.operators.models.records import PREDICTIONS, with_errors
+from lunario.operators.models.records import PREDICTIONS, by_series, with_errors
 from lunario.operators.panel import ar_lags, carry_forward
 
 FOURIER_ORDER = 6
@@ -23,32 +23,26 @@ CHANGEPOINT_RANGE = 0.8
 CHANGEPOINT_RIDGE = 1e-6
 
 
-def scaled_time():
-    """0 at the first, 1 at the last training month; beyond 1 afterwards."""
-    return (F.col("t") - F.col("start_idx")) / F.greatest(F.col("train_n") - 1, F.lit(1)).cast("double")
-
-
-def trend_terms(s, grid):
+def trend_terms(grid):
     """Trend columns shared by all parameter sets; unused ones are zero."""
     most = max(grid["n_changepoints"])
-    k = F.col("n_changepoints")
-    terms, ridge = [F.lit(1.0), s], [0.0, 0.0]
-    knots = [(j, CHANGEPOINT_RANGE * j / (k + 1)) for j in range(1, most + 1)]
-    for j, knot in knots:
-        terms.append(F.when(k >= j, F.greatest(s - knot, F.lit(0.0))).otherwise(0.0))
+    knots = [f"({CHANGEPOINT_RANGE * j} / (n_changepoints + 1))" for j in range(1, most + 1)]
+    terms = ["1D", "s"]
+    terms += [
+        f"if(n_changepoints >= {j}, greatest(s - {knot}, 0D), 0D)" for j, knot in enumerate(knots, start=1)
+    ]
     if "discontinuous" in grid["growth"]:
-        jumps = F.col("growth") == "discontinuous"
-        for j, knot in knots:
-            terms.append(F.when(jumps & (k >= j) & (s >= knot), 1.0).otherwise(0.0))
-    ridge += [CHANGEPOINT_RIDGE] * (len(terms) - 2)
-    return terms, ridge
+        terms += [
+            f"if(growth = 'discontinuous' AND n_changepoints >= {j} AND s >= {knot}, 1D, 0D)"
+            for j, knot in enumerate(knots, start=1)
+        ]
+    return terms, [0.0, 0.0] + [CHANGEPOINT_RIDGE] * (len(terms) - 2)
 
 
-def season_terms(month):
-    angle = month * (2.0 * math.pi / 12.0)
-    cosines = [F.cos(angle * k) for k in range(1, FOURIER_ORDER + 1)]
-    sines = [F.sin(angle * k) for k in range(1, FOURIER_ORDER)]
-    return cosines + sines
+def season_terms():
+    angle = 2.0 * math.pi / 12.0
+    cosines = [f"cos({angle * k}D * month)" for k in range(1, FOURIER_ORDER + 1)]
+    return cosines + [f"sin({angle * k}D * month)" for k in range(1, FOURIER_ORDER)]
 
 
 def fit_trend_season(rows, grid=TREND_SEASON_GRID, lags=0, keys=("series",)):
@@ -64,29 +58,26 @@ def fit_trend_season(rows, grid=TREND_SEASON_GRID, lags=0, keys=("series",)):
     if lags:
         known = ar_lags(known, lags, "y_known", by)
     lag_names = [f"lag_{k}" for k in range(1, lags + 1)]
-    train = (F.col("part") == "train") & F.col("y").isNotNull()
-    scale = F.avg(F.when(train, F.abs("y"))).over(Window.partitionBy(*by))
-    scaled = known.withColumn("scale", F.when(scale > 0, scale).otherwise(1.0)).withColumns(
-        {
-            "s": scaled_time(),
-            "target": F.col("y") / F.col("scale"),
-            "month": F.month("ds"),
-            **{n: F.col(n) / F.col("scale") for n in lag_names},
-        }
+    train = "part = 'train' AND y IS NOT NULL"
+    scale = F.avg(F.expr(f"if({train}, abs(y), NULL)")).over(Window.partitionBy(*by))
+    scaled = known.withColumn("scale", F.when(scale > 0, scale).otherwise(1.0)).select(
+        *by, "part", "t", "ds", "y", "scale", "start_idx", "train_n",
+        F.month("ds").alias("month"),
+        # 0 at the first, 1 at the last training month; beyond 1 afterwards
+        F.expr("(t - start_idx) / greatest(train_n - 1, 1)").alias("s"),
+        F.expr("y / scale").alias("target"),
+        F.expr("y_known / scale").alias("v_known"),
+        F.expr(" AND ".join([train, *[f"{n} IS NOT NULL" for n in lag_names]])).alias("usable"),
+        *[(F.col(n) / F.col("scale")).alias(n) for n in lag_names],
     )
-    trend, ridge = trend_terms(F.col("s"), grid)
-    season = season_terms(F.col("month"))
+    trend, ridge = trend_terms(grid)
+    season = season_terms()
     # time terms become columns first, so the aggregate refers to plain doubles
     count = len(trend) + len(season)
     time_names = [f"d{i}" for i in range(count)]
-    designed = with_params(scaled, grid).select(
-        *keys, "fold_id", "param_id", "seasonality_mode", "part", "t", "ds", "y", "month", "scale", "target",
-        "y_known", "start_idx", "train_n", *lag_names,
-        *[x.cast("double").alias(n) for n, x in zip(time_names, trend + season)],
+    designed = with_params(scaled, grid).selectExpr(
+        "*", *[f"{term} AS {name}" for name, term in zip(time_names, trend + season)]
     )
-    usable = train
-    for name in lag_names:
-        usable = usable & F.col(name).isNotNull()
     later = F.col("part") != "train"
     time_array = F.array(*time_names)
     gather = [
@@ -102,23 +93,15 @@ def fit_trend_season(rows, grid=TREND_SEASON_GRID, lags=0, keys=("series",)):
         recent = F.col("t") >= F.col("start_idx") + F.col("train_n") - lags
         seed = F.when(
             (F.col("part") == "train") & recent,
-            F.struct("t", (F.col("y_known") / F.col("scale")).alias("v")),
+            F.struct("t", F.col("v_known").alias("v")),
         )
         gather.append(F.sort_array(F.collect_list(seed), asc=False).alias("seed"))
-    if "multiplicative" in grid["seasonality_mode"]:
-        ratio_row = F.struct(
-            "month", "target",
-            F.slice(time_array, 1, len(trend)).alias("x"),
-            (F.array(*lag_names) if lags else F.array().cast("array<double>")).alias("lags"),
-        )
-        wanted = usable & (F.col("seasonality_mode") == "multiplicative")
-        gather.append(F.collect_list(F.when(wanted, ratio_row)).alias("fitted"))
     fitted = fit(
         designed,
         [*keys, "fold_id", "param_id"],
-        [F.col(n) for n in [*time_names, *lag_names]],
-        F.col("target"),
-        usable,
+        [*time_names, *lag_names],
+        "target",
+        "usable",
         ridge + [0.0] * (len(season) + lags),
         gather,
     )
@@ -130,25 +113,38 @@ def fit_trend_season(rows, grid=TREND_SEASON_GRID, lags=0, keys=("series",)):
         }
     )
     if "multiplicative" in grid["seasonality_mode"]:
-        fitted = fitted.withColumn("ratio", _month_ratios(lags)).drop("fitted")
-    return fitted
+        fitted = fitted.withColumn("ratio", F.when(F.col("mode") == "multiplicative", month_ratios(count, lags)))
+    return fitted.drop("train")
 
 
-def _month_ratios(lags):
-    """Mean of (value less its autoregressive part) over trend, by calendar month."""
+def month_ratios(count, lags):
+    """Mean of (value less its autoregressive part) over trend, by calendar month.
 
-    def ratio(r):
-        rest = r["target"] - dot(r["lags"], F.col("lag_coef")) if lags else r["target"]
-        return F.try_divide(rest, dot(r["x"], F.col("trend_coef")))
+    One pass over the training rows with twelve running sums; a month without
+    rows has ratio one.
+    """
 
-    rows = F.transform("fitted", lambda r: F.struct(r["month"].alias("m"), ratio(r).alias("q")))
+    def ratio(r):
+        rest = r["v"] - dot(F.slice(r["x"], count + 1, lags), F.col("lag_coef")) if lags else r["v"]
+        width = F.size("trend_coef")
+        return F.try_divide(rest, dot(F.slice(r["x"], F.lit(1), width), F.col("trend_coef")))
+
+    rows = F.transform("train", lambda r: F.struct(r["month"].alias("m"), ratio(r).alias("q")))
+    empty = F.array_repeat(F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n")), 12)
+
+    def add(sums, r):
+        return F.transform(
+            sums,
+            lambda a, i: F.when(
+                (i + 1 == r["m"]) & r["q"].isNotNull(),
+                F.struct((a["s"] + r["q"]).alias("s"), (a["n"] + 1).alias("n")),
+            ).otherwise(a),
+        )
 
-    def mean_of(month):
-        inside = F.filter(rows, lambda r: (r["m"] == month) & r["q"].isNotNull())
-        total = F.aggregate(inside, F.lit(0.0), lambda s, r: s + r["q"])
-        return F.when(F.size(inside) > 0, total / F.size(inside)).otherwise(1.0)
+    def finish(sums):
+        return F.transform(sums, lambda a: F.when(a["n"] > 0, a["s"] / a["n"]).otherwise(1.0))
 
-    return F.transform(F.sequence(F.lit(1), F.lit(12)), mean_of)
+    return F.aggregate(rows, empty, add, finish)
 
 
 def recursive_values(base, seed, lag_coef):
@@ -169,18 +165,16 @@ def recursive_values(base, seed, lag_coef):
 def predict(fitted, grid, lags):
     """Fold records from fitted rows."""
     steps = F.col("steps")
-    additive = lambda r: dot(r["x"], F.col("time_coef"))
-    value = additive
+    values = F.transform(steps, lambda r: dot(r["x"], F.col("time_coef")))
     if "multiplicative" in grid["seasonality_mode"]:
         width = F.size("trend_coef")
-
-        def value(r):
-            trend = dot(F.slice(r["x"], F.lit(1), width), F.col("trend_coef"))
-            return F.when(
-                F.col("mode") == "multiplicative", trend * F.get(F.col("ratio"), r["month"] - 1)
-            ).otherwise(additive(r))
-
-    based = fitted.withColumn("base", F.transform(steps, value))
+        trend = F.transform(steps, lambda r: dot(F.slice(r["x"], F.lit(1), width), F.col("trend_coef")))
+        # steps are consecutive months, so their ratios are a run of the yearly cycle
+        first, count = F.get(steps, F.lit(0))["month"], F.size(steps)
+        cycle = F.flatten(F.array_repeat(F.col("ratio"), F.ceil(count / 12).cast("int") + 1))
+        scaled = F.zip_with(trend, F.slice(cycle, first, count), lambda g, q: g * q)
+        values = F.when(F.col("mode") == "multiplicative", scaled).otherwise(values)
+    based = fitted.withColumn("base", values)
     if lags:
         seed = F.transform("seed", lambda s: s["v"])
         based = based.withColumn("values", recursive_values(F.col("base"), seed, F.col("lag_coef")))
@@ -196,5 +190,4 @@ def predict(fitted, grid, lags):
 
 def trend_season(rows, grid=TREND_SEASON_GRID, lags=0, keys=("series",)):
     """Fold records of the trend + season (+ autoregression) model."""
-    records = predict(fit_trend_season(rows, grid, lags, keys), grid, lags)
-    return records.select(*keys, "param_id", "fold_id", "n", "mape", "mae", "mse", "predictions")
+    return by_series(predict(fit_trend_season(rows, grid, lags, keys), grid, lags), keys)

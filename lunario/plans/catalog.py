@@ -1,6 +1,7 @@
 """All named queries."""
 
 from lunario.plans import (  # noqa: F401  (register on import)
+    export_queries,
     file_queries,
     model_queries,
     panel_queries,

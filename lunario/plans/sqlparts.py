@@ -90,12 +90,12 @@ def rolling(train, val, step, final=False):
 TREND_MONTH = """grid AS (
   SELECT * FROM (VALUES (0, 'linear', 'additive'), (1, 'linear', 'multiplicative'),
                         (2, 'flat', 'additive'), (3, 'flat', 'multiplicative'))
-           AS g(param_id, growth, seasonality_mode)), coefs AS (
+           AS g(param_id, growth, seasonality_mode)), lines_fit AS (
   SELECT series, fold_id, regr_slope(y, t) AS slope, regr_intercept(y, t) AS intercept, avg(y) AS level
   FROM fold_rows WHERE part = 'train' AND y IS NOT NULL GROUP BY 1, 2), trended AS (
   SELECT r.*, g.*, c.slope, c.intercept, c.level,
          CASE WHEN growth = 'linear' THEN intercept + slope * t ELSE level END AS trend
-  FROM fold_rows r JOIN coefs c USING (series, fold_id) CROSS JOIN grid g), effects AS (
+  FROM fold_rows r JOIN lines_fit c USING (series, fold_id) CROSS JOIN grid g), effects AS (
   SELECT series, fold_id, param_id, month(ds) AS m,
          avg(CASE WHEN seasonality_mode = 'additive' THEN y - trend ELSE y / trend END) AS effect
   FROM trended WHERE part = 'train' AND y IS NOT NULL GROUP BY 1, 2, 3, 4), predicted AS (
