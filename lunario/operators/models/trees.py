@@ -77,7 +77,7 @@ def panel_trees(rows, grid=DEFAULT_GRID, keys=("series",), seed=11, min_gain=0.0
     names, sets = grid_rows(grid)
     ids = {tuple(row): i for i, row in enumerate(sets)}
     counts = set(grid["n_estimators"])
-    table = written(tree_features(rows, keys), "tree_features")
+    table = written(tree_features(rows, keys), "tree_features", ["fold_id"])
     features = VectorAssembler(inputCols=FEATURES, outputCol="features", handleInvalid="skip").transform(table)
     folds = [r[0] for r in table.select("fold_id").distinct().orderBy("fold_id").toLocalIterator()]
     predicted = None

@@ -118,16 +118,27 @@ def stack_models(*frames):
     return stacked
 
 
-def with_intervals(forecasts, residuals, low=0.1, high=0.9, keys=("series", "step")):
-    """Add ``lower`` and ``upper`` from the spread of fold residuals per step.
+def with_intervals(predicted, low=0.1, high=0.9, keys=("series",)):
+    """Future rows with ``lower`` and ``upper`` from fold residuals at the same step.
 
-    Steps without residuals keep null bounds.
+    ``predicted`` holds validation and future rows of one parameter set; the
+    step counts months since the end of training. Steps without residuals keep
+    null bounds. Residuals of a step are as few as there are folds.
     """
-    spread = residuals.groupBy(*keys).agg(
-        F.percentile("residual", low).alias("low"), F.percentile("residual", high).alias("high")
+    step = F.col("t") - F.col("start_idx") - F.col("train_n")
+    same_step = Window.partitionBy(*keys, "step")
+    residual = F.when(F.col("part") == "val", F.col("y") - F.col("yhat"))
+    spread = (
+        predicted.where("part <> 'train'")
+        .withColumns({"step": step, "residual": residual})
+        .select(
+            "*",
+            F.percentile("residual", low).over(same_step).alias("low"),
+            F.percentile("residual", high).over(same_step).alias("high"),
+        )
     )
-    return forecasts.join(spread, list(keys), "left").select(
-        *forecasts.columns,
+    return spread.where("part = 'future'").select(
+        *predicted.columns,
         (F.col("yhat") + F.col("low")).alias("lower"),
         (F.col("yhat") + F.col("high")).alias("upper"),
     )

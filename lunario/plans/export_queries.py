@@ -8,14 +8,17 @@ from lunario.operators.models.autoregression import decomposed_ar
 from lunario.operators.models.trend_month import fit_trend_month, trend_month
 from lunario.plans import sqlparts as sql
 from lunario.plans.forecasting import forecast_all, publish
-from lunario.plans.frames import SEGMENTS, file_cells, panel_5, panel_25
-from lunario.plans.model_queries import HELD, HOLDOUT, fold_rows, none_held
+from lunario.plans.frames import SEGMENTS, file_cells, panel_5
+from lunario.plans.model_queries import HELD, HOLDOUT, none_held, shared_panel, split
 from lunario.plans.regression_queries import decomposed_sql
 from lunario.plans.registry import query, rounded
 from lunario.session import written
 
 # Two closed-form models stand for two forecasting models of the same series.
-PAIR = {"NP": 0, "LSTM": 1}
+PAIR = {
+    "NP": {"growth": ["linear"], "seasonality_mode": ["additive"]},
+    "LSTM": {"growth": ["linear"], "seasonality_mode": ["multiplicative"]},
+}
 PAIR_SQL = "(VALUES ('NP', 0), ('LSTM', 1)) AS m(model, id)"
 HELD_5 = sql.tuned(sql.PANEL_5, sql.holdout(12, final=True))
 STACKED = f"""stacked AS (
@@ -23,21 +26,21 @@ STACKED = f"""stacked AS (
   WHERE fold_id = -1 AND part = 'future')"""
 
 
-def stacked(spark, sf, source=panel_25):
+def stacked(monthly):
     """Final forecasts of both models in one frame."""
-    rows = fit_trend_month(fold_rows(spark, sf, none_held, final=True, source=source)).where("part = 'future'")
+    rows = split(monthly, none_held, final=True)
     frames = [
-        rows.where(F.col("param_id") == i).select("series", "ds", "yhat").withColumn("model", F.lit(m))
-        for m, i in PAIR.items()
+        fit_trend_month(rows, sets).where("part = 'future'").select("series", "ds", "yhat").withColumn("model", F.lit(m))
+        for m, sets in PAIR.items()
     ]
     return scoring.stack_models(*frames)
 
 
-def errors(spark, sf, source=panel_25):
+def errors(monthly):
     """Holdout errors of both models per series."""
-    held = records.scores(trend_month(fold_rows(spark, sf, HOLDOUT, source=source)))
-    model = F.when(F.col("param_id") == PAIR["NP"], "NP").when(F.col("param_id") == PAIR["LSTM"], "LSTM")
-    return held.withColumn("model", model).where("model is not null")
+    rows = split(monthly, HOLDOUT)
+    frames = [records.scores(trend_month(rows, sets)).withColumn("model", F.lit(m)) for m, sets in PAIR.items()]
+    return scoring.stack_models(*frames)
 
 
 @query(
@@ -46,7 +49,7 @@ def errors(spark, sf, source=panel_25):
 SELECT model, series, strftime(ds, '%Y-%m') AS ds, round(yhat, 4) AS yhat FROM stacked""",
 )
 def stack_models(spark, sf):
-    return rounded(stacked(spark, sf), "yhat")
+    return rounded(stacked(shared_panel(spark, sf)), "yhat")
 
 
 @query(
@@ -56,7 +59,7 @@ SELECT series, strftime(ds, '%Y-%m') AS ds, round(avg(yhat), 4) AS yhat, count(*
 FROM stacked GROUP BY series, stacked.ds HAVING count(DISTINCT model) >= 2""",
 )
 def ensemble_mean(spark, sf):
-    return rounded(scoring.ensemble_mean(stacked(spark, sf)), "yhat")
+    return rounded(scoring.ensemble_mean(stacked(shared_panel(spark, sf))), "yhat")
 
 
 @query(
@@ -67,8 +70,9 @@ UNION ALL
 SELECT series, strftime(ds, '%Y-%m'), 'forecast', round(yhat, 4) FROM stacked WHERE model = 'NP'""",
 )
 def history_union_forecast(spark, sf):
-    ahead = rounded(stacked(spark, sf).where("model = 'NP'"), "yhat")
-    history = panel_25(spark, sf).select("series", "ds", F.col("y").alias("value"))
+    monthly = shared_panel(spark, sf)
+    ahead = rounded(stacked(monthly).where("model = 'NP'"), "yhat")
+    history = monthly.select("series", "ds", F.col("y").alias("value"))
     return panel.union_history(history, ahead.select("series", "ds", F.col("yhat").alias("value")))
 
 
@@ -86,7 +90,7 @@ FROM (SELECT * FROM ar_scores UNION ALL SELECT * FROM month_scores)"""
 @query("all_model_scores", ALL_SCORES_SQL)
 def all_model_scores(spark, sf):
     """Scores of every parameter set of two models in one frame."""
-    rows = fold_rows(spark, sf, HOLDOUT, source=panel_5)
+    rows = split(shared_panel(spark, sf, panel_5), HOLDOUT)
     frames = [
         records.scores(job).withColumn("model", F.lit(name))
         for name, job in [("decomposed_ar", decomposed_ar(rows, {"lags": [2, 6]})), ("trend_month", trend_month(rows))]
@@ -112,7 +116,8 @@ FROM ahead a JOIN past USING (series) JOIN held h ON h.series = a.series AND h.m
 @query("result_records", RECORDS_SQL)
 def result_records(spark, sf):
     """Nested records, unfolded into lengths, ends and totals for comparison."""
-    nested = export.result_records(stacked(spark, sf), panel_25(spark, sf), errors(spark, sf))
+    monthly = shared_panel(spark, sf)
+    nested = export.result_records(stacked(monthly), monthly, errors(monthly))
 
     def total(points):
         return F.aggregate(points, F.lit(0).cast("bigint"), lambda s, p: s + p["valor"])
@@ -150,7 +155,7 @@ def export_history_wide(spark, sf):
 SELECT model, strftime(ds, '%Y-%m') AS fecha, {_columns('yhat')} FROM stacked GROUP BY 1, 2""",
 )
 def export_forecast_by_model(spark, sf):
-    return export.export_forecast_by_model(stacked(spark, sf, panel_5), SEGMENTS)
+    return export.export_forecast_by_model(stacked(shared_panel(spark, sf, panel_5)), SEGMENTS)
 
 
 @query(
@@ -159,7 +164,7 @@ def export_forecast_by_model(spark, sf):
 SELECT series, strftime(ds, '%Y-%m') AS fecha, {_columns('yhat', PAIR, 'model')} FROM stacked GROUP BY 1, 2""",
 )
 def export_forecast_by_series(spark, sf):
-    return export.export_forecast_by_series(stacked(spark, sf), list(PAIR))
+    return export.export_forecast_by_series(stacked(shared_panel(spark, sf)), list(PAIR))
 
 
 @query(
@@ -174,7 +179,7 @@ FROM held""",
 )
 def export_error_table(spark, sf):
     by_attribute = F.length("series") % 2 == 0
-    scored = errors(spark, sf).select(
+    scored = errors(shared_panel(spark, sf)).select(
         "model", "mape",
         F.when(by_attribute, "atributo").otherwise("estatal").alias("scope"),
         F.when(by_attribute, F.col("series")).alias("attribute"),

@@ -30,19 +30,38 @@ from lunario.sources.names import with_file_metadata
 
 KEYS = ("file_id", "series")
 
-# model name -> (metric group, scope) -> fold records
 MODEL_JOBS = {
-    "NP": lambda rows, group, scope, grids: trend_season(
-        rows,
-        grids.get("NP", TREND_SEASON_PANEL_GRID if (group, scope) == ("abc", "atributo") else TREND_SEASON_GRID),
-        AR_LAGS if group == "abc" else 0,
-        KEYS,
-    ),
-    "LSTM": lambda rows, group, scope, grids: decomposed_ar(rows, grids.get("LSTM", DECOMPOSED_GRID), KEYS),
-    "XGBoost": lambda rows, group, scope, grids: panel_trees(rows, grids.get("XGBoost", DEFAULT_GRID), KEYS),
+    "NP": lambda rows, grid, group: trend_season(rows, grid, AR_LAGS if group == "abc" else 0, KEYS),
+    "LSTM": lambda rows, grid, group: decomposed_ar(rows, grid, KEYS),
+    "XGBoost": lambda rows, grid, group: panel_trees(rows, grid, KEYS),
 }
 
 
+def default_grid(group, scope, model):
+    if model == "NP":
+        return TREND_SEASON_PANEL_GRID if (group, scope) == ("abc", "atributo") else TREND_SEASON_GRID
+    return {"LSTM": DECOMPOSED_GRID, "XGBoost": DEFAULT_GRID}[model]
+
+
+def planned_jobs(grids=None, models=None):
+    """(model, group, grid, scopes) per job.
+
+    Scopes that share model, group and grid run as one job. Trees stay apart:
+    their fit is pooled over series, whose folds must end at the same time.
+    """
+    jobs = []
+    for group, scope, model in AVAILABLE_MODELS:
+        if models and model not in models:
+            continue
+        grid = (grids or {}).get(model) or default_grid(group, scope, model)
+        same = [j for j in jobs if j[:3] == (model, group, grid) and model != "XGBoost"]
+        if same:
+            same[0][3].append(scope)
+        else:
+            jobs.append((model, group, grid, [scope]))
+    return jobs
+
+
 def cleaned_panel(obs):
     """(panel, rejects): one row per file, series and month of usable files.
 
@@ -55,6 +74,9 @@ def cleaned_panel(obs):
         "reason", F.when(F.col("metric").isNull(), "bad_name").otherwise("unknown_metric")
     )
     usable = known.where("metric_group is not null and (scope = 'atributo' or col_pos = 1)")
+    # a national file whose value column has no header is named by its metric
+    named = F.when((F.col("scope") == "estatal") & (F.col("series") == ""), F.col("metric")).otherwise(F.col("series"))
+    usable = usable.withColumn("series", named)
     fields = ["metric_group", "scope"]
     return (
         month_panel(usable, [*fields, *KEYS]),
@@ -72,16 +94,17 @@ def forecast_all(obs, end=None, rolling=None, holdout=HOLDOUT_MONTHS, grids=None
     """
     rolling = rolling or (ROLLING["train"], ROLLING["val"], ROLLING["step"])
     end = default_horizon(F.col("last_ds")) if end is None else end
+    by_rolling, by_holdout = panel.rolling_folds(*rolling), panel.holdout_folds(holdout)
+
+    def scheme(t, n):
+        return F.when(F.col("scope") == "estatal", by_rolling(t, n)).otherwise(by_holdout(t, n))
+
     clean = written(cleaned_panel(obs)[0], "panel")
     stacked = []
-    for group, scope, model in AVAILABLE_MODELS:
-        if models and model not in models:
-            continue
-        part = clean.where((F.col("metric_group") == group) & (F.col("scope") == scope))
-        part = part.drop("metric_group", "scope")
-        scheme = panel.rolling_folds(*rolling) if scope == "estatal" else panel.holdout_folds(holdout)
+    for model, group, grid, scopes in planned_jobs(grids, models):
+        part = clean.where((F.col("metric_group") == group) & F.col("scope").isin(scopes)).drop("metric_group")
         rows = panel.assign_folds(panel.extend_months(part, end, KEYS), scheme, final=True)
-        chosen = records.choose(MODEL_JOBS[model](rows, group, scope, grids or {}), KEYS)
+        chosen = records.choose(MODEL_JOBS[model](rows, grid, group), KEYS)
         stacked.append(records.forecast_rows(chosen, KEYS).withColumn("model", F.lit(model)))
     return stack_models(*stacked)
 

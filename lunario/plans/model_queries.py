@@ -10,18 +10,25 @@ from lunario.operators.models.trend_month import fit_trend_month, trend_month
 from lunario.plans import sqlparts as sql
 from lunario.plans.frames import panel_5, panel_25
 from lunario.plans.registry import query, rounded
+from lunario.session import written
 
 HOLDOUT = panel.holdout_folds(12)
 ROLLING = panel.rolling_folds(*sql.ROLLING_36)
 LINEAR = {"growth": ["linear"], "seasonality_mode": ["additive"]}
 
 
-def indexed(spark, sf, source=panel_25):
-    return panel.extend_months(source(spark, sf), F.add_months("last_ds", 12))
+def split(monthly, scheme, final=False):
+    """Fold rows of a panel with twelve future months."""
+    return panel.assign_folds(panel.extend_months(monthly, F.add_months("last_ds", 12)), scheme, final)
 
 
-def fold_rows(spark, sf, scheme, final=False, source=panel_25):
-    return panel.assign_folds(indexed(spark, sf, source), scheme, final)
+def fold_rows(spark, sf, scheme, final=False):
+    return split(panel_25(spark, sf), scheme, final)
+
+
+def shared_panel(spark, sf, source=panel_25):
+    """The panel written once, for queries that use it more than once."""
+    return written(source(spark, sf), "panel")
 
 
 HELD = sql.tuned(sql.PANEL_25, sql.holdout(12, final=True))
@@ -43,7 +50,7 @@ FROM predicted WHERE fold_id = 0 AND part = 'val' AND y IS NOT NULL""",
 )
 def score_join(spark, sf):
     """Join of the actual validation values with predictions made without them."""
-    rows = fold_rows(spark, sf, HOLDOUT)
+    rows = split(shared_panel(spark, sf), HOLDOUT)
     hidden = rows.withColumn("y", F.when(F.col("part") == "train", F.col("y")))
     predictions = fit_trend_month(hidden).where("part = 'val'").select(
         "series", "ds", "param_id", "fold_id", "yhat"
@@ -149,9 +156,11 @@ FROM panel p JOIN best b USING (series) JOIN grid g ON g.param_id = b.param_id""
 )
 def refit_inputs(spark, sf):
     """All history of each series with its winning parameters."""
-    best = records.choose(_held(spark, sf)).select("series", "param_id")
+    monthly = shared_panel(spark, sf)
+    held = trend_month(split(monthly, HOLDOUT))
+    best = records.choose(held).select("series", "param_id")
     sets = F.broadcast(param_grid(spark, TREND_MONTH_GRID))
-    return panel_25(spark, sf).join(best.join(sets, "param_id"), "series").select(
+    return monthly.join(best.join(sets, "param_id"), "series").select(
         "series", "ds", "y", "param_id", "growth", "seasonality_mode"
     )
 
@@ -238,7 +247,7 @@ AR2 = f"""WITH RECURSIVE {sql.PANEL_5}, {sql.spine()}, known AS (
 
 
 def _ar2(spark, sf):
-    rows = panel.monthly_spine(panel_5(spark, sf))
+    rows = panel.monthly_spine(shared_panel(spark, sf, panel_5))
     return rows, autoregression.ar2_fit(panel.ar_lags(rows, 2))
 
 
@@ -288,9 +297,5 @@ WHERE fold_id = -1 AND param_id = 0 AND part = 'future'"""
 def interval_columns(spark, sf):
     """Forecast with the 10 % and 90 % points of fold residuals at the same step."""
     rows = fit_trend_month(fold_rows(spark, sf, ROLLING, final=True), LINEAR)
-    step = F.col("t") - F.col("start_idx") - F.col("train_n")
-    known = rows.where("part = 'val' and y is not null")
-    residuals = known.select("series", step.alias("step"), (F.col("y") - F.col("yhat")).alias("residual"))
-    future = rows.where("part = 'future'").select("series", "ds", step.alias("step"), "yhat")
-    bounded = scoring.with_intervals(future, residuals)
-    return rounded(bounded, "yhat", "lower", "upper").drop("step")
+    bounded = scoring.with_intervals(rows).select("series", "ds", "yhat", "lower", "upper")
+    return rounded(bounded, "yhat", "lower", "upper")

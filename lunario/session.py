@@ -24,6 +24,9 @@ def local_session(cores="*", shuffle_partitions=8, app="lunario"):
     )
 
 
+_LOCAL = []
+
+
 def scratch_path(spark, name):
     """A fresh path in the shared folder named by spark.checkpoint.dir.
 
@@ -32,18 +35,19 @@ def scratch_path(spark, name):
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="run-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not _LOCAL:
+            _LOCAL.append(tempfile.mkdtemp(prefix="run-"))
+        base = _LOCAL[0]
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, partition_by=()) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts lineage, survives executor loss and gives later joins the true size.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.partitionBy(*partition_by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -94,6 +94,8 @@ def cells_long(rows):
         date_pos.alias("date_pos"),
         (F.size("header") - 1).alias("n_series"),
         F.get("cells", date_pos - 1).alias("fecha_raw"),
+        # once per row, before it becomes one row per cell
+        text.normalize_month(F.get("cells", date_pos - 1)).alias("ds"),
         F.posexplode(F.arrays_zip("header", F.expr("slice(cells, 1, size(header))").alias("cells"))).alias("at", "cell"),
     )
     return located.where(F.col("at") + 1 != F.col("date_pos")).select(
@@ -104,6 +106,7 @@ def cells_long(rows):
         (F.col("at") + F.when(F.col("at") + 1 < F.col("date_pos"), 1).otherwise(0)).alias("col_pos"),
         "n_series",
         "fecha_raw",
+        "ds",
         F.col("cell.cells").alias("raw"),
     )
 
@@ -131,9 +134,7 @@ def read_series_files(spark, path):
 
 
 def parse_cells(cells):
-    return cells.withColumns(
-        {"ds": text.normalize_month(F.col("fecha_raw")), "y": text.clean_number(F.col("raw"))}
-    )
+    return cells.withColumn("y", text.clean_number(F.col("raw")))
 
 
 def split_rejects(obs):

@@ -106,10 +106,13 @@ def test_ensemble_lies_between_models(spark):
 
 
 def test_intervals_stay_null_without_residuals(spark):
-    ahead = spark.createDataFrame([("a", 0, 10.0), ("a", 1, 11.0)], "series string, step int, yhat double")
-    residuals = spark.createDataFrame([("a", 0, float(v)) for v in range(-5, 6)], "series string, step int, residual double")
-    rows = {r.step: (r.lower, r.upper) for r in scoring.with_intervals(ahead, residuals).collect()}
-    assert rows == {0: (6.0, 14.0), 1: (None, None)}
+    rows = spark.createDataFrame(
+        [("a", "val", 12 * f + 36, 12 * f, 36, float(v), 0.0) for f, v in enumerate(range(-5, 6))]
+        + [("a", "future", 79 + k, 0, 79, None, 10.0 + k) for k in range(2)],
+        "series string, part string, t int, start_idx int, train_n int, y double, yhat double",
+    )
+    got = {r.t: (r.lower, r.upper) for r in scoring.with_intervals(rows).collect()}
+    assert got == {79: (6.0, 14.0), 80: (None, None)}
 
 
 def test_decomposition_reverts_and_recovers(spark):
