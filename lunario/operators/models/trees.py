@@ -7,9 +7,13 @@ ratio to the mean by calendar month, and its slope) instead of by an index, so
 the feature space does not grow with the number of series.
 """
 
+from functools import reduce
+from multiprocessing.pool import ThreadPool
+
+from pyspark import inheritable_thread_target
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lunario.functions.calendar import calendar_features
@@ -67,32 +71,37 @@ def _predictions_at(model, rows, counts):
     return scored.select(*rows.columns, F.inline(cuts))
 
 
-def panel_trees(rows, grid=DEFAULT_GRID, keys=("series",), seed=11, min_gain=0.0):
+def panel_trees(rows, grid=DEFAULT_GRID, keys=("series",), seed=11, min_gain=0.0, parallelism=4):
     """Fold records of the pooled tree model.
 
-    The driver loops over the few settings and folds only; every fit and every
-    prediction is a Spark job. The final fold is fitted once per setting too,
-    so each series can take its own best set.
+    The driver starts one fit per fold and setting, ``parallelism`` at a time;
+    every fit and every prediction is a Spark job over the written features.
+    The final fold is fitted for each setting too, so each series can take its
+    own best set.
     """
     names, sets = grid_rows(grid)
     ids = {tuple(row): i for i, row in enumerate(sets)}
     counts = set(grid["n_estimators"])
     table = written(tree_features(rows, keys), "tree_features", ["fold_id"])
     features = VectorAssembler(inputCols=FEATURES, outputCol="features", handleInvalid="skip").transform(table)
+    # as many as rolling windows fit into the longest history
     folds = [r[0] for r in table.select("fold_id").distinct().orderBy("fold_id").toLocalIterator()]
-    predicted = None
-    for fold in folds:
+    settings = list(dict.fromkeys(tuple(row[:3]) for row in sets))
+
+    def run(task):
+        fold, setting = task
         of_fold = features.where(F.col("fold_id") == fold)
         train = of_fold.where("part = 'train' and target is not null").select("features", "target")
-        later = of_fold.where("part <> 'train'")
-        for setting in dict.fromkeys(tuple(row[:3]) for row in sets):
-            model = _fit(train, setting, max(counts), seed, min_gain)
-            scored = _predictions_at(model, later, counts)
-            param = F.create_map(*[F.lit(v) for c in counts for v in (c, ids[(*setting, c)])])
-            scored = scored.select(
-                *keys, "fold_id", "part", "ds", "y",
-                F.element_at(param, F.col("n_estimators")).alias("param_id"),
-                (F.col("scaled") * F.col("scale")).alias("yhat"),
-            )
-            predicted = scored if predicted is None else predicted.unionByName(scored)
-    return records_from_rows(predicted, keys)
+        model = _fit(train, setting, max(counts), seed, min_gain)
+        scored = _predictions_at(model, of_fold.where("part <> 'train'"), counts)
+        param = F.create_map(*[F.lit(v) for c in counts for v in (c, ids[(*setting, c)])])
+        return scored.select(
+            *keys, "fold_id", "part", "ds", "y",
+            F.element_at(param, F.col("n_estimators")).alias("param_id"),
+            (F.col("scaled") * F.col("scale")).alias("yhat"),
+        )
+
+    tasks = [(fold, setting) for fold in folds for setting in settings]
+    with ThreadPool(parallelism) as pool:
+        predicted = pool.map(inheritable_thread_target(rows.sparkSession)(run), tasks)
+    return records_from_rows(reduce(DataFrame.unionByName, predicted), keys)

@@ -5,6 +5,9 @@ the shared folder; each (metric group, scope) then runs its models over all of
 its files and series in one job per model.
 """
 
+from multiprocessing.pool import ThreadPool
+
+from pyspark import inheritable_thread_target
 from pyspark.sql import functions as F
 
 from lunario.fixed import (
@@ -100,13 +103,18 @@ def forecast_all(obs, end=None, rolling=None, holdout=HOLDOUT_MONTHS, grids=None
         return F.when(F.col("scope") == "estatal", by_rolling(t, n)).otherwise(by_holdout(t, n))
 
     clean = written(cleaned_panel(obs)[0], "panel")
-    stacked = []
-    for model, group, grid, scopes in planned_jobs(grids, models):
+
+    def run(job):
+        model, group, grid, scopes = job
         part = clean.where((F.col("metric_group") == group) & F.col("scope").isin(scopes)).drop("metric_group")
         rows = panel.assign_folds(panel.extend_months(part, end, KEYS), scheme, final=True)
         chosen = records.choose(MODEL_JOBS[model](rows, grid, group), KEYS)
-        stacked.append(records.forecast_rows(chosen, KEYS).withColumn("model", F.lit(model)))
-    return stack_models(*stacked)
+        return records.forecast_rows(chosen, KEYS).withColumn("model", F.lit(model))
+
+    # a handful of jobs; tree jobs fit while the others are being planned
+    jobs = planned_jobs(grids, models)
+    with ThreadPool(len(jobs)) as pool:
+        return stack_models(*pool.map(inheritable_thread_target(obs.sparkSession)(run), jobs))
 
 
 def publish(forecasts):

@@ -26,13 +26,19 @@ QUOTED_CELLS = {
 
 def read_lines(spark, path):
     """Raw lines with the physical file and a position that orders them in it."""
-    return spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("path"),
+    return with_position(spark.read.text(path).select("value", *FILE_FIELDS))
+
+
+FILE_FIELDS = ["_metadata.file_path", "_metadata.file_block_start"]
+
+
+def with_position(lines):
+    return lines.select(
+        F.col("file_path").alias("path"),
         F.struct(
-            F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("line"),
+            F.col("file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")
         ).alias("pos"),
-        F.col("value"),
+        "value",
     )
 
 
@@ -113,7 +119,10 @@ def cells_long(rows):
 
 def read_rows(spark, path):
     """Data rows of every file under ``path`` as header and cell arrays."""
-    lines = read_lines(spark, path)
+    return rows_of(read_lines(spark, path))
+
+
+def rows_of(lines):
     files = written(profile_files(lines), "file_profile")
     line = decoded(F.col("value"), F.col("utf8"))
     return (
