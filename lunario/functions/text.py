@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from lunario.fixed import MISSING_MARKERS, MONTH_NAMES
+from lunario.functions.columns import computed_once
 
 # Month text formats (fixed values): year-month prefix, day/month/year prefix,
 # month/year or month-year, "<name> de <year>", "<name> <year>" or "<name>-<year>".
@@ -13,8 +14,10 @@ MONTH_TEXT = (
     r"|([a-záéíóúü]+)\s+de\s+(\d{4})"
     r"|([a-záéíóúü]+)[-\s](\d{2,4}))$"
 )
-# Only the groups of the matching format are non-empty.
-YEAR_AND_MONTH = "$1$4$6$8$10 $2$3$5$7$9"
+# Only the groups of the matching format are non-empty; the mark between year
+# and month occurs in no text, so what does not match has no second part.
+MARK = "\u0001"
+YEAR_AND_MONTH = f"$1$4$6$8$10{MARK}$2$3$5$7$9"
 
 # A number as try_cast should see it: no type suffixes, no NaN or Infinity.
 PLAIN_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d{1,2})?$"
@@ -36,20 +39,34 @@ def month_of_name(name):
     return F.try_element_at(_month_map(MONTH_NAMES), F.lower(name))
 
 
-def normalize_month(col):
-    """First day of the month written in ``col``, or null.
+def month_token(col):
+    """The text reduced to "<year><mark><month token>" where it has a known format."""
+    return F.regexp_replace(F.lower(strip(col)), MONTH_TEXT, YEAR_AND_MONTH)
+
+
+def month_of_token(token):
+    """First day of the month in a token, or null.
 
-    The text is reduced once to "<year> <month token>"; one lookup turns names
-    and two-digit numbers alike into a month and rejects everything else.
+    One lookup turns names and two-digit numbers alike into a month and
+    rejects everything else.
     """
-    s = F.lower(strip(col))
-    token = F.when(s.rlike(MONTH_TEXT), F.regexp_replace(s, MONTH_TEXT, YEAR_AND_MONTH))
     months = MONTH_NAMES | {f"{m:02d}": m for m in range(1, 13)}
-    month = F.try_element_at(_month_map(months), F.split_part(token, F.lit(" "), F.lit(2)))
-    year = F.split_part(token, F.lit(" "), F.lit(1)).try_cast("int")
+    month = F.try_element_at(_month_map(months), F.split_part(token, F.lit(MARK), F.lit(2)))
+    year = F.split_part(token, F.lit(MARK), F.lit(1)).try_cast("int")
     return F.make_date(year + F.when(year < 100, 2000).otherwise(0), month, F.lit(1))
 
 
+def normalize_month(col):
+    """First day of the month written in ``col``, or null."""
+    return month_of_token(month_token(col))
+
+
+def with_month(df, raw, name="ds"):
+    """Add the month written in column ``raw``, matching each text once."""
+    matched = computed_once(df, {"month_token": month_token(F.col(raw))})
+    return matched.withColumn(name, month_of_token(F.col("month_token"))).drop("month_token")
+
+
 def is_missing(raw):
     return raw.isNull() | strip(raw).isin(MISSING_MARKERS)
 
@@ -74,6 +91,14 @@ def clean_number(raw):
     return F.when(~is_missing(raw), coerce_number(clean_number_text(raw)))
 
 
+def with_value(df, raw, name="y"):
+    """Add the value of number column ``raw``, cleaning each text once."""
+    plain = F.when(~is_missing(F.col(raw)), clean_number_text(F.col(raw)))
+    return computed_once(df, {"plain_number": plain}).withColumn(
+        name, coerce_number(F.col("plain_number"))
+    ).drop("plain_number")
+
+
 def round_half_even(y):
     return F.bround(y, 0).cast("bigint")
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lunario.fixed import MONTH_NAMES
 from lunario.functions.calendar import month_start
+from lunario.functions.columns import computed_once
 from lunario.sources.delimited import cells_long, parse_cells
 
 CUTOFF = "2001-08-01"  # the last month of orders is partial
@@ -149,19 +150,16 @@ def number_text(cents, style):
 def messy_orders(spark, sf):
     """T4: order date and price as messy text beside the truth."""
     key = F.col("o_orderkey")
-    return (
-        table(spark, sf, "orders")
-        .select(
-            "o_orderkey",
-            F.to_date("o_orderdate").alias("ds_true"),
-            F.round(F.col("o_totalprice") * 100).cast("bigint").alias("cents"),
-        )
-        .select(
-            "o_orderkey",
-            date_text(F.col("ds_true"), key % 7).alias("fecha_raw"),
-            number_text(F.col("cents"), key % 4).alias("valor_raw"),
-        )
+    orders = table(spark, sf, "orders").select(
+        "o_orderkey",
+        F.to_date("o_orderdate").alias("ds_true"),
+        F.round(F.col("o_totalprice") * 100).cast("bigint").alias("cents"),
     )
+    texts = {
+        "fecha_raw": date_text(F.col("ds_true"), key % 7),
+        "valor_raw": number_text(F.col("cents"), key % 4),
+    }
+    return computed_once(orders, texts).select("o_orderkey", "fecha_raw", "valor_raw")
 
 
 def file_of_group(group):

@@ -18,7 +18,7 @@ from lunario.sources.names import parse_series_name
 FROM orders""",
 )
 def normalize_month(spark, sf):
-    return messy_orders(spark, sf).select("o_orderkey", text.normalize_month(F.col("fecha_raw")).alias("ds"))
+    return text.with_month(messy_orders(spark, sf), "fecha_raw").select("o_orderkey", "ds")
 
 
 @query(
@@ -39,7 +39,7 @@ def month_name_lookup(spark, sf):
 FROM orders""",
 )
 def clean_number(spark, sf):
-    return messy_orders(spark, sf).select("o_orderkey", text.clean_number(F.col("valor_raw")).alias("valor"))
+    return text.with_value(messy_orders(spark, sf), "valor_raw", "valor").select("o_orderkey", "valor")
 
 
 @query(
@@ -86,7 +86,7 @@ def reject_rows(spark, sf):
         F.when(key % 13 == 0, "sept 2012").when(key % 13 == 1, "2020-99").otherwise(F.col("fecha_raw")).alias("f"),
         F.when(key % 17 == 0, "12,345.67").when(key % 17 == 1, "'-").otherwise(F.col("valor_raw")).alias("raw"),
     )
-    parsed = damaged.withColumns({"ds": text.normalize_month(F.col("f")), "y": text.clean_number(F.col("raw"))})
+    parsed = text.with_value(text.with_month(damaged, "f"), "raw")
     return split_rejects(parsed)[1].select("o_orderkey", "reason")
 
 

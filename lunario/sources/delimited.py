@@ -94,14 +94,15 @@ def date_position(header):
 def cells_long(rows):
     """Explode rows of (file_id, pos, header[], cells[]) to one row per value cell."""
     date_pos = date_position(F.col("header"))
-    located = rows.select(
+    found = rows.withColumn("date_pos", date_pos).withColumn("fecha_raw", F.get("cells", F.col("date_pos") - 1))
+    # the month is read once per row, before it becomes one row per cell
+    located = text.with_month(found, "fecha_raw").select(
         "file_id",
         "pos",
-        date_pos.alias("date_pos"),
+        "date_pos",
         (F.size("header") - 1).alias("n_series"),
-        F.get("cells", date_pos - 1).alias("fecha_raw"),
-        # once per row, before it becomes one row per cell
-        text.normalize_month(F.get("cells", date_pos - 1)).alias("ds"),
+        "fecha_raw",
+        "ds",
         F.posexplode(F.arrays_zip("header", F.expr("slice(cells, 1, size(header))").alias("cells"))).alias("at", "cell"),
     )
     return located.where(F.col("at") + 1 != F.col("date_pos")).select(
@@ -143,7 +144,7 @@ def read_series_files(spark, path):
 
 
 def parse_cells(cells):
-    return cells.withColumn("y", text.clean_number(F.col("raw")))
+    return text.with_value(cells, "raw")
 
 
 def split_rejects(obs):
