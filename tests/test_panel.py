@@ -1,7 +1,5 @@
 """Spine, splits, lags and choices on small panels."""
 
-import datetime as dt
-
 import pytest
 from pyspark.sql import functions as F
 
