@@ -83,7 +83,7 @@ def panel_trees(rows, grid=DEFAULT_GRID, keys=("series",), seed=11, min_gain=0.0
     ids = {tuple(row): i for i, row in enumerate(sets)}
     counts = set(grid["n_estimators"])
     table = written(tree_features(rows, keys), "tree_features", ["fold_id"])
-    features = VectorAssembler(inputCols=FEATURES, outputCol="features", handleInvalid="skip").transform(table)
+    features = VectorAssembler(inputCols=FEATURES, outputCol="features", handleInvalid="error").transform(table)
     # as many as rolling windows fit into the longest history
     folds = [r[0] for r in table.select("fold_id").distinct().orderBy("fold_id").toLocalIterator()]
     settings = list(dict.fromkeys(tuple(row[:3]) for row in sets))
@@ -104,4 +104,5 @@ def panel_trees(rows, grid=DEFAULT_GRID, keys=("series",), seed=11, min_gain=0.0
     tasks = [(fold, setting) for fold in folds for setting in settings]
     with ThreadPool(parallelism) as pool:
         predicted = pool.map(inheritable_thread_target(rows.sparkSession)(run), tasks)
-    return records_from_rows(reduce(DataFrame.unionByName, predicted), keys)
+    # one shuffle by series serves the records and the choice that follows
+    return records_from_rows(reduce(DataFrame.unionByName, predicted).repartition(*keys), keys)
