@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from lunario.plans.frames import table
 from lunario.session import scratch_path, written
 
-__all__ = ["binary_values", "bucket_of", "learning_labels", "scratch_path", "table", "written"]
+__all__ = ["binary_values", "bucket_of", "learning_labels", "scratch_path", "table", "without_rows", "written"]
 
 
 def binary_values(texts: pa.Array) -> list:
@@ -26,3 +26,15 @@ def learning_labels(labels, name):
         .groupBy("doc_id")
         .agg(F.max(name).cast("int").alias("label"))
     )
+
+
+def id_key(doc_id):
+    """A key that joins null ids as well."""
+    return F.coalesce(doc_id.cast("long"), F.lit(-(2**63)))
+
+
+def without_rows(docs, gone):
+    """``docs`` without the rows whose doc_id and text (``gone``: doc_id, text_key = xxhash64 of it) are listed."""
+    gone = gone.select(id_key(F.col("doc_id")).alias("id_key"), "text_key").distinct()
+    rows = docs.select(F.struct("*").alias("doc"), id_key(F.col("doc_id")).alias("id_key"), F.xxhash64("text").alias("text_key"))
+    return rows.join(gone, ["id_key", "text_key"], "left_anti").select("doc.*")

@@ -1,9 +1,15 @@
 """Queries of this folder and the SQL they are checked against."""
 
+from lunario.llm.bpe import op8_transducer_bpe
+from lunario.llm.decontamination import OP4_SQL, op4_positional_index_decontamination
 from lunario.llm.simhash import op10_simhash_near_dedup
 
 QUERIES = {
+    "op4_positional_index_decontamination": op4_positional_index_decontamination,
+    "op8_transducer_bpe": op8_transducer_bpe,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
-ORACLES = {}
+ORACLES = {
+    "op4_positional_index_decontamination": OP4_SQL,
+}

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lunario.llm.common import binary_values, written
+from lunario.llm.common import binary_values, id_key, written
 from lunario.llm.components import components
 from lunario.llm.trie_join import class_roots
 
@@ -132,13 +132,10 @@ def kept_documents(spark, docs, sf_dir):
     smallest text hash, and of fully repeated rows one.
     """
     best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("best")
-    keep = near_duplicates(docs).groupBy("root_code").agg(best).select(_id_key(F.col("best.doc_id")), "best.text_key")
+    keep = near_duplicates(docs).groupBy("root_code").agg(best).select(id_key(F.col("best.doc_id")).alias("id_key"), "best.text_key")
     keep = written(keep, "kept")
-    rows = docs.select(F.struct("*").alias("doc"), _id_key(F.col("doc_id")), F.xxhash64("text").alias("text_key"))
+    rows = docs.select(F.struct("*").alias("doc"), id_key(F.col("doc_id")).alias("id_key"), F.xxhash64("text").alias("text_key"))
     repeats = Window.partitionBy("id_key", "text_key").orderBy(F.xxhash64("doc"))
     found = rows.join(keep, ["id_key", "text_key"]).withColumn("repeat", F.row_number().over(repeats))
     return found.where(F.col("repeat") == 1).select("doc.*")
 
-
-def _id_key(doc_id):
-    return F.coalesce(doc_id.cast("long"), F.lit(-(2**63))).alias("id_key")
