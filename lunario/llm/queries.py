@@ -1,15 +1,22 @@
 """Queries of this folder and the SQL they are checked against."""
 
 from lunario.llm.bpe import op8_transducer_bpe
+from lunario.llm.chat import OP6_SQL, op6_chat_formatting
 from lunario.llm.decontamination import OP4_SQL, op4_positional_index_decontamination
+from lunario.llm.toxicity import op7_levenshtein_toxicity
+from lunario.llm.language import op9_rank_order_language
 from lunario.llm.simhash import op10_simhash_near_dedup
 
 QUERIES = {
     "op4_positional_index_decontamination": op4_positional_index_decontamination,
+    "op6_chat_formatting": op6_chat_formatting,
+    "op7_levenshtein_toxicity": op7_levenshtein_toxicity,
     "op8_transducer_bpe": op8_transducer_bpe,
+    "op9_rank_order_language": op9_rank_order_language,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
 ORACLES = {
     "op4_positional_index_decontamination": OP4_SQL,
+    "op6_chat_formatting": OP6_SQL,
 }
