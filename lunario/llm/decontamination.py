@@ -152,15 +152,17 @@ def _block_hits(plan, slack):
             for doc, start in zip(docs[whole].tolist(), starts[whole].tolist()):
                 ranges.setdefault(doc, set()).add((start - int(first[doc]), len(window)))
                 of_items.setdefault(doc, set()).update(owners)
-        return pd.DataFrame(
-            {
-                "block": group["block"].iloc[0],
-                "slot": list(ranges),
-                "starts": [[s for s, _ in sorted(ranges[d])] for d in ranges],
-                "lengths": [[n for _, n in sorted(ranges[d])] for d in ranges],
-                "items": [sorted(of_items[d]) for d in ranges],
-            }
-        )
+        docs = list(ranges)
+        listed = {
+            "starts": [[s for s, _ in sorted(ranges[d])] for d in docs],
+            "lengths": [[n for _, n in sorted(ranges[d])] for d in docs],
+            "items": [sorted(of_items[d]) for d in docs],
+        }
+        # as objects: an empty column has no type of its own
+        out = pd.DataFrame({name: pd.Series(values, dtype=object) for name, values in listed.items()})
+        out.insert(0, "slot", pd.Series(docs, dtype="int32"))
+        out.insert(0, "block", group["block"].iloc[0])
+        return out
 
     return hits
 

@@ -80,10 +80,17 @@ def graph_index(nodes: DataFrame, shard_nodes: int = SHARD_NODES) -> DataFrame:
     return written(dealt.groupBy("size", "shard").applyInPandas(_shard_graph, INDEX), "graph")
 
 
+def _found(rows):
+    query, ids, score = zip(*rows) if rows else ((), (), ())
+    # ids as objects: an empty column has no type of its own
+    columns = {"query": pd.Series(query, dtype="int64"), "ids": pd.Series(ids, dtype=object)}
+    return pd.DataFrame(columns | {"score": pd.Series(score, dtype="float64")})
+
+
 def _searched(found_per_shard, beam):
     def search(graph: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if graph.empty or asked.empty:
-            return pd.DataFrame({"query": [], "ids": [], "score": []})
+            return _found([])
         graph = graph.sort_values("place")
         original, points = _matrix(graph["embedding"]), _matrix(asked["embedding"])
         vectors = _unit(original)
@@ -100,7 +107,7 @@ def _searched(found_per_shard, beam):
                 score = original[found] @ point / (length[found] * np.linalg.norm(point))
                 best = np.lexsort((nodes[found], -score))[:found_per_shard]
                 out += [(query, ids[k].tolist(), s) for k, s in zip(found[best], score[best].tolist())]
-        return pd.DataFrame(out, columns=["query", "ids", "score"])
+        return _found(out)
 
     return search
 
