@@ -1,13 +1,26 @@
-"""A corpus pipeline: toxicity, quality, near-duplicates, benchmark passages, token ids."""
+"""A corpus pipeline: toxicity, quality, near-duplicates, benchmark passages, token ids.
 
-from lunario.llm import simhash
+Every stage takes (spark, docs, sf_dir) and works on all rows it is given; all
+but the last return the columns of ``docs``. Models are fitted on the stage's
+own input and the labels in ``sf_dir``.
+"""
+
+from lunario.llm.bpe import token_documents
+from lunario.llm.decontamination import clean_documents
+from lunario.llm.quality import good_documents
+from lunario.llm.simhash import kept_documents
+from lunario.llm.toxicity import civil_documents
 from lunario.session import written
 
 STAGES = [
-    ("simhash_near_dedup", simhash.kept_documents),
+    ("levenshtein_toxicity", civil_documents),
+    ("importance_resampling", good_documents),
+    ("simhash_near_dedup", kept_documents),
+    ("benchmark_decontamination", clean_documents),
+    ("transducer_bpe", token_documents),
 ]
 
-# classifiers, graph walks and tokenizers cannot be said in SQL; see tests/llm
+# SQL cannot express the classifiers, the trie walk and the tokenizer; tests/llm compares with plain versions
 ORACLE_SQL = None
 
 
