@@ -52,7 +52,7 @@ def _training_counts(batches):
     words = defaultdict(Counter)
 
     def rows():
-        for lang, seen in words.items():
+        for lang, seen in ((k, v) for k, v in words.items() if v):
             codes = np.concatenate([grams(w) for w in seen])
             times = np.fromiter(seen.values(), np.int64, len(seen))
             sizes = np.fromiter((LONGEST * len(w) + (LONGEST - 1) * (4 - LONGEST) // 2 for w in seen), np.int64, len(seen))
