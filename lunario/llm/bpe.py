@@ -43,72 +43,124 @@ def byte_letters():
     return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
 
 
-class ExactBpe:
-    """Exact encoding of words with one vocabulary file (word ends marked, lower case, byte letters)."""
+class Pieces:
+    """Cuts a word into what is merged on its own: special tokens (ids), and pieces in lower case."""
 
-    def __init__(self, spec: str):
-        spec = json.loads(spec)
-        model = spec["model"]
-        self.vocab = dict(model["vocab"])
-        self.end = model["end_of_word_suffix"]
-        pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-        # by pair of ids, the lowest rank first; where a pair is listed twice the later rank holds
-        self.order = {self.vocab[a] << 32 | self.vocab[b]: k for k, (a, b) in enumerate(pairs)}
-        self.merged = [self.vocab[a + b] for a, b in pairs]
+    def __init__(self, spec: dict):
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.specials = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         # the vocabulary's own pattern; its white space is that of Unicode
         self.cut = regex.compile(split["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}"))
-        letters = byte_letters()
-        self.inner = [self.vocab[letters[b]] for b in range(256)]
-        self.last = [self.vocab[letters[b] + self.end] for b in range(256)]
-        self.names = {i: t for t, i in (self.vocab | self.special).items()}
-        self.known = {}
-
-    def _piece(self, piece):
-        found = self.known.get(piece)
-        if found is not None:
-            return found
-        data = piece.encode()
-        parts = [self.inner[b] for b in data[:-1]]
-        parts.append(self.last[data[-1]])
-        rank_of, none = self.order.get, len(self.merged)
-        ranks = [rank_of(a << 32 | b, none) for a, b in zip(parts, parts[1:])]
-        while ranks:
-            lowest = min(ranks)
-            if lowest == none:
-                break
-            at = ranks.index(lowest)
-            parts[at : at + 2] = [self.merged[lowest]]
-            del ranks[at]
-            if at:
-                ranks[at - 1] = rank_of(parts[at - 1] << 32 | parts[at], none)
-            if at < len(ranks):
-                ranks[at] = rank_of(parts[at] << 32 | parts[at + 1], none)
-        found = parts
-        if len(self.known) >= REMEMBERED:
-            self.known.clear()
-        self.known[piece] = found
-        return found
 
     def _plain(self, text):
         if text.isascii():
             text = text.lower()
         else:
-            text = regex.sub(r"\p{White_Space}+", " ", unicodedata.normalize("NFC", text))
             # letter by letter: no final form of sigma
-            text = text.replace("Σ", "σ").lower()
-        return [i for piece in self.cut.findall(text) for i in self._piece(piece)]
-
-    def encode(self, text):
-        if self.specials is None or not self.specials.search(text):
-            return self._plain(text)
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        if text.isalpha():
+            return (text,)
+        if text[:-1].isalpha() and text[-1] in ",.":
+            return text[:-1], text[-1]
+        return self.cut.findall(text)
+
+    def of(self, word: str):
+        if self.specials is None or "<" not in word or not self.specials.search(word):
+            return self._plain(word)
         out = []
-        for part in self.specials.split(text):
-            out += [self.special[part]] if part in self.special else self._plain(part)
+        for part in self.specials.split(word):
+            out += [self.special[part]] if part in self.special else self._plain(part) if part else ()
         return out
 
+
+class ExactBpe:
+    """Exact encoding of words with one vocabulary file (word ends marked, lower case, byte letters)."""
+
+    def __init__(self, spec: str):
+        spec = json.loads(spec)
+        model = spec["model"]
+        vocab, end = dict(model["vocab"]), model["end_of_word_suffix"]
+        pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        # by pair of ids, the lowest rank first; where a pair is listed twice the later rank holds
+        order = {vocab[a] << 32 | vocab[b]: k for k, (a, b) in enumerate(pairs)}
+        self.pairs = np.array(sorted(order), np.int64)
+        self.rank = np.array([order[p] for p in self.pairs.tolist()] + [len(pairs)], np.int64)
+        self.merged = np.array([vocab[a + b] for a, b in pairs] + [-1], np.int64)
+        self.none = len(pairs)
+        self.pieces = Pieces(spec)
+        letters = byte_letters()
+        self.inner = np.array([vocab[letters[b]] for b in range(256)], np.int64)
+        self.last = np.array([vocab[letters[b] + end] for b in range(256)], np.int64)
+        names = {i: t for t, i in (vocab | self.pieces.special).items()}
+        self.names = [names.get(i) for i in range(max(names) + 1)]
+        self.known = {}
+
+    def _ranks(self, left, right):
+        """Rank of each pair of ids, ``none`` where it does not merge (an id of -1 never does)."""
+        wanted = left << 32 | right
+        at = np.searchsorted(self.pairs, wanted)
+        there = self.pairs[np.minimum(at, len(self.pairs) - 1)] == wanted
+        return self.rank[np.where(there & (right >= 0), at, len(self.pairs))]
+
+    def _merge(self, pieces):
+        """Ids of pieces of similar length, all merged in step: in each the lowest pair, the leftmost of equals."""
+        data = [p.encode() for p in pieces]
+        length = np.fromiter(map(len, data), np.int64, len(data))
+        width = int(length.max())
+        raw = np.frombuffer(b"".join(d.ljust(width, b"\0") for d in data), np.uint8).reshape(len(data), width)
+        ids = np.where(np.arange(width) < length[:, None], self.inner[raw], -1)
+        ids[np.arange(len(data)), length - 1] = self.last[raw[np.arange(len(data)), length - 1]]
+        done, rows = ids.copy(), np.arange(len(data))
+        ranks = self._ranks(ids[:, :-1], ids[:, 1:])
+        while len(rows) and ids.shape[1] > 1:
+            at = ranks.argmin(1)
+            lowest = ranks[np.arange(len(rows)), at]
+            ended = lowest == self.none
+            if ended.any():
+                done[rows[ended], : ids.shape[1]] = ids[ended]
+                done[rows[ended], ids.shape[1] :] = -1
+                rows, ids, ranks, at, lowest = (x[~ended] for x in (rows, ids, ranks, at, lowest))
+                if not len(rows):
+                    break
+            n, columns = np.arange(len(rows)), np.arange(ids.shape[1] - 1)
+            ids[n, at] = self.merged[lowest]
+            ids = np.take_along_axis(ids, columns + (columns > at[:, None]), 1)
+            ranks = np.take_along_axis(ranks, columns[:-1] + (columns[:-1] >= at[:, None]), 1)
+            for side in (at - 1, at):
+                some = np.flatnonzero((side >= 0) & (side < ids.shape[1] - 1))
+                ranks[some, side[some]] = self._ranks(ids[some, side[some]], ids[some, side[some] + 1])
+        if len(rows):
+            done[rows, : ids.shape[1]] = ids
+            done[rows, ids.shape[1] :] = -1
+        sizes = (done >= 0).sum(1)
+        flat = done[done >= 0].astype("<u4").tobytes()
+        ends = (4 * np.cumsum(sizes)).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends], ends)]
+
+    def _learn(self, pieces):
+        """Remember the packed ids of new pieces; short ones go many at a time."""
+        pieces = sorted(pieces, key=len)
+        at = 0
+        while at < len(pieces):
+            # about as many letters a round, whatever their lengths
+            size = max(1, 65_536 // (4 + len(pieces[min(at + 4096, len(pieces)) - 1])))
+            part = pieces[at : at + size]
+            self.known.update(zip(part, self._merge(part)))
+            at += size
+
+    def encode_words(self, words: list) -> list:
+        """Packed ids (little-endian unsigned 32-bit) of every word (str)."""
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        cut = [self.pieces.of(w) for w in words]
+        new = {p for pieces in cut for p in pieces if p not in self.known}
+        self._learn([p for p in new if isinstance(p, str)])
+        known = self.known
+        return [
+            b"".join([known[p] if isinstance(p, str) else p.to_bytes(4, "little") for p in pieces]) for pieces in cut
+        ]
+
     def decode(self, ids):
         return " ".join(map(self.names.__getitem__, ids))
 
@@ -161,11 +213,14 @@ def _opened(name, spec):
 
 def encoded(texts: list, lexicon: Transducer, exact: ExactBpe) -> list:
     """The ids of every text (bytes), as little-endian unsigned 32-bit integers."""
-    distinct = list(set().union(*(text.split() for text in texts)))
-    ids = {}
-    for word, rank in zip(distinct, lexicon.ranks(distinct).tolist() if distinct else []):
-        found = lexicon.ids_of(rank) if rank >= 0 else np.array(exact.encode(word.decode()), "<u4")
-        ids[word] = found.tobytes()
+    distinct = set()
+    for text in texts:
+        distinct.update(text.split())
+    distinct = list(distinct)
+    ranks = lexicon.ranks(distinct).tolist() if distinct else []
+    ids = {word: lexicon.ids_of(rank).tobytes() for word, rank in zip(distinct, ranks) if rank >= 0}
+    missing = [word for word, rank in zip(distinct, ranks) if rank < 0]
+    ids.update(zip(missing, exact.encode_words([word.decode() for word in missing])))
     return [b"".join(map(ids.__getitem__, text.split())) for text in texts]
 
 
@@ -176,7 +231,8 @@ class Codec:
         with open(vocabulary_path, encoding="utf-8") as file:
             spec = file.read()
         exact = ExactBpe(spec)
-        blob = compiled([(w, exact.encode(w.decode())) for w in words])
+        packed = exact.encode_words([w.decode() for w in words])
+        blob = compiled([(w, np.frombuffer(b, "<u4").tolist()) for w, b in zip(words, packed)])
         path = scratch_path(spark, "lexicon")
         where, inside = pyarrow.fs.FileSystem.from_uri(path)
         where.create_dir(inside.rsplit("/", 1)[0])

@@ -18,8 +18,9 @@ A file's name is unique to the attempt that wrote it, and only files that the
 index names count: an attempt that was lost or ran twice leaves a file that no
 one reads. Files go through Arrow's file systems, so any store it knows will do.
 
-Words repeat, so the library encodes each distinct word (cut at ASCII white
-space, which no token of this vocabulary crosses) once a batch of documents.
+Texts are cut at ASCII white space, which no token of this vocabulary crosses.
+Words repeat, so a task remembers the ids of words; a word it does not know is
+cut into pieces by the vocabulary's rules, and the library's model merges them.
 
 Defined results: null and empty texts are a record of the end id alone. Null
 doc_ids come first; rows with one doc_id are ordered by text and repeated rows
@@ -27,9 +28,11 @@ stay. An empty table gives no files and an empty index. Other columns are not
 looked at. Very long texts are encoded whole.
 """
 
+import json
 import struct
 import uuid
 import zlib
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +40,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lunario.llm.bpe import Pieces, byte_letters
 from lunario.llm.common import binary_values, scratch_path, written
 
 END_ID = 1
@@ -44,7 +48,7 @@ HEAD = struct.Struct("<QI")
 FOOT = struct.Struct("<I")
 ABOUT = struct.Struct("<qBB")
 MASK_DELTA = 0xA282EAD8
-REMEMBERED = 150_000
+REMEMBERED = 500_000
 INDEX = "doc_id long, file string, place long, offset long, length long, n_tokens long, inside long"
 
 
@@ -84,40 +88,42 @@ def records_in(stream, offset, size):
         yield payload
 
 
-class WordEncoder:
-    """Encodes texts word by word with the tokenizers library; remembers words."""
+class WordEncoder(dict):
+    """Packed ids of words (bytes): a word met for the first time is merged by the tokenizers library's model."""
 
     def __init__(self, spec: str):
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_str(spec)
-        self.library.no_truncation()
-        self.library.no_padding()
-        largest = max([*self.library.get_vocab(with_added_tokens=True).values(), END_ID])
+        library = Tokenizer.from_str(spec)
+        self.merge = library.model.tokenize
+        self.pieces = Pieces(json.loads(spec))
+        self.letters = byte_letters()
+        largest = max([*library.get_vocab(with_added_tokens=True).values(), END_ID])
         self.width = 2 if largest < 1 << 16 else 4
-        self.end = END_ID.to_bytes(self.width, "little")
-        self.known = {}
-
-    def _learn(self, words):
-        """Encode new words, many in one call; token offsets say where each word's ids end."""
-        for at in range(0, len(words), 4096):
-            part = [w.decode() for w in words[at : at + 4096]]
-            found = self.library.encode(" ".join(part), add_special_tokens=False)
-            ends = np.cumsum([len(w) + 1 for w in part])
-            owner = np.searchsorted(ends, [a for a, _ in found.offsets], side="right")
-            cuts = np.searchsorted(owner, np.arange(len(part) + 1))
-            ids = np.array(found.ids, f"<u{self.width}")
-            for word, a, b in zip(words[at : at + 4096], cuts.tolist(), cuts[1:].tolist()):
-                self.known[word] = ids[a:b].tobytes()
+        self.packed = [i.to_bytes(self.width, "little") for i in range(largest + 1)]
+        self.end = self.packed[END_ID]
+
+    def __missing__(self, word):
+        if len(self) >= REMEMBERED:
+            # the words met first are the common ones; they stay
+            common = list(islice(self.items(), REMEMBERED // 2))
+            self.clear()
+            self.update(common)
+        ids = []
+        for piece in self.pieces.of(word.decode()):
+            if isinstance(piece, int):
+                ids.append(piece)
+            else:
+                # one letter a byte; plain ASCII is its own letters
+                shown = piece if piece.isprintable() and piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+                ids += [t.id for t in self.merge(shown)]
+        packed = self[word] = b"".join(map(self.packed.__getitem__, ids))
+        return packed
 
     def encode(self, texts):
         """Packed ids of every text (bytes), each with the end id."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        cut = [t.split() for t in texts]
-        self._learn(list(set().union(*cut).difference(self.known)))
-        known = self.known.__getitem__
-        return [b"".join(map(known, words)) + self.end for words in cut]
+        of = self.__getitem__
+        return [b"".join(map(of, text.split())) + self.end for text in texts]
 
 
 def _written_files(spec, folder):
@@ -208,7 +214,9 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
     offsets; any subset of an index will do.
     """
     stretch = F.floor(F.col("place") / 4096)
-    dealt = index.repartition("file", stretch).sortWithinPartitions("file", "offset")
+    # a given number of tasks: the index is small against the files it names
+    tasks = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = index.repartition(tasks, "file", stretch).sortWithinPartitions("file", "offset")
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
     return dealt.select("file", "offset", "length", "start").mapInArrow(_read_files(folder), schema)
 
