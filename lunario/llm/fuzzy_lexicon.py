@@ -12,11 +12,21 @@ def edits_for(length: int) -> int:
     return 0 if length < 4 else 1 if length < 9 else 2
 
 
+STEM = "*"
+
+
 class FuzzyLexicon:
-    """Terms with weights; finds the nearest term of a word within the term's edits."""
+    """Terms with weights; finds the nearest term of a word within the term's edits.
+
+    A term that ends in ``*`` is a stem: it stands for every word that begins
+    with it, as written.
+    """
 
     def __init__(self, weights: dict):
         self.weights = weights
+        stems = {t[:-1] for t in weights if t.endswith(STEM)}
+        self.stems, self.stem_sizes = stems, sorted({len(t) for t in stems})
+        weights = {t: w for t, w in weights.items() if not t.endswith(STEM)}
         self.root = {}
         self.parts = {}
         for term in weights:
@@ -51,6 +61,9 @@ class FuzzyLexicon:
         """(term, edits) with the fewest edits, ties to the heavier and then smaller term; None if none is near."""
         if word in self.weights:
             return word, 0
+        for size in self.stem_sizes:
+            if word[:size] in self.stems:
+                return word[:size] + STEM, 0
         if len(word) > self.longest or not self._may_match(word):
             return None
         places = {}

@@ -6,12 +6,18 @@ intersected with the Levenshtein automaton of each distinct word of a batch
 that clean documents use are known and left out. Every hit weighs by how telling
 its term is and how far its spelling is off, and by a window of characters
 around it: inside quotation marks it counts a quarter. A logistic curve over the
-sum, and over the sum by length, gives the score.
+sum, and over the sum by length, gives the score; a text without hits is never
+predicted toxic, however many labels are.
 
 Learned are labels of at most ``SAMPLE`` rows a class, those with the smallest
 hash of doc_id, and only from rows outside the held-out fold. Word counts of the
 sample are summed over the cluster; the driver gets the lexicon (at most
-``LEXICON_TERMS``), its near clean words and two numbers a sampled row.
+``LEXICON_TERMS``), its near clean words and two numbers a sampled row. Inflected
+forms that share a beginning are taken together as a stem. A term must stand in
+``LEAST_CONTEXTS`` different surroundings, or words of one much copied document
+would pass for terms. At most
+``FUZZY_TERMS`` terms that are no stems, those with the largest gain, are looked
+for with edits.
 
 Defined results: null and empty texts have no hits and the lowest score. A null
 doc_id is not held out. Repeated rows stay, one result row each; a doc_id with
@@ -29,15 +35,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lunario.llm.common import bucket_of, learning_labels, written
-from lunario.llm.fuzzy_lexicon import FuzzyLexicon
+from lunario.llm.fuzzy_lexicon import STEM, FuzzyLexicon
 
 FOLDS, HELD_OUT = 5, 0
 SAMPLE = 20_000
 LEXICON_TERMS = 4_000
+STEM_SIZES = (4, 5, 6)
+LEAST_FORMS = 4
+STEM_CLEAN = 0.02
+FUZZY_TERMS = 300
+LEAST_CONTEXTS = 10
 LEAST_GAIN = 12.0
+LEAST_TELLING = 3.0
 KNOWN_CLEAN = 2
 CONTEXT = 120
 QUOTED = 0.25
+WITHOUT_HITS = -1.0
 PER_EDIT = 0.6
 REMEMBERED = 200_000
 WORD = re.compile(r"\w+")
@@ -137,20 +150,71 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, name, fold, folds, sampl
     return written(rows, "labelled"), [totals.get(0, 0), totals.get(1, 0)]
 
 
-def logistic_fit(x, y, weight, ridge=1e-3, rounds=40):
-    """Weights of a ridge logistic regression (last column of x: ones), by Newton steps."""
+def logistic_fit(x, y, weight, ridge=1e-2, rounds=60):
+    """Weights of a ridge logistic regression (last column of x: ones), by damped Newton steps."""
+    weight = weight / weight.sum() * len(y)
+
+    def loss(w):
+        return (weight * np.logaddexp(0, np.where(y == 1, -1, 1) * (x @ w))).sum() + ridge / 2 * w @ w
+
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         slope = x.T @ (weight * (y - p)) - ridge * w
         bend = (x * (weight * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
-        step = np.linalg.solve(bend, slope)
-        w = w + np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-8:
+        step, now = np.linalg.solve(bend, slope), loss(w)
+        while loss(w + step) > now and np.abs(step).max() > 1e-9:
+            step = step / 2
+        w = w + step
+        if np.abs(step).max() < 1e-7:
             break
     return w
 
 
+def _context_counts(texts, terms):
+    """In how many different surroundings (word before, word after) each term stands; copies of a text add none."""
+
+    def met(batches):
+        for batch in batches:
+            found = set()
+            for text in batch.column(0).to_pylist():
+                words = ["", *WORD.findall((text or "").lower()), ""]
+                found.update((w, a + " " + b) for a, w, b in zip(words, words[1:], words[2:]) if w in terms)
+            term, around = zip(*found) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(term, pa.string()), pa.array(around, pa.string())], ["term", "around"])
+
+    pairs = texts.mapInArrow(met, "term string, around string").distinct()
+    return dict(pairs.groupBy("term").count().collect())
+
+
+def _with_stems(counts, weights, n_toxic, n_clean):
+    """Forms of one stem become the stem; of the other terms the first FUZZY_TERMS stay.
+
+    ``weights`` comes in order of gain. A stem is a beginning that at least
+    LEAST_FORMS terms share and that is rare in words of clean documents.
+    """
+    forms = {}
+    for term in weights:
+        for size in STEM_SIZES:
+            if len(term) > size:
+                forms.setdefault(term[:size], []).append(term)
+    # of beginnings with the same terms the longest says most
+    longest = {tuple(terms): stem for stem, terms in sorted(forms.items(), key=lambda f: len(f[0]))}
+    asked = [stem for terms, stem in longest.items() if len(terms) >= LEAST_FORMS]
+    stems = {}
+    for size in STEM_SIZES:
+        begins = F.substring("word", 1, size)
+        of_size = [stem for stem in asked if len(stem) == size]
+        if of_size:
+            used = counts.select(begins.alias("stem"), "toxic", "clean").where(F.col("stem").isin(of_size))
+            for stem, toxic, clean in used.groupBy("stem").agg(F.sum("toxic"), F.sum("clean")).collect():
+                toxic, clean = (toxic + 0.5) / (n_toxic + 1.0), (clean + 0.5) / (n_clean + 1.0)
+                if clean <= STEM_CLEAN * toxic and not any(stem[:k] in stems for k in STEM_SIZES):
+                    stems[stem] = min(math.log(toxic / clean), max(weights[t] for t in forms[stem]))
+    single = [t for t in weights if not any(t[:k] in stems for k in STEM_SIZES)][:FUZZY_TERMS]
+    return {t: weights[t] for t in single} | {stem + STEM: w for stem, w in stems.items()}
+
+
 class ToxicityModel:
     """Lexicon, near clean words and curve, fitted on labelled documents."""
 
@@ -170,9 +234,12 @@ class ToxicityModel:
         ).otherwise(0.0)
         telling = F.log((F.col("toxic") + 0.5) / (n_toxic + 1.0)) - F.log((F.col("clean") + 0.5) / (n_clean + 1.0))
         scored = counts.where(F.col("toxic") > 0).select("word", gain.alias("gain"), telling.alias("telling"))
-        terms = scored.where((F.col("gain") >= LEAST_GAIN) & (F.col("telling") > 1.0) & (F.length("word") > 1))
+        terms = scored.where((F.col("gain") >= LEAST_GAIN) & (F.col("telling") > LEAST_TELLING) & (F.length("word") > 1))
         terms = terms.orderBy(F.desc("gain"), "word").limit(LEXICON_TERMS).collect()
         weights = {r["word"]: r["telling"] for r in terms}
+        varied = _context_counts(rows.where("label = 1").select("text"), set(weights))
+        weights = {t: w for t, w in weights.items() if varied.get(t, 0) >= LEAST_CONTEXTS}
+        weights = _with_stems(counts, weights, n_toxic, n_clean)
         first = spark.sparkContext.broadcast({"key": _key(), "weights": weights, "clean": []})
 
         @F.arrow_udf("boolean")
@@ -187,7 +254,8 @@ class ToxicityModel:
         x = np.array([[r["a"], r["b"], 1.0] for r in got])
         y = np.array([r["label"] for r in got], float)
         share = np.array([max(t, 1) / max(s, 1) for t, s in zip(totals, (n_clean, n_toxic))])
-        self.curve = logistic_fit(x, y, (share / share.max())[y.astype(int)]).tolist()
+        a, b, base = logistic_fit(x, y, (share / share.max())[y.astype(int)]).tolist()
+        self.curve = [a, b, min(base, WITHOUT_HITS)]
 
     def _features(self, text):
         shared = self.shared
