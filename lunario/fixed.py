@@ -59,6 +59,10 @@ ROLLING = {"train": 96, "val": 36, "step": 12}
 # Smallest denominator of a percentage error (float64 machine epsilon).
 EPSILON = 2.220446049250313e-16
 
+# Titles of the error table: mean over the series of an attribute, and one national series.
+ERROR_TITLE_MEAN = "MAPE esperado 1 año promedio "
+ERROR_TITLE = "MAPE esperado 3 años"
+
 # Parameter grids.
 TREE_GRID = {
     "colsample_bytree": [0.4, 0.7, 1.0],

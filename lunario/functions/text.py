@@ -20,14 +20,20 @@ MARK = "\u0001"
 YEAR_AND_MONTH = f"$1$4$6$8$10{MARK}$2$3$5$7$9"
 
 # A number as try_cast should see it: no type suffixes, no NaN or Infinity.
-PLAIN_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d{1,2})?$"
+PLAIN_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 # Several dots, or a dot before exactly three digits at the end or a comma.
 THOUSANDS_DOTS = r"\..*\.|\.\d{3}(,|$)"
 DECIMAL_COMMA = r"^[^.]*,[^.]*$"
 
 
+# all white space of Unicode, with the separators of ASCII
+WHITE_SPACE = "".join(
+    map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
+)
+
+
 def strip(col):
-    return F.btrim(col, F.lit(" \t\r\n\f"))
+    return F.btrim(col, F.lit(WHITE_SPACE))
 
 
 def _month_map(months):
@@ -83,7 +89,8 @@ def clean_number_text(raw):
 
 def coerce_number(text):
     """Double, or null for anything that is not a finite decimal number."""
-    return F.when(text.rlike(PLAIN_NUMBER), text.try_cast("double"))
+    value = text.try_cast("double")
+    return F.when(text.rlike(PLAIN_NUMBER) & (F.abs(value) < float("inf")), value)
 
 
 def clean_number(raw):
@@ -113,7 +120,9 @@ def sanitize_name(col):
 
 
 def sheet_name(col):
-    return F.substring(F.regexp_replace(col, r"[\\/*?:\[\]]", "_"), 1, 31)
+    """A name of at most 31 characters; a longer one is cut and ends in a digest of the whole, so names stay apart."""
+    cut = F.concat(F.substring(col, 1, 22), F.lit("_"), F.substring(F.md5(col.cast("binary")), 1, 8))
+    return F.regexp_replace(F.when(F.length(col) > 31, cut).otherwise(col), r"[\\/*?:\[\]]", "_")
 
 
 def export_name(metric, scope, attribute, models):

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from lunario.fixed import MODEL_DISPLAY
+from lunario.fixed import ERROR_TITLE, ERROR_TITLE_MEAN, MODEL_DISPLAY
 from lunario.functions.calendar import month_label
 from lunario.functions.text import percent_text, round_half_even
 from lunario.session import values_frame
@@ -49,7 +49,7 @@ def result_records(forecasts, history, errors, keys=("series",)):
 
 def _wide(frame, column, names, value):
     cell = F.first(round_half_even(F.col(value)))
-    wide = frame.groupBy("ds").pivot(column, names).agg(cell)
+    wide = frame.groupBy("ds").pivot(column, names).agg(cell).orderBy("ds")
     return wide.select(month_label(F.col("ds")).alias("fecha"), *[F.col(f"`{n}`") for n in names])
 
 
@@ -61,22 +61,22 @@ def export_history_wide(panel, names):
 def export_forecast_by_model(forecasts, names):
     """Month x series table of rounded forecasts per model."""
     cell = F.first(round_half_even(F.col("yhat")))
-    wide = forecasts.groupBy("model", "ds").pivot("series", names).agg(cell)
+    wide = forecasts.groupBy("model", "ds").pivot("series", names).agg(cell).orderBy("model", "ds")
     return wide.select("model", month_label(F.col("ds")).alias("fecha"), *[F.col(f"`{n}`") for n in names])
 
 
 def export_forecast_by_series(forecasts, models, keys=("series",)):
     """Month x model table of rounded forecasts, models aligned by month."""
     cell = F.first(round_half_even(F.col("yhat")))
-    wide = forecasts.groupBy(*keys, "ds").pivot("model", models).agg(cell)
+    wide = forecasts.groupBy(*keys, "ds").pivot("model", models).agg(cell).orderBy(*keys, "ds")
     return wide.select(*keys, month_label(F.col("ds")).alias("fecha"), *[F.col(f"`{n}`") for n in models])
 
 
 def error_title(scope, attribute):
     return F.when(
         (scope == "atributo") & (F.coalesce(attribute, F.lit("")) != ""),
-        F.concat(F.lit("MAPE esperado 1 año promedio "), attribute),
-    ).otherwise(F.lit("MAPE esperado 3 años"))
+        F.concat(F.lit(ERROR_TITLE_MEAN), attribute),
+    ).otherwise(F.lit(ERROR_TITLE))
 
 
 def export_error_table(errors):

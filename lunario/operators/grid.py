@@ -4,10 +4,6 @@ import itertools
 
 from pyspark.sql import functions as F
 
-from lunario.session import values_frame
-
-# Grids are configuration, not data: small enough to ship to every task.
-MAX_GRID = 10_000
 
 
 def grid_rows(grid):
@@ -16,24 +12,28 @@ def grid_rows(grid):
     return names, list(itertools.product(*(grid[n] for n in names)))
 
 
+def _set_columns(grid):
+    """Number of sets, and each parameter's value as an expression of ``param_id``: sets count like digits."""
+    stride, columns = 1, []
+    for name in sorted(grid, reverse=True):
+        values = grid[name]
+        place = (F.floor(F.col("param_id") / stride) % len(values)).cast("int")
+        columns.append(F.get(F.array(*map(F.lit, values)), place).alias(name))
+        stride *= len(values)
+    return stride, columns[::-1]
+
+
 def param_grid(spark, grid):
-    """Grid as a table with ``param_id`` in that order."""
-    names, rows = grid_rows(grid)
-    if len(rows) > MAX_GRID:
-        raise ValueError(f"parameter grid has {len(rows)} sets, at most {MAX_GRID} are allowed")
-    return values_frame(spark, ["param_id", *names], [(i, *row) for i, row in enumerate(rows)])
+    """Grid as a table with ``param_id`` in that order, of any size."""
+    n, columns = _set_columns(grid)
+    return spark.range(n).select(F.col("id").cast("int").alias("param_id")).select("param_id", *columns)
 
 
 def with_params(rows, grid):
-    """Every row once per parameter set, by exploding a constant array (no join)."""
-    names, sets = grid_rows(grid)
-    if len(sets) > MAX_GRID:
-        raise ValueError(f"parameter grid has {len(sets)} sets, at most {MAX_GRID} are allowed")
-    structs = [
-        F.struct(F.lit(i).alias("param_id"), *[F.lit(v).alias(n) for n, v in zip(names, row)])
-        for i, row in enumerate(sets)
-    ]
-    return rows.withColumn("params", F.explode(F.array(*structs))).select("*", "params.*").drop("params")
+    """Every row once per parameter set, by exploding a sequence (no join)."""
+    n, columns = _set_columns(grid)
+    numbered = rows.withColumn("param_id", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    return numbered.select("*", *columns)
 
 
 def fold_table(spans, train, val, step):

@@ -104,5 +104,8 @@ def panel_trees(rows, grid=DEFAULT_GRID, keys=("series",), seed=11, min_gain=0.0
     tasks = [(fold, setting) for fold in folds for setting in settings]
     with ThreadPool(parallelism) as pool:
         predicted = pool.map(inheritable_thread_target(rows.sparkSession)(run), tasks)
+    if not predicted:  # no rows at all
+        yhat = F.lit(None).cast("double").alias("yhat")
+        predicted = [table.select(*keys, "fold_id", "part", "ds", "y", F.lit(0).alias("param_id"), yhat)]
     # one shuffle by series serves the records and the choice that follows
     return records_from_rows(reduce(DataFrame.unionByName, predicted).repartition(*keys), keys)

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from lunario.fixed import AVAILABLE_MODELS, METRIC_GROUPS
+from lunario.functions.text import strip
 from lunario.session import values_frame
 
 MODEL_KEYS = ["metric_group", "scope", "model"]
@@ -22,7 +23,7 @@ def with_metric_group(df):
     The lookup table is a handful of fixed rows, so it is broadcast.
     """
     groups = F.broadcast(metric_groups(df.sparkSession))
-    key = F.lower(F.btrim(F.col("metric")))
+    key = F.lower(strip(F.col("metric")))
     return df.join(groups, key == F.col("metric_key"), "left").drop("metric_key")
 
 

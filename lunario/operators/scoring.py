@@ -119,22 +119,22 @@ def stack_models(*frames):
 
 
 def with_intervals(predicted, low=0.1, high=0.9, keys=("series",)):
-    """Future rows with ``lower`` and ``upper`` from fold residuals at the same step.
+    """Future rows with ``lower`` and ``upper`` from the residuals of the series' folds.
 
-    ``predicted`` holds validation and future rows of one parameter set; the
-    step counts months since the end of training. Steps without residuals keep
-    null bounds. Residuals of a step are as few as there are folds.
+    ``predicted`` holds validation and future rows of one parameter set. A step
+    ahead has as few residuals as there are folds, and steps past the validation
+    window have none, so the residuals of all steps of a series are pooled. A
+    series without residuals keeps null bounds.
     """
-    step = F.col("t") - F.col("start_idx") - F.col("train_n")
-    same_step = Window.partitionBy(*keys, "step")
+    series = Window.partitionBy(*keys)
     residual = F.when(F.col("part") == "val", F.col("y") - F.col("yhat"))
     spread = (
         predicted.where("part <> 'train'")
-        .withColumns({"step": step, "residual": residual})
+        .withColumn("residual", residual)
         .select(
             "*",
-            F.percentile("residual", low).over(same_step).alias("low"),
-            F.percentile("residual", high).over(same_step).alias("high"),
+            F.percentile("residual", low).over(series).alias("low"),
+            F.percentile("residual", high).over(series).alias("high"),
         )
     )
     return spread.where("part = 'future'").select(

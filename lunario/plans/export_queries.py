@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from lunario.fixed import DECOMPOSED_GRID
 from lunario.operators import export, panel, scoring
 from lunario.operators.models import records
 from lunario.operators.models.autoregression import decomposed_ar
@@ -76,7 +77,7 @@ def history_union_forecast(spark, sf):
     return panel.union_history(history, ahead.select("series", "ds", F.col("yhat").alias("value")))
 
 
-ALL_SCORES_SQL = f"""WITH RECURSIVE {decomposed_sql([2, 6], final=False)}, ar_scores AS (
+ALL_SCORES_SQL = f"""WITH RECURSIVE {decomposed_sql(DECOMPOSED_GRID["lags"], final=False)}, ar_scores AS (
   SELECT series, 'decomposed_ar' AS model, param_id, {sql.ERRORS}
   FROM predicted WHERE part = 'val' AND y IS NOT NULL GROUP BY ALL),
 {sql.TREND_MONTH.replace("predicted AS", "month_predicted AS")}, month_scores AS (
@@ -93,7 +94,7 @@ def all_model_scores(spark, sf):
     rows = split(shared_panel(spark, sf, panel_5), HOLDOUT)
     frames = [
         records.scores(job).withColumn("model", F.lit(name))
-        for name, job in [("decomposed_ar", decomposed_ar(rows, {"lags": [2, 6]})), ("trend_month", trend_month(rows))]
+        for name, job in [("decomposed_ar", decomposed_ar(rows)), ("trend_month", trend_month(rows))]
     ]
     scored = scoring.stack_models(*frames).withColumn("n", F.col("n").cast("bigint"))
     return rounded(scored.drop("fold_id"), "mape", "mae", "mse")
@@ -170,21 +171,18 @@ def export_forecast_by_series(spark, sf):
 @query(
     "export_error_table",
     f"""{HELD}, held AS (
-  SELECT model, series, mape FROM scores JOIN {PAIR_SQL} ON param_id = id WHERE fold_id = 0)
+  SELECT model, mape FROM scores JOIN {PAIR_SQL} ON param_id = id WHERE fold_id = 0), mean AS (
+  SELECT model, avg(mape) AS mape FROM held GROUP BY model)
 SELECT CASE model WHEN 'NP' THEN 'NeuralProphet' ELSE model END AS modelo,
-       printf('%.1f%%', mape) AS mape_texto,
-       CASE WHEN length(series) % 2 = 0 THEN 'MAPE esperado 1 año promedio ' || series
-            ELSE 'MAPE esperado 3 años' END AS titulo
-FROM held""",
+       printf('%.1f%%', mape) AS mape_texto, 'MAPE esperado 1 año promedio nación' AS titulo
+FROM mean""",
 )
 def export_error_table(spark, sf):
-    by_attribute = F.length("series") % 2 == 0
-    scored = errors(shared_panel(spark, sf)).select(
-        "model", "mape",
-        F.when(by_attribute, "atributo").otherwise("estatal").alias("scope"),
-        F.when(by_attribute, F.col("series")).alias("attribute"),
+    """One row per model: the mean error over all series of the panel, which is by nation."""
+    mean = scoring.macro_mean(errors(shared_panel(spark, sf)), ["model"])
+    return export.export_error_table(
+        mean.select("model", "mape", F.lit("atributo").alias("scope"), F.lit("nación").alias("attribute"))
     )
-    return export.export_error_table(scored)
 
 
 # Smaller grids than the defaults keep one run of all eight models short.

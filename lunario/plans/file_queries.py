@@ -7,12 +7,13 @@ from lunario.plans.frames import FILES, SEGMENTS, block_observations, file_cells
 from lunario.plans.registry import query
 from lunario.session import scratch_path, written
 from lunario.sources import delimited, sinks
+from lunario.sources.names import base_name
 
 WIDE_ROWS = """wide AS (
   SELECT c_nationkey % 4 AS grp, CAST(date_trunc('month', o_orderdate) AS DATE) AS ds, c_mktsegment AS segment,
          CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) // 100 AS amount
   FROM orders JOIN customer ON o_custkey = c_custkey
-  WHERE o_orderdate < TIMESTAMP '2001-08-01' GROUP BY 1, 2, 3), segs AS (
+  GROUP BY 1, 2, 3), segs AS (
   SELECT * FROM (VALUES (0, 'AUTOMOBILE'), (1, 'BUILDING'), (2, 'FURNITURE'), (3, 'HOUSEHOLD'), (4, 'MACHINERY'))
            AS s(i, segment)), grid AS (
   SELECT * FROM (SELECT DISTINCT grp, ds FROM wide) CROSS JOIN segs), obs AS (
@@ -27,6 +28,11 @@ WIDE_ROWS = """wide AS (
 ACCENT = "Región "
 
 
+def named():
+    """The file's name alone, as the check SQL has it."""
+    return base_name(F.col("file_id")).alias("file_id")
+
+
 def write_files(spark, sf, groups=(0, 1, 2, 3), date_last=(), mark="; total"):
     """Write T5 as delimited files in a fresh folder of the scratch space.
 
@@ -54,12 +60,12 @@ def write_files(spark, sf, groups=(0, 1, 2, 3), date_last=(), mark="; total"):
 @query(
     "scan_delimited",
     f"""WITH {WIDE_ROWS}
-SELECT file_id, segment || '; total' AS series, CAST(i + 1 AS INTEGER) AS col_pos, strftime(ds, '%Y-%m') AS ds, y
-FROM obs WHERE grp < 2""",
+SELECT file_id, CASE WHEN grp >= 2 THEN 'Región ' ELSE '' END || segment || '; total' AS series, CAST(i + 1 AS INTEGER) AS col_pos, strftime(ds, '%Y-%m') AS ds, y
+FROM obs""",
 )
 def scan_delimited(spark, sf):
-    obs = delimited.read_series_files(spark, write_files(spark, sf, groups=(0, 1)))
-    return obs.select("file_id", "series", "col_pos", "ds", "y")
+    obs = delimited.read_series_files(spark, write_files(spark, sf))
+    return obs.select(named(), "series", "col_pos", "ds", "y")
 
 
 @query(
@@ -71,7 +77,7 @@ FROM obs""",
 )
 def scan_encoding(spark, sf):
     obs = delimited.read_series_files(spark, write_files(spark, sf, mark=""))
-    return obs.select("file_id", "series", "ds", "y")
+    return obs.select(named(), "series", "ds", "y")
 
 
 @query(
@@ -85,7 +91,7 @@ def detect_date_column(spark, sf):
     rows = delimited.read_rows(spark, write_files(spark, sf, date_last=(1, 2)))
     date_pos = delimited.date_position(F.col("header"))
     return (
-        rows.select("file_id", date_pos.alias("date_pos"), F.get("header", date_pos - 1).alias("date_header"))
+        rows.select(named(), date_pos.alias("date_pos"), F.get("header", date_pos - 1).alias("date_header"))
         .groupBy("file_id", "date_pos", "date_header")
         .agg(F.count(F.lit(1)).alias("n_rows"))
     )
@@ -117,18 +123,18 @@ def pick_first_series(spark, sf):
 BLOCKS = """blocks AS (
   SELECT 'Contratos desde 1995 por bloque.csv' AS file_id, o_custkey % 60 AS block, 60 AS width,
          CAST(date_trunc('month', o_orderdate) AS DATE) AS ds, CAST(count(*) AS DOUBLE) AS y
-  FROM orders WHERE o_orderdate < TIMESTAMP '2001-08-01' GROUP BY ALL
+  FROM orders GROUP BY ALL
   UNION ALL
   SELECT 'Contratos desde 1995 por sector.csv', o_custkey % 5, 5,
          CAST(date_trunc('month', o_orderdate) AS DATE), CAST(count(*) AS DOUBLE)
-  FROM orders WHERE o_orderdate < TIMESTAMP '2001-08-01' GROUP BY ALL)"""
+  FROM orders GROUP BY ALL)"""
 
 
 @query(
     "select_series_range",
     f"""WITH {BLOCKS}
 SELECT file_id, 'b' || block AS series, CAST(block + 1 AS INTEGER) AS col_pos, strftime(ds, '%Y-%m') AS ds, y
-FROM blocks WHERE width = 5 OR block + 1 BETWEEN 3 AND 17""",
+FROM blocks WHERE block + 1 BETWEEN 3 AND 17""",
 )
 def select_series_range(spark, sf):
     kept = delimited.select_series_range(block_observations(spark, sf), 3, 17)

@@ -113,6 +113,8 @@ def forecast_all(obs, end=None, rolling=None, holdout=HOLDOUT_MONTHS, grids=None
 
     # a handful of jobs; tree jobs fit while the others are being planned
     jobs = planned_jobs(grids, models)
+    if not jobs:
+        raise ValueError(f"no model is available among {models}")
     with ThreadPool(len(jobs)) as pool:
         return stack_models(*pool.map(inheritable_thread_target(obs.sparkSession)(run), jobs))
 

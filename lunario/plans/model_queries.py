@@ -88,11 +88,11 @@ def mse(spark, sf):
     f"""{HELD}
 SELECT series, count(*) AS n,
        round(avg(abs(y - yhat) / greatest(abs(y), 2.220446049250313e-16)) * 100, 4) AS mape
-FROM predicted WHERE param_id = 0 AND fold_id = 0 AND part = 'train' AND t >= 2 AND y IS NOT NULL GROUP BY series""",
+FROM predicted WHERE param_id = 0 AND fold_id = 0 AND part = 'train' AND y IS NOT NULL GROUP BY series""",
 )
 def train_mape(spark, sf):
-    """In-sample error; the first two months are skipped as lag models do."""
-    fitted = _validated(spark, sf).where("part = 'train' and t >= 2")
+    """In-sample error over all months: the model has no lags to wait for."""
+    fitted = _validated(spark, sf).where("part = 'train'")
     return rounded(scoring.score(fitted, ["series"]).select("series", "n", "mape"), "mape")
 
 
@@ -159,7 +159,7 @@ def refit_inputs(spark, sf):
     monthly = shared_panel(spark, sf)
     held = trend_month(split(monthly, HOLDOUT))
     best = records.choose(held).select("series", "param_id")
-    sets = F.broadcast(param_grid(spark, TREND_MONTH_GRID))
+    sets = param_grid(spark, TREND_MONTH_GRID)
     return monthly.join(best.join(sets, "param_id"), "series").select(
         "series", "ds", "y", "param_id", "growth", "seasonality_mode"
     )
@@ -283,19 +283,19 @@ def recursive_forecast(spark, sf):
 
 
 INTERVALS = f"""{ROLLED}, residuals AS (
-  SELECT series, t - start_idx - train_n AS step, y - yhat AS residual FROM predicted
+  SELECT series, y - yhat AS residual FROM predicted
   WHERE param_id = 0 AND part = 'val' AND y IS NOT NULL), spread AS (
-  SELECT series, step, quantile_cont(residual, 0.1) AS low, quantile_cont(residual, 0.9) AS high
-  FROM residuals GROUP BY 1, 2)
+  SELECT series, quantile_cont(residual, 0.1) AS low, quantile_cont(residual, 0.9) AS high
+  FROM residuals GROUP BY 1)
 SELECT p.series, strftime(p.ds, '%Y-%m') AS ds, round(yhat, 4) AS yhat, round(yhat + low, 4) AS lower,
        round(yhat + high, 4) AS upper
-FROM predicted p LEFT JOIN spread s ON s.series = p.series AND s.step = p.t - p.n
+FROM predicted p LEFT JOIN spread s ON s.series = p.series
 WHERE fold_id = -1 AND param_id = 0 AND part = 'future'"""
 
 
 @query("interval_columns", INTERVALS)
 def interval_columns(spark, sf):
-    """Forecast with the 10 % and 90 % points of fold residuals at the same step."""
+    """Three years ahead with the 10 % and 90 % points of the folds' residuals."""
     rows = fit_trend_month(fold_rows(spark, sf, ROLLING, final=True), LINEAR)
     bounded = scoring.with_intervals(rows).select("series", "ds", "yhat", "lower", "upper")
     return rounded(bounded, "yhat", "lower", "upper")

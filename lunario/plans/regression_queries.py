@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from lunario.fixed import DECOMPOSED_GRID
 from lunario.operators import panel
 from lunario.operators.models import records
 from lunario.operators.models.autoregression import decomposed_ar
@@ -14,7 +15,6 @@ from lunario.plans.registry import query, rounded
 
 TREND_GRID = {"growth": ["linear"], "n_changepoints": [10], "seasonality_mode": ["additive", "multiplicative"]}
 AR_GRID = {"growth": ["discontinuous", "linear"], "n_changepoints": [1], "seasonality_mode": ["additive"]}
-LAGS_GRID = {"lags": [2, 6, 12]}
 TREE_GRID = {"colsample_bytree": [1.0], "learning_rate": [0.1], "max_depth": [3], "n_estimators": [5, 10]}
 
 
@@ -150,10 +150,10 @@ def decomposed_sql(lags, final):
   WHERE l.part <> 'train')"""
 
 
-@query("decomposed_ar_forecast", f"WITH RECURSIVE {decomposed_sql([2, 6, 12], final=True)}, {CHOSEN}")
+@query("decomposed_ar_forecast", f"WITH RECURSIVE {decomposed_sql(DECOMPOSED_GRID["lags"], final=True)}, {CHOSEN}")
 def decomposed_ar_forecast(spark, sf):
-    """Detrend, deseason, autoregress on 2, 6 or 12 months, revert."""
-    return _forecast(decomposed_ar(fold_rows(spark, sf), LAGS_GRID))
+    """Detrend, deseason, autoregress on 2 to 18 months, revert."""
+    return _forecast(decomposed_ar(fold_rows(spark, sf), DECOMPOSED_GRID))
 
 
 @query("panel_trees")

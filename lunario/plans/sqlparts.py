@@ -4,19 +4,19 @@ NATIONAL = """national AS (
   SELECT 'total' AS series, CAST(date_trunc('month', o_orderdate) AS DATE) AS ds,
          CAST(count(*) AS DOUBLE) AS y,
          CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS DOUBLE) / CAST(100 AS DOUBLE) AS amount
-  FROM orders WHERE o_orderdate < TIMESTAMP '2001-08-01' GROUP BY 1, 2)"""
+  FROM orders GROUP BY 1, 2)"""
 
 PANEL_5 = """panel AS (
   SELECT c_mktsegment AS series, CAST(date_trunc('month', o_orderdate) AS DATE) AS ds,
          CAST(count(*) AS DOUBLE) AS y
   FROM orders JOIN customer ON o_custkey = c_custkey
-  WHERE o_orderdate < TIMESTAMP '2001-08-01' GROUP BY 1, 2)"""
+  GROUP BY 1, 2)"""
 
 PANEL_25 = """panel AS (
   SELECT n_name AS series, CAST(date_trunc('month', o_orderdate) AS DATE) AS ds,
          CAST(count(*) AS DOUBLE) AS y
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
-  WHERE o_orderdate < TIMESTAMP '2001-08-01' GROUP BY 1, 2)"""
+  GROUP BY 1, 2)"""
 
 MASKED = PANEL_5.replace("panel AS", "full_panel AS") + """, panel AS (
   SELECT series, ds,

@@ -116,7 +116,14 @@ FILE_FIELDS = """files AS (
     ['NP', 'LSTM', 'XGBoost', 'ARIMA'][(c_custkey // 7) % 4 + 1] AS model,
     CAST(c_custkey % 30 + 1990 AS INTEGER) AS start_year,
     CAST(CASE WHEN c_custkey % 5 = 0 THEN 2028 END AS INTEGER) AS horizon_end
-  FROM customer), named AS (SELECT * FROM files WHERE c_custkey % 9 <> 8), grouped AS (
+  FROM customer), named AS (
+  SELECT c_custkey, c_name, c_mktsegment, model,
+         CASE WHEN c_custkey % 9 <> 8 THEN metric END AS metric, CASE WHEN c_custkey % 9 <> 8 THEN scope END AS scope,
+         CASE WHEN c_custkey % 9 <> 8 THEN attribute END AS attribute,
+         CASE WHEN c_custkey % 9 <> 8 THEN start_year END AS start_year,
+         CASE WHEN c_custkey % 9 <> 8 THEN horizon_end END AS horizon_end
+  FROM files), sheets AS (
+  SELECT c_custkey, c_name || '/' || c_mktsegment || coalesce(':' || metric, '') AS sheet FROM named), grouped AS (
   SELECT *, CASE WHEN lower(metric) IN ('parados', 'afiliados', 'demandantes') THEN 'abc'
                  WHEN lower(metric) IN ('contratos', 'p. contratadas', 'personas contratadas') THEN 'de'
             END AS metric_group FROM named)"""
@@ -143,34 +150,36 @@ def parse_names(spark, sf):
     "sanitize_names",
     f"""WITH {FILE_FIELDS}
 SELECT c_custkey, regexp_replace(c_name, '[^A-Za-z0-9_]', '_', 'g') AS safe,
-       substr(replace(replace(c_name || '/' || c_mktsegment || ':' || metric, '/', '_'), ':', '_'), 1, 31) AS sheet,
+       replace(replace(CASE WHEN length(s.sheet) > 31 THEN substr(s.sheet, 1, 22) || '_' || substr(md5(s.sheet), 1, 8)
+                            ELSE s.sheet END, '/', '_'), ':', '_') AS sheet,
        'Pronostico_' || regexp_replace(metric, '[^A-Za-z0-9_]', '_', 'g') || '_' ||
          CASE WHEN scope = 'atributo' THEN 'por_' || attribute ELSE scope END || '_' || model || '_Ensemble.xlsx'
          AS export_name
-FROM named""",
+FROM named JOIN sheets AS s USING (c_custkey)""",
 )
 def sanitize_names(spark, sf):
-    files = parsed_files(spark, sf).where(F.col("metric").isNotNull())
+    files = parsed_files(spark, sf)
     sheet = F.concat_ws(":", F.concat_ws("/", "c_name", "c_mktsegment"), "metric")
     return files.select(
         "c_custkey",
         text.sanitize_name(F.col("c_name")).alias("safe"),
         text.sheet_name(sheet).alias("sheet"),
-        text.export_name(
-            F.col("metric"), F.col("scope"), F.col("attribute"), F.array("model", F.lit("Ensemble"))
+        # a name that does not parse has no export
+        F.when(
+            F.col("metric").isNotNull(),
+            text.export_name(F.col("metric"), F.col("scope"), F.col("attribute"), F.array("model", F.lit("Ensemble"))),
         ).alias("export_name"),
     )
 
 
 @query("metric_group_lookup", f"WITH {FILE_FIELDS}\nSELECT c_custkey, metric, metric_group FROM grouped")
 def metric_group_lookup(spark, sf):
-    files = parsed_files(spark, sf).where(F.col("metric").isNotNull())
-    return registry.with_metric_group(files).select("c_custkey", "metric", "metric_group")
+    return registry.with_metric_group(parsed_files(spark, sf)).select("c_custkey", "metric", "metric_group")
 
 
 def _requests(spark, sf):
-    files = parsed_files(spark, sf).where(F.col("metric").isNotNull())
-    return registry.with_metric_group(files).select("c_custkey", "metric_group", "scope", "model")
+    files = registry.with_metric_group(parsed_files(spark, sf))
+    return files.select("c_custkey", "metric_group", "scope", "model")
 
 
 @query(

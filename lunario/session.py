@@ -30,11 +30,14 @@ _LOCAL = []
 def scratch_path(spark, name):
     """A fresh path in the shared folder named by spark.checkpoint.dir.
 
-    Only where that setting is absent (tests on one machine) is a temporary
-    folder made for it.
+    Only where that setting is absent and the session runs on one machine, as
+    in tests, is a temporary folder made for it. Whoever sets the folder owns
+    what is left in it.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         if not _LOCAL:
             _LOCAL.append(tempfile.mkdtemp(prefix="run-"))
         base = _LOCAL[0]

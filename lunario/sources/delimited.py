@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 from lunario.fixed import DATE_HEADERS, WIDE_GATE
 from lunario.functions import text
 from lunario.functions.calendar import month_label
+from lunario.functions.columns import computed_once
 from lunario.session import written
 from lunario.sources.names import logical_file
 
 BOM = "﻿"
+NO_ROWS = 0  # position of the one observation of a file without values
+YEARS = (1000, 2999)  # a month outside is a mistyped one
 
 # A cell is everything after a separator up to the next one; a cell that opens
 # with a quote runs to its closing quote.
@@ -54,17 +57,30 @@ def profile_files(lines):
         F.min_by("value", "pos").alias("raw_header"),
         F.min("pos").alias("header_pos"),
         F.bool_and(F.is_valid_utf8("value")).alias("utf8"),
-        F.count(F.lit(1)).alias("n_lines"),
+        F.count_if(text.strip(F.col("value")) != "").alias("n_lines"),
     )
     header = F.replace(decoded(F.col("raw_header"), F.col("utf8")), F.lit(BOM), F.lit(""))
-    return per_file.where("n_lines >= 2").select(
+    found = per_file.select(
         "path",
+        "raw_header",
         "header_pos",
         "utf8",
         "n_lines",
-        header.alias("header"),
+        header.alias("text"),
         F.when(header.contains("\t"), "\t").otherwise(";").alias("sep"),
     )
+    cells = computed_once(found, {"cells": F.transform(split_cells(F.col("text"), F.col("sep")), text.strip)})
+    return cells.select("*", distinct_names(F.col("cells")).alias("header")).drop("text", "cells")
+
+
+def distinct_names(cells):
+    """A name that stands to the left already gets its number of times appended: A, A.1, A.2."""
+
+    def name(cell, i):
+        before = F.size(F.filter(F.slice(cells, 1, i), lambda c: c == cell))
+        return F.when(before > 0, F.concat(cell, F.lit("."), before.cast("string"))).otherwise(cell)
+
+    return F.transform(cells, name)
 
 
 def split_cells(line, sep):
@@ -103,9 +119,12 @@ def cells_long(rows):
         (F.size("header") - 1).alias("n_series"),
         "fecha_raw",
         "ds",
-        F.posexplode(F.arrays_zip("header", F.expr("slice(cells, 1, size(header))").alias("cells"))).alias("at", "cell"),
+        F.posexplode(F.arrays_zip("header", "cells")).alias("at", "cell"),
     )
-    return located.where(F.col("at") + 1 != F.col("date_pos")).select(
+    # cells beyond the header have no series; only those that say something are kept, as rejects
+    surplus = F.col("cell.header").isNull()
+    told = ~surplus | (text.strip(F.col("cell.cells")) != "")
+    return located.where((F.col("at") + 1 != F.col("date_pos")) & told).select(
         "file_id",
         "pos",
         text.strip(F.col("cell.header")).alias("series"),
@@ -124,23 +143,52 @@ def read_rows(spark, path):
 
 
 def rows_of(lines):
-    files = written(profile_files(lines), "file_profile")
+    return rows_with(lines, written(profile_files(lines), "file_profile"))
+
+
+def rows_with(lines, files):
+    """Data rows of ``lines``, given the profile of their files.
+
+    The header is the line in a file's first block that equals the first line;
+    line numbers depend on how a scan packs files and are not compared.
+    """
     line = decoded(F.col("value"), F.col("utf8"))
+    header = (F.col("pos.block") == F.col("header_pos.block")) & F.col("value").eqNullSafe(F.col("raw_header"))
     return (
         lines.join(files, "path")
-        .where((F.col("pos") != F.col("header_pos")) & (text.strip(F.col("value")) != ""))
+        .where(~header & (text.strip(F.col("value")) != ""))
         .select(
             logical_file(F.col("path")).alias("file_id"),
             "pos",
-            split_cells(F.col("header"), F.col("sep")).alias("header"),
+            "header",
             split_cells(line, F.col("sep")).alias("cells"),
         )
     )
 
 
+def without_values(files):
+    """One observation, a reject, for every file that has no data rows or no column but the date."""
+    empty = files.where((F.col("n_lines") < 2) | (F.size("header") < 2))
+    return empty.select(
+        logical_file(F.col("path")).alias("file_id"),
+        F.col("header_pos").alias("pos"),
+        F.lit(None).cast("string").alias("series"),
+        F.lit(NO_ROWS).alias("col_pos"),
+        F.lit(0).alias("n_series"),
+        F.lit(None).cast("string").alias("fecha_raw"),
+        F.lit(None).cast("date").alias("ds"),
+        F.lit(None).cast("string").alias("raw"),
+    )
+
+
 def read_series_files(spark, path):
     """Observations (raw texts, parsed month and value) of all files under ``path``."""
-    return parse_cells(cells_long(read_rows(spark, path)))
+    return observations(read_lines(spark, path))
+
+
+def observations(lines):
+    files = written(profile_files(lines), "file_profile")
+    return parse_cells(cells_long(rows_with(lines, files)).unionByName(without_values(files)))
 
 
 def parse_cells(cells):
@@ -149,9 +197,15 @@ def parse_cells(cells):
 
 def split_rejects(obs):
     """(accepted, rejected) observations; a missing marker is not a reject."""
-    reason = F.when(F.col("ds").isNull(), "bad_date").when(
-        F.col("y").isNull() & ~text.is_missing(F.col("raw")), "bad_number"
-    )
+    bad_number = F.col("y").isNull() & ~text.is_missing(F.col("raw"))
+    reason = F.when(F.col("ds").isNull(), "bad_date").when(bad_number, "bad_number")
+    if {"col_pos", "series"} <= set(obs.columns):
+        reason = (
+            F.when(F.col("col_pos") == NO_ROWS, "no_rows").when(F.col("series").isNull(), "extra_cells").otherwise(reason)
+        )
+    if "ds" in obs.columns:
+        year = F.year("ds")
+        reason = F.coalesce(reason, F.when(~year.between(*YEARS), "bad_year"))
     marked = obs.withColumn("reason", reason)
     return marked.where("reason is null").drop("reason"), marked.where("reason is not null")
 
@@ -170,9 +224,9 @@ def wide_file_gate(obs, gate=WIDE_GATE):
     )
 
 
-def select_series_range(obs, lo, hi, gate=WIDE_GATE):
-    """Keep value columns ``lo..hi`` in files over the gate; others stay whole."""
-    return obs.where((F.col("n_series") <= gate) | F.col("col_pos").between(lo, hi))
+def select_series_range(obs, lo, hi):
+    """Keep value columns ``lo..hi`` of every file, whatever its width."""
+    return obs.where(F.col("col_pos").between(lo, hi))
 
 
 def last_month(obs):

@@ -4,11 +4,11 @@ The file source hands over whole files, so a file never spans two batches and
 each batch is scanned exactly like a folder read at once.
 """
 
-from lunario.sources.delimited import FILE_FIELDS, cells_long, parse_cells, rows_of, with_position
+from lunario.sources.delimited import FILE_FIELDS, observations, with_position
 
 
 def observations_of_batch(lines):
-    return parse_cells(cells_long(rows_of(with_position(lines))))
+    return observations(with_position(lines))
 
 
 def clean_arrivals(spark, folder, out, checkpoint, **trigger):

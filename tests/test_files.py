@@ -31,7 +31,7 @@ def files(tmp_path):
 
 def test_scan(spark, files):
     obs = delimited.read_series_files(spark, files).cache()
-    rows = {(r.file_id.split(" ")[0], r.series, r.fecha_raw): (r.ds, r.y, r.col_pos) for r in obs.collect()}
+    rows = {(r.file_id.rsplit("/", 1)[-1].split(" ")[0], r.series, r.fecha_raw): (r.ds, r.y, r.col_pos) for r in obs.where("col_pos > 0").collect()}
     jan, feb = dt.date(2012, 1, 1), dt.date(2012, 2, 1)
     assert rows == {
         ("Contratos", "Castilla; León", "ENERO DE 2012"): (jan, 1234.5, 1),
@@ -45,15 +45,15 @@ def test_scan(spark, files):
         ("notas.csv", 'dice "hola"', "01/02/2020"): (dt.date(2020, 2, 1), 5.0, 1),
     }
     accepted, rejected = delimited.split_rejects(obs)
-    assert sorted(r.reason for r in rejected.collect()) == ["bad_date", "bad_date", "bad_number"]
+    assert sorted(r.reason for r in rejected.collect()) == ["bad_date", "bad_date", "bad_number", "no_rows"]
     assert accepted.count() == 6
-    last = {r.file_id: r.last_ds for r in delimited.last_month(obs).collect()}
+    last = {r.file_id.rsplit("/", 1)[-1]: r.last_ds for r in delimited.last_month(obs).collect()}
     assert last["Contratos desde 2012 por CCAA.csv"] == feb
 
 
 def test_cleaned_panel_reports_unknown_names(spark, files):
     panel, rejects = cleaned_panel(delimited.read_series_files(spark, files))
-    assert {r.reason for r in rejects.collect()} == {"bad_date", "bad_number", "bad_name"}
+    assert {r.reason for r in rejects.collect()} == {"bad_date", "bad_number", "bad_name", "no_rows"}
     assert {(r.metric_group, r.scope) for r in panel.collect()} == {("de", "atributo"), ("abc", "estatal")}
 
 
@@ -75,14 +75,14 @@ def test_large_file_is_split_and_kept_in_order(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
-def test_series_range_applies_only_over_the_gate(spark):
+def test_series_range_applies_whatever_the_width(spark):
     rows = spark.range(1, 61).select(
         F.lit("wide").alias("file_id"), F.col("id").cast("int").alias("col_pos"), F.lit(60).alias("n_series")
     ).union(spark.range(1, 6).select(F.lit("small"), F.col("id").cast("int"), F.lit(5)))
     kept = delimited.select_series_range(rows, 3, 10)
     assert {r.file_id: r.n for r in kept.groupBy("file_id").agg(F.count("*").alias("n")).collect()} == {
         "wide": 8,
-        "small": 5,
+        "small": 3,
     }
     assert {r.file_id: r.needs_range for r in delimited.wide_file_gate(rows).collect()} == {
         "wide": True,
@@ -91,9 +91,49 @@ def test_series_range_applies_only_over_the_gate(spark):
 
 
 def test_cleaned_wide_files_can_be_scanned_again(spark, files, tmp_path):
-    obs = delimited.read_series_files(spark, files).where("file_id like 'Contratos%'")
+    obs = delimited.read_series_files(spark, files).where("file_id like '%/Contratos%'")
     out = str(tmp_path / "out")
     sinks.write_clean_wide(obs, ["Castilla; León", "Cataluña"], out)
     again = delimited.read_series_files(spark, f"{out}/*")
     key = lambda r: (r.file_id, r.series, str(r.ds), r.y)
     assert sorted(map(key, again.collect()), key=str) == sorted(map(key, obs.collect()), key=str)
+
+
+def test_surplus_cells_repeated_headers_and_empty_files(spark, tmp_path):
+    put(tmp_path, "Parados desde 2010 por CCAA.csv", "Fecha;A;A\n2010-01;1;2;\n2010-02;3;4;5;6\n2010-03;7\n")
+    put(tmp_path, "Afiliados desde 2010 por CCAA.csv", "Fecha;A\n\n  \n")
+    put(tmp_path, "Contratos desde 2010 por CCAA.csv", "Fecha\n2010-01\n")
+    put(tmp_path, "Demandantes desde 2010 por CCAA.csv", "Fecha;A\nene 123;4\n")
+    accepted, rejected = delimited.split_rejects(delimited.read_series_files(spark, str(tmp_path)))
+    assert sorted((r.series, r.ds.month, r.y) for r in accepted.where("y is not null").collect()) == [
+        ("A", 1, 1.0), ("A", 2, 3.0), ("A", 3, 7.0), ("A.1", 1, 2.0), ("A.1", 2, 4.0)
+    ]
+    found = sorted((r.file_id.rsplit("/", 1)[-1].split(" ")[0], r.reason, r.raw or "") for r in rejected.collect())
+    assert found == [
+        ("Afiliados", "no_rows", ""),
+        ("Contratos", "no_rows", ""),
+        ("Demandantes", "bad_year", "4"),
+        ("Parados", "extra_cells", "5"),
+        ("Parados", "extra_cells", "6"),
+    ]
+
+
+def test_files_of_one_name_stay_apart(spark, tmp_path):
+    for folder, value in (("a", 1), ("b", 2)):
+        (tmp_path / folder).mkdir()
+        put(tmp_path / folder, "Parados desde 2010 estatal.CSV", f"Fecha;Total\n2010-01;{value}\n")
+    panel, _ = cleaned_panel(delimited.read_series_files(spark, f"{tmp_path}/*"))
+    assert sorted(r.y for r in panel.collect()) == [1.0, 2.0]
+
+
+def test_header_does_not_depend_on_how_files_are_packed(spark, tmp_path):
+    for k in range(6):
+        rows = "".join(f"{2000 + m // 12}-{m % 12 + 1:02d};{m}\n" for m in range(12))
+        put(tmp_path, f"Parados desde 200{k} estatal.csv", "Fecha;Total\n" + rows)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100")
+    try:
+        files = delimited.written(delimited.profile_files(delimited.read_lines(spark, str(tmp_path))), "profile")
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    rows = delimited.rows_with(delimited.read_lines(spark, str(tmp_path)).coalesce(1), files)
+    assert rows.count() == 72

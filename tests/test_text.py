@@ -95,9 +95,12 @@ def test_parse_series_name(spark):
 @pytest.mark.parametrize(
     "path, name",
     [
-        ("file:/d/Parados%20desde%202010%20estatal.csv", "Parados desde 2010 estatal.csv"),
-        ("file:/d/a+b.csv/part-0000-x.csv", "a+b.csv"),
+        ("file:/d/Parados%20desde%202010%20estatal.csv", "file:/d/Parados desde 2010 estatal.csv"),
+        ("file:/d/a+b.csv/part-0000-x.csv", "file:/d/a+b.csv"),
         ("s3://b/file_id=x%20y.csv/part-0.csv", "x y.csv"),
+        ("s3://b/file_id=s3%253A%252F%252Fa%252Fx.csv/part-0.csv", "s3://a/x.csv"),
+        ("file:/d/X.CSV", "file:/d/X.CSV"),
+        ("file:/d/plain.txt", "file:/d/plain.txt"),
     ],
 )
 def test_logical_file(spark, path, name):
@@ -112,7 +115,14 @@ def test_rounding_is_half_even(spark):
 def test_names_for_export(spark):
     got = evaluate(spark, ["Sección/A b"], text.sanitize_name)
     assert got == ["Sección_A_b"]
-    assert evaluate(spark, ["a/b:c[1]" + "x" * 40], text.sheet_name) == ["a_b_c_1_" + "x" * 23]
+    assert evaluate(spark, ["a/b:c[1]"], text.sheet_name) == ["a_b_c_1_"]
+    long = evaluate(spark, ["a/b:c[1]" + "x" * 40, "a/b:c[1]" + "x" * 41], text.sheet_name)
+    assert len(set(long)) == 2 and all(len(s) == 31 and s.startswith("a_b_c_1_" + "x" * 14) for s in long)
+
+
+def test_exponents_and_white_space(spark):
+    got = evaluate(spark, ["1e99", "1e100", "1e999", "7\u00a0", "\u2003 8 \u3000"], text.clean_number)
+    assert got == [1e99, 1e100, None, 7.0, 8.0]
 
 
 def test_horizon(spark):
