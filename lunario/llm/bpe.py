@@ -19,6 +19,7 @@ import mmap
 import re
 import unicodedata
 from collections import Counter
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,8 @@ from lunario.llm.transducer import Transducer, compiled
 
 LEXICON_WORDS = 200_000
 COUNTED_AT_ONCE = 300_000
-REMEMBERED = 200_000
+REMEMBERED = 300_000
+REMEMBERED_PIECES = 50_000
 
 
 def byte_letters():
@@ -151,7 +153,7 @@ class ExactBpe:
 
     def encode_words(self, words: list) -> list:
         """Packed ids (little-endian unsigned 32-bit) of every word (str)."""
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > REMEMBERED_PIECES:
             self.known.clear()
         cut = [self.pieces.of(w) for w in words]
         new = {p for pieces in cut for p in pieces if p not in self.known}
@@ -203,25 +205,33 @@ _OPEN = {}
 
 
 def _opened(name, spec):
-    """The mapped lexicon and the exact encoder, once per worker process."""
+    """The mapped lexicon, the exact encoder and the words met so far, once per worker process."""
     if name not in _OPEN:
         _OPEN.clear()
         with open(SparkFiles.get(name), "rb") as file:
-            _OPEN[name] = Transducer(mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ)), ExactBpe(spec.value)
+            _OPEN[name] = Transducer(mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ)), ExactBpe(spec.value), {}
     return _OPEN[name]
 
 
-def encoded(texts: list, lexicon: Transducer, exact: ExactBpe) -> list:
-    """The ids of every text (bytes), as little-endian unsigned 32-bit integers."""
+def encoded(texts: list, lexicon: Transducer, exact: ExactBpe, known: dict) -> list:
+    """The ids of every text (bytes), as little-endian unsigned 32-bit integers.
+
+    ``known`` keeps words for the next call; the words met first, which are the
+    common ones, stay when it is full.
+    """
+    if len(known) > REMEMBERED:
+        common = list(islice(known.items(), REMEMBERED // 2))
+        known.clear()
+        known.update(common)
     distinct = set()
     for text in texts:
         distinct.update(text.split())
-    distinct = list(distinct)
-    ranks = lexicon.ranks(distinct).tolist() if distinct else []
-    ids = {word: lexicon.ids_of(rank).tobytes() for word, rank in zip(distinct, ranks) if rank >= 0}
-    missing = [word for word, rank in zip(distinct, ranks) if rank < 0]
-    ids.update(zip(missing, exact.encode_words([word.decode() for word in missing])))
-    return [b"".join(map(ids.__getitem__, text.split())) for text in texts]
+    new = list(distinct.difference(known))
+    ranks = lexicon.ranks(new).tolist() if new else []
+    known.update((word, lexicon.ids_of(rank).tobytes()) for word, rank in zip(new, ranks) if rank >= 0)
+    missing = [word for word, rank in zip(new, ranks) if rank < 0]
+    known.update(zip(missing, exact.encode_words([word.decode() for word in missing])))
+    return [b"".join(map(known.__getitem__, text.split())) for text in texts]
 
 
 class Codec:
@@ -247,10 +257,10 @@ class Codec:
 
         @F.arrow_udf("binary")
         def bpe_ids(texts: pa.Array) -> pa.Array:
-            lexicon, exact = _opened(name, spec)
+            lexicon, exact, known = _opened(name, spec)
             out, values = [], binary_values(texts)
             for at in range(0, len(values), 2000):
-                out += encoded(values[at : at + 2000], lexicon, exact)
+                out += encoded(values[at : at + 2000], lexicon, exact, known)
             return pa.array(out, pa.binary())
 
         return bpe_ids(text)
@@ -261,7 +271,7 @@ class Codec:
 
         @F.arrow_udf("string")
         def bpe_text(packed: pa.Array) -> pa.Array:
-            _, exact = _opened(name, spec)
+            exact = _opened(name, spec)[1]
             values = (np.frombuffer(b or b"", "<u4").tolist() for b in packed.to_pylist())
             return pa.array(map(exact.decode, values), pa.string())
 

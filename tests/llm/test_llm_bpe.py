@@ -50,7 +50,7 @@ def noise(n):
 def test_exact_merges_equal_the_library(library, spec):
     exact, lexicon = ExactBpe(spec), Transducer(compiled([]))
     texts = [*noise(4000), "a" * 3000, "x" * 200 + "é" * 500, "the The THE, the."]
-    for text, packed in zip(texts, encoded([t.encode() for t in texts], lexicon, exact)):
+    for text, packed in zip(texts, encoded([t.encode() for t in texts], lexicon, exact, {})):
         ids = library.encode(text, add_special_tokens=False).ids
         assert np.frombuffer(packed, "<u4").tolist() == ids, repr(text)
         assert exact.decode(ids) == library.decode(ids, skip_special_tokens=False)
