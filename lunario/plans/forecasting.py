@@ -69,7 +69,8 @@ def cleaned_panel(obs):
     """(panel, rejects): one row per file, series and month of usable files.
 
     Files with one national series keep their first value column. Rejects are
-    unreadable cells and files whose name or metric is unknown, with a reason.
+    unreadable cells, files whose name or metric is unknown and further columns
+    of national files, with a reason.
     """
     accepted, rejected = split_rejects(obs)
     known = registry.with_metric_group(with_file_metadata(accepted))
@@ -77,18 +78,26 @@ def cleaned_panel(obs):
         "reason", F.when(F.col("metric").isNull(), "bad_name").otherwise("unknown_metric")
     )
     usable = known.where("metric_group is not null and (scope = 'atributo' or col_pos = 1)")
+    beyond = known.where("metric_group is not null and scope = 'estatal' and col_pos > 1").withColumn(
+        "reason", F.lit("not_first_column")
+    )
     # a national file whose value column has no header is named by its metric
     named = F.when((F.col("scope") == "estatal") & (F.col("series") == ""), F.col("metric")).otherwise(F.col("series"))
     usable = usable.withColumn("series", named)
     fields = ["metric_group", "scope"]
     return (
         month_panel(usable, [*fields, *KEYS]),
-        rejected.unionByName(unknown.select(*rejected.columns)),
+        rejected.unionByName(unknown.select(*rejected.columns)).unionByName(beyond.select(*rejected.columns)),
     )
 
 
-def forecast_all(obs, end=None, rolling=None, holdout=HOLDOUT_MONTHS, grids=None, models=None):
-    """Forecast rows of all files, series and available models, plus their mean.
+def forecast_all(obs, **options):
+    """The forecasts of ``forecast_with_rejects`` alone."""
+    return forecast_with_rejects(obs, **options)[0]
+
+
+def forecast_with_rejects(obs, end=None, rolling=None, holdout=HOLDOUT_MONTHS, grids=None, models=None):
+    """(forecast rows of all files, series and available models, rejects of the cleaning).
 
     ``end`` is the last month to forecast as a date column that may use
     ``last_ds``; by default December of the third year after the last month.
@@ -102,7 +111,8 @@ def forecast_all(obs, end=None, rolling=None, holdout=HOLDOUT_MONTHS, grids=None
     def scheme(t, n):
         return F.when(F.col("scope") == "estatal", by_rolling(t, n)).otherwise(by_holdout(t, n))
 
-    clean = written(cleaned_panel(obs)[0], "panel")
+    usable, rejects = cleaned_panel(obs)
+    clean = written(usable, "panel")
 
     def run(job):
         model, group, grid, scopes = job
@@ -116,7 +126,7 @@ def forecast_all(obs, end=None, rolling=None, holdout=HOLDOUT_MONTHS, grids=None
     if not jobs:
         raise ValueError(f"no model is available among {models}")
     with ThreadPool(len(jobs)) as pool:
-        return stack_models(*pool.map(inheritable_thread_target(obs.sparkSession)(run), jobs))
+        return stack_models(*pool.map(inheritable_thread_target(obs.sparkSession)(run), jobs)), rejects
 
 
 def publish(forecasts):

@@ -83,7 +83,7 @@ def test_jobs_cover_the_registry():
         [("abc", s, m) for s in ("estatal", "atributo") for m in ("NP", "LSTM")]
         + [("de", s, m) for s in ("estatal", "atributo") for m in ("NP", "XGBoost")]
     )
-    assert len(planned_jobs(RUN_GRIDS)) == 5
+    assert len(planned_jobs(RUN_GRIDS)) == 6
 
 
 def test_the_full_trend_grid_runs(spark):

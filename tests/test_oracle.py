@@ -1,5 +1,7 @@
 """Every query with check SQL gives the same rows as that SQL."""
 
+import re
+
 import pytest
 
 import __spark_entry__ as entry
@@ -22,4 +24,6 @@ def test_same_rows(spark, con, name):
 
 def test_every_check_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"panel_trees", "end_to_end_forecast"}
+    # the numbered operators and the pipeline have their own tests
+    unchecked = {n for n in set(entry.queries()) - set(entry.oracle_sql()) if not re.match(r"op\d+_|pipeline$", n)}
+    assert unchecked == {"panel_trees", "end_to_end_forecast"}
