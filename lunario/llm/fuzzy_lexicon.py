@@ -4,6 +4,10 @@ The automaton of a word is kept as bit sets: bit i of ``rows[e]`` says that the
 letters read so far match the first i letters of the word with e edits. Walking
 down the trie feeds it one letter at a time, and a branch ends as soon as all
 sets are empty. How many edits a term allows depends on its length.
+
+With e edits at least one of e + 1 parts of a term stays whole, so a word is only
+walked down the tries of the terms that share such a part with it. Each of these
+tries is built when a word first asks for it.
 """
 
 
@@ -27,19 +31,14 @@ class FuzzyLexicon:
         stems = {t[:-1] for t in weights if t.endswith(STEM)}
         self.stems, self.stem_sizes = stems, sorted({len(t) for t in stems})
         weights = {t: w for t, w in weights.items() if not t.endswith(STEM)}
-        self.root = {}
-        self.parts = {}
+        self.parts, self.tries = {}, {}
         for term in weights:
-            node = self.root
-            for letter in term:
-                node = node.setdefault(letter, {})
-            node[None] = term
             self._note_parts(term)
         self.shapes = sorted(self.parts)
         self.longest = max((len(t) + edits_for(len(t)) for t in weights), default=0)
 
     def _note_parts(self, term):
-        """With e edits at least one of e + 1 parts of a term stays whole, moved by e places at most."""
+        """The parts of a term, each wherever e edits may move it."""
         e, m = edits_for(len(term)), len(term)
         cuts = [k * m // (e + 1) for k in range(e + 2)]
         for a, b in zip(cuts, cuts[1:]):
@@ -47,15 +46,24 @@ class FuzzyLexicon:
                 if a + moved >= 0 and not (a == 0 and moved) and not (b == m and moved):
                     # the last part is counted from the end, where no place before it matters
                     shape = (a - m, b - m) if b == m and a else (a + moved, b + moved)
-                    self.parts.setdefault(shape, set()).add(term[a:b])
+                    self.parts.setdefault(shape, {}).setdefault(term[a:b], []).append(term)
 
-    def _may_match(self, word):
-        parts = self.parts
+    def _tries(self, word):
+        """The tries of the terms that share a part with the word."""
         for shape in self.shapes:
             a, b = shape
-            if (word[a:] if b == 0 else word[a:b]) in parts[shape]:
-                return True
-        return False
+            part = word[a:] if b == 0 else word[a:b]
+            terms = self.parts[shape].get(part)
+            if terms:
+                root = self.tries.get((shape, part))
+                if root is None:
+                    root = self.tries[shape, part] = {}
+                    for term in terms:
+                        node = root
+                        for letter in term:
+                            node = node.setdefault(letter, {})
+                        node[None] = term
+                yield root
 
     def nearest(self, word: str):
         """(term, edits) with the fewest edits, ties to the heavier and then smaller term; None if none is near."""
@@ -64,14 +72,17 @@ class FuzzyLexicon:
         for size in self.stem_sizes:
             if word[:size] in self.stems:
                 return word[:size] + STEM, 0
-        if len(word) > self.longest or not self._may_match(word):
+        if len(word) > self.longest:
+            return None
+        roots = list(self._tries(word))
+        if not roots:
             return None
         places = {}
         for i, letter in enumerate(word):
             places[letter] = places.get(letter, 0) | 1 << i
         whole, full = 1 << len(word), (2 << len(word)) - 1
         best = None
-        stack = [(self.root, 1, 3 & full, 7 & full)]
+        stack = [(root, 1, 3 & full, 7 & full) for root in roots]
         while stack:
             node, r0, r1, r2 = stack.pop()
             for letter, below in node.items():

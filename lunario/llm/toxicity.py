@@ -11,13 +11,12 @@ predicted toxic, however many labels are.
 
 Learned are labels of at most ``SAMPLE`` rows a class, those with the smallest
 hash of doc_id, and only from rows outside the held-out fold. Word counts of the
-sample are summed over the cluster; the driver gets the lexicon (at most
-``LEXICON_TERMS``), its near clean words and two numbers a sampled row. Inflected
-forms that share a beginning are taken together as a stem. A term must stand in
-``LEAST_CONTEXTS`` different surroundings, or words of one much copied document
-would pass for terms. At most
-``FUZZY_TERMS`` terms that are no stems, those with the largest gain, are looked
-for with edits.
+sample are summed over the cluster; the driver gets the lexicon (as many terms as
+the words of the sample bear out), its near clean words and two numbers a sampled
+row. Inflected forms that share a beginning are taken together as a stem. A term
+must stand in ``LEAST_CONTEXTS`` different surroundings, or words of one much
+copied document would pass for terms. All terms that are no stems are looked for
+with edits.
 
 Defined results: null and empty texts have no hits and the lowest score. A null
 doc_id is not held out. Repeated rows stay, one result row each; a doc_id with
@@ -39,11 +38,9 @@ from lunario.llm.fuzzy_lexicon import STEM, FuzzyLexicon
 
 FOLDS, HELD_OUT = 5, 0
 SAMPLE = 20_000
-LEXICON_TERMS = 4_000
 STEM_SIZES = (4, 5, 6)
 LEAST_FORMS = 4
 STEM_CLEAN = 0.02
-FUZZY_TERMS = 300
 LEAST_CONTEXTS = 10
 LEAST_GAIN = 12.0
 LEAST_TELLING = 3.0
@@ -188,9 +185,9 @@ def _context_counts(texts, terms):
 
 
 def _with_stems(counts, weights, n_toxic, n_clean):
-    """Forms of one stem become the stem; of the other terms the first FUZZY_TERMS stay.
+    """Forms of one stem become the stem; all other terms stay.
 
-    ``weights`` comes in order of gain. A stem is a beginning that at least
+    A stem is a beginning that at least
     LEAST_FORMS terms share and that is rare in words of clean documents.
     """
     forms = {}
@@ -211,7 +208,7 @@ def _with_stems(counts, weights, n_toxic, n_clean):
                 toxic, clean = (toxic + 0.5) / (n_toxic + 1.0), (clean + 0.5) / (n_clean + 1.0)
                 if clean <= STEM_CLEAN * toxic and not any(stem[:k] in stems for k in STEM_SIZES):
                     stems[stem] = min(math.log(toxic / clean), max(weights[t] for t in forms[stem]))
-    single = [t for t in weights if not any(t[:k] in stems for k in STEM_SIZES)][:FUZZY_TERMS]
+    single = [t for t in weights if not any(t[:k] in stems for k in STEM_SIZES)]
     return {t: weights[t] for t in single} | {stem + STEM: w for stem, w in stems.items()}
 
 
@@ -235,8 +232,7 @@ class ToxicityModel:
         telling = F.log((F.col("toxic") + 0.5) / (n_toxic + 1.0)) - F.log((F.col("clean") + 0.5) / (n_clean + 1.0))
         scored = counts.where(F.col("toxic") > 0).select("word", gain.alias("gain"), telling.alias("telling"))
         terms = scored.where((F.col("gain") >= LEAST_GAIN) & (F.col("telling") > LEAST_TELLING) & (F.length("word") > 1))
-        terms = terms.orderBy(F.desc("gain"), "word").limit(LEXICON_TERMS).collect()
-        weights = {r["word"]: r["telling"] for r in terms}
+        weights = {r["word"]: r["telling"] for r in terms.orderBy(F.desc("gain"), "word").collect()}
         varied = _context_counts(rows.where("label = 1").select("text"), set(weights))
         weights = {t: w for t, w in weights.items() if varied.get(t, 0) >= LEAST_CONTEXTS}
         weights = _with_stems(counts, weights, n_toxic, n_clean)

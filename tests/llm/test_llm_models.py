@@ -58,6 +58,36 @@ def test_toxicity_on_held_out_rows(spark):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in rows)
 
 
+def _labelled(spark, toxic, clean):
+    """Documents and labels of these texts."""
+    rows = [(i, text, int(i < len(toxic))) for i, text in enumerate(toxic + clean)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    return table.select("doc_id", "text"), table.select("doc_id", "toxic")
+
+
+def _invented(draw, least=6, most=11):
+    return "".join(draw.choice("abcdefghijklmnoprstuvz") for _ in range(draw.randint(least, most)))
+
+
+def test_every_term_of_a_large_lexicon_is_matched(spark):
+    draw = random.Random(5)
+    terms = sorted({_invented(draw) for _ in range(400)})
+    plain = sorted({_invented(draw) for _ in range(300)} - set(terms))
+
+    def around(term):
+        return f"{draw.choice(plain)} {term} {draw.choice(plain)}"
+
+    docs, labels = _labelled(
+        spark,
+        [" ".join(around(t) for t in draw.sample(terms, 40)) for _ in range(400)],
+        [" ".join(draw.choices(plain, k=120)) for _ in range(400)],
+    )
+    weights = ToxicityModel(spark, docs, labels).shared.value["weights"]
+    lexicon = FuzzyLexicon(weights)
+    assert all(lexicon.nearest(t) for t in terms)
+    assert all(lexicon.nearest(t[:3] + "y" + t[4:]) for t in terms)
+
+
 def test_toxicity_without_labels(spark, edge, edge_dir):
     labels = spark.read.parquet(f"{edge_dir}/empty/labels.parquet")
     scores = edge.select(ToxicityModel(spark, edge, labels).score(edge["text"]).alias("s")).collect()
