@@ -23,7 +23,7 @@ class FuzzyLexicon:
     """Terms with weights; finds the nearest term of a word within the term's edits.
 
     A term that ends in ``*`` is a stem: it stands for every word that begins
-    with it, as written.
+    with it, as written, and that is not near a term.
     """
 
     def __init__(self, weights: dict):
@@ -69,9 +69,15 @@ class FuzzyLexicon:
         """(term, edits) with the fewest edits, ties to the heavier and then smaller term; None if none is near."""
         if word in self.weights:
             return word, 0
+        return self._walk(word) or self._stem_of(word)
+
+    def _stem_of(self, word):
         for size in self.stem_sizes:
             if word[:size] in self.stems:
                 return word[:size] + STEM, 0
+        return None
+
+    def _walk(self, word):
         if len(word) > self.longest:
             return None
         roots = list(self._tries(word))

@@ -13,10 +13,10 @@ Learned are labels of at most ``SAMPLE`` rows a class, those with the smallest
 hash of doc_id, and only from rows outside the held-out fold. Word counts of the
 sample are summed over the cluster; the driver gets the lexicon (as many terms as
 the words of the sample bear out), its near clean words and two numbers a sampled
-row. Inflected forms that share a beginning are taken together as a stem. A term
-must stand in ``LEAST_CONTEXTS`` different surroundings, or words of one much
-copied document would pass for terms. All terms that are no stems are looked for
-with edits.
+row. All terms are looked for with edits. Inflected forms that share a beginning
+add it as a stem, which stands for forms that the sample lacks. A term must stand
+in ``LEAST_CONTEXTS`` different surroundings, or words of one much copied document
+would pass for terms.
 
 Defined results: null and empty texts have no hits and the lowest score. A null
 doc_id is not held out. Repeated rows stay, one result row each; a doc_id with
@@ -185,7 +185,7 @@ def _context_counts(texts, terms):
 
 
 def _with_stems(counts, weights, n_toxic, n_clean):
-    """Forms of one stem become the stem; all other terms stay.
+    """``weights`` and the stems of its terms. All forms stay, so that edits reach them.
 
     A stem is a beginning that at least
     LEAST_FORMS terms share and that is rare in words of clean documents.
@@ -208,8 +208,7 @@ def _with_stems(counts, weights, n_toxic, n_clean):
                 toxic, clean = (toxic + 0.5) / (n_toxic + 1.0), (clean + 0.5) / (n_clean + 1.0)
                 if clean <= STEM_CLEAN * toxic and not any(stem[:k] in stems for k in STEM_SIZES):
                     stems[stem] = min(math.log(toxic / clean), max(weights[t] for t in forms[stem]))
-    single = [t for t in weights if not any(t[:k] in stems for k in STEM_SIZES)]
-    return {t: weights[t] for t in single} | {stem + STEM: w for stem, w in stems.items()}
+    return weights | {stem + STEM: w for stem, w in stems.items()}
 
 
 class ToxicityModel:

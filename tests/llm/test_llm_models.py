@@ -88,6 +88,24 @@ def test_every_term_of_a_large_lexicon_is_matched(spark):
     assert all(lexicon.nearest(t[:3] + "y" + t[4:]) for t in terms)
 
 
+def test_stemmed_forms_are_matched_with_edits(spark):
+    draw = random.Random(6)
+    forms = ["vermont" + end for end in ("elo", "isch", "ade", "urno", "ilka")]
+    plain = sorted({_invented(draw) for _ in range(200)})
+    docs, labels = _labelled(
+        spark,
+        [" ".join(f"{draw.choice(plain)} {f} {draw.choice(plain)}" for f in draw.sample(forms, 3)) for _ in range(120)],
+        [" ".join(draw.choices(plain, k=40)) for _ in range(120)],
+    )
+    model = ToxicityModel(spark, docs, labels)
+    lexicon = FuzzyLexicon(model.shared.value["weights"])
+    assert set(forms) <= set(lexicon.weights) and lexicon.stems
+    # a misspelling inside the stem, one behind it, and a form not in the sample
+    assert lexicon.nearest("vexmontisch") == ("vermontisch", 1)
+    assert lexicon.nearest("vermontixch") == ("vermontisch", 1)
+    assert lexicon.nearest("vermontagnard")[0].endswith("*")
+
+
 def test_toxicity_without_labels(spark, edge, edge_dir):
     labels = spark.read.parquet(f"{edge_dir}/empty/labels.parquet")
     scores = edge.select(ToxicityModel(spark, edge, labels).score(edge["text"]).alias("s")).collect()
