@@ -14,9 +14,13 @@ hash of doc_id, and only from rows outside the held-out fold. Word counts of the
 sample are summed over the cluster; the driver gets the lexicon (as many terms as
 the words of the sample bear out), its near clean words and two numbers a sampled
 row. All terms are looked for with edits. Inflected forms that share a beginning
-add it as a stem, which stands for forms that the sample lacks. A term must stand
-in ``LEAST_CONTEXTS`` different surroundings, or words of one much copied document
-would pass for terms.
+add it as a stem, which stands for forms that the sample lacks.
+
+What passes for a term is measured by the labels at hand: of the words with as
+much evidence (log likelihood ratio) as a term has, fewer than ``CHANCE`` may be
+expected if labels were dealt by chance, and its weight, the smoothed log odds,
+shrinks by that share. Copies count once: equal texts are one text, and a word has
+as many toxic documents as surroundings it stands in there, at most.
 
 Defined results: null and empty texts have no hits and the lowest score. A null
 doc_id is not held out. Repeated rows stay, one result row each; a doc_id with
@@ -41,13 +45,14 @@ SAMPLE = 20_000
 STEM_SIZES = (4, 5, 6)
 LEAST_FORMS = 4
 STEM_CLEAN = 0.02
-LEAST_CONTEXTS = 10
-LEAST_GAIN = 12.0
+CHANCE = 0.5
+EXACT_TAILS = 300
 LEAST_TELLING = 3.0
 KNOWN_CLEAN = 2
 CONTEXT = 120
 QUOTED = 0.25
 WITHOUT_HITS = -1.0
+RISE_WITHOUT_FIT = 1.0
 PER_EDIT = 0.6
 REMEMBERED = 200_000
 WORD = re.compile(r"\w+")
@@ -211,6 +216,99 @@ def _with_stems(counts, weights, n_toxic, n_clean):
     return weights | {stem + STEM: w for stem, w in stems.items()}
 
 
+def _gain(toxic, clean, rate):
+    """Log likelihood ratio of a word's own share of toxic documents against ``rate``; 0 for shares up to it."""
+    toxic, clean = np.asarray(toxic, float), np.asarray(clean, float)
+    n = np.maximum(toxic + clean, 1.0)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        found = np.where(toxic > 0, toxic * np.log(toxic / (n * rate)), 0.0)
+        found += np.where(clean > 0, clean * np.log(clean / (n * (1 - rate))), 0.0)
+    return np.where(toxic > n * rate, found, 0.0)
+
+
+def _expected_by_chance(sizes, rate):
+    """How many words reach a gain, or more, if each document is toxic with chance ``rate``.
+
+    ``sizes``: number of words by number of documents. Up to EXACT_TAILS documents
+    the binomial law is summed, above it the bound exp(-gain) stands for its tail.
+    """
+    gains, masses, many = [], [], 0
+    for n, words in sizes.items():
+        if n > EXACT_TAILS:
+            many += words
+            continue
+        toxic = np.arange(n + 1)
+        ways = np.array([math.lgamma(n + 1) - math.lgamma(t + 1) - math.lgamma(n - t + 1) for t in range(n + 1)])
+        gains.append(_gain(toxic, n - toxic, rate))
+        masses.append(words * np.exp(ways + toxic * math.log(rate) + (n - toxic) * math.log1p(-rate)))
+    gains, masses = (np.concatenate(v) if v else np.zeros(0) for v in (gains, masses))
+    order = np.argsort(gains)
+    gains, above = gains[order], np.append(np.cumsum(masses[order][::-1])[::-1], 0.0)
+    return lambda gain: above[np.searchsorted(gains, gain - 1e-9)] + many * np.exp(-gain)
+
+
+def chance_shares(toxic, clean, sizes, rate):
+    """For each word (toxic and clean documents) the share of chance words among those with its gain or more."""
+    gain = _gain(toxic, clean, rate)
+    order = np.argsort(-gain, kind="stable")
+    falling = gain[order]
+    # words of equal gain are found together
+    found = np.searchsorted(-falling, -falling + 1e-9, side="right")
+    share = np.minimum(_expected_by_chance(sizes, rate)(falling) / np.maximum(found, 1), 1.0)
+    out = np.empty(len(gain))
+    # a word is no worse than one with less gain
+    out[order] = np.minimum.accumulate(share[::-1])[::-1]
+    return out
+
+
+def telling_words(counts, texts, n_toxic, n_clean):
+    """Weights of the terms: words of toxic documents with more evidence than chance gives."""
+    rate = n_toxic / (n_toxic + n_clean)
+
+    def odds(toxic, clean):
+        return math.log((toxic + 0.5) / (n_toxic + 1.0)) - math.log((clean + 0.5) / (n_clean + 1.0))
+
+    # the different counts of words, not the words
+    tally = [tuple(r) for r in counts.groupBy("toxic", "clean").count().collect()]
+    sizes = {}
+    for toxic, clean, words in tally:
+        sizes[toxic + clean] = sizes.get(toxic + clean, 0) + words
+    kinds = [(t, c, w) for t, c, w in tally if t and odds(t, c) > LEAST_TELLING]
+    if not kinds:
+        return {}
+    toxic, clean, words = (np.array(v) for v in zip(*kinds))
+    share = chance_shares(np.repeat(toxic, words), np.repeat(clean, words), sizes, rate)
+    first = np.cumsum(words) - words
+    passing = [(int(t), int(c)) for t, c, i in zip(toxic, clean, first) if share[i] < CHANCE]
+    if not passing:
+        return {}
+    few = F.broadcast(counts.sparkSession.createDataFrame(passing, "toxic long, clean long"))
+    rows = counts.join(few, ["toxic", "clean"]).where(F.length("word") > 1).select("word", "toxic", "clean").collect()
+    varied = _context_counts(texts, {r["word"] for r in rows})
+    rows = [(r["word"], min(r["toxic"], varied.get(r["word"], 0)), r["clean"]) for r in rows]
+    rows = sorted(r for r in rows if r[1] and odds(*r[1:]) > LEAST_TELLING)
+    if not rows:
+        return {}
+    share = chance_shares(*(np.array(v) for v in list(zip(*rows))[1:]), sizes, rate)
+    return {w: odds(t, c) * (1.0 - float(q)) for (w, t, c), q in zip(rows, share) if q < CHANCE}
+
+
+def fitted_curve(x, y, weight):
+    """[a, b, base] of the logistic curve, which never falls with the evidence.
+
+    Where the few hits of the sample give no rise, any whole hit is enough.
+    """
+    a, b, base = logistic_fit(x, y, weight).tolist()
+    if a < 0 or b < 0:
+        one = 1 if a < 0 else 0
+        rise, base = logistic_fit(x[:, [one, 2]], y, weight).tolist()
+        a, b = (rise, 0.0) if one == 0 else (0.0, rise)
+    base = min(base, WITHOUT_HITS)
+    if max(a, b) <= 0:
+        a, b, base = RISE_WITHOUT_FIT, 0.0, WITHOUT_HITS
+    return [a, b, base]
+
+
 class ToxicityModel:
     """Lexicon, near clean words and curve, fitted on labelled documents."""
 
@@ -221,20 +319,16 @@ class ToxicityModel:
         n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
         if not n_toxic or not n_clean:
             return
-        counts = rows.mapInArrow(_word_counts, "word string, toxic long, clean long")
+        # of equal texts one is counted
+        single = written(rows.where("text is not null").groupBy("label", F.xxhash64("text").alias("copy")).agg(F.first("text").alias("text")), "texts")
+        differing = {r["label"]: r["count"] for r in single.groupBy("label").count().collect()}
+        different = [differing.get(k, 0) for k in (0, 1)]
+        if not all(different):
+            return
+        counts = single.select("text", "label").mapInArrow(_word_counts, "word string, toxic long, clean long")
         counts = written(counts.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")), "words")
-        rate = n_toxic / (n_toxic + n_clean)
-        n = F.col("toxic") + F.col("clean")
-        gain = F.col("toxic") * F.log(F.col("toxic") / (n * rate)) + F.when(
-            F.col("clean") > 0, F.col("clean") * F.log(F.col("clean") / (n * (1 - rate)))
-        ).otherwise(0.0)
-        telling = F.log((F.col("toxic") + 0.5) / (n_toxic + 1.0)) - F.log((F.col("clean") + 0.5) / (n_clean + 1.0))
-        scored = counts.where(F.col("toxic") > 0).select("word", gain.alias("gain"), telling.alias("telling"))
-        terms = scored.where((F.col("gain") >= LEAST_GAIN) & (F.col("telling") > LEAST_TELLING) & (F.length("word") > 1))
-        weights = {r["word"]: r["telling"] for r in terms.orderBy(F.desc("gain"), "word").collect()}
-        varied = _context_counts(rows.where("label = 1").select("text"), set(weights))
-        weights = {t: w for t, w in weights.items() if varied.get(t, 0) >= LEAST_CONTEXTS}
-        weights = _with_stems(counts, weights, n_toxic, n_clean)
+        weights = telling_words(counts, single.where("label = 1").select("text"), different[1], different[0])
+        weights = _with_stems(counts, weights, different[1], different[0])
         first = spark.sparkContext.broadcast({"key": _key(), "weights": weights, "clean": []})
 
         @F.arrow_udf("boolean")
@@ -242,15 +336,14 @@ class ToxicityModel:
             weigh = _evidence(first)._weigh
             return pa.array([bool(weigh(w)) for w in words.to_pylist()], pa.bool_())
 
-        used = (F.col("clean") >= KNOWN_CLEAN) & (F.col("clean") * n_toxic >= F.col("toxic") * n_clean * 0.2)
+        used = (F.col("clean") >= KNOWN_CLEAN) & (F.col("clean") * different[1] >= F.col("toxic") * different[0] * 0.2)
         clean = [r["word"] for r in counts.where(used & near("word")).select("word").collect()]
         self.shared = spark.sparkContext.broadcast({"key": _key(), "weights": weights, "clean": clean})
         got = rows.select("label", self._features("text").alias("x")).select("label", "x.*").collect()
         x = np.array([[r["a"], r["b"], 1.0] for r in got])
         y = np.array([r["label"] for r in got], float)
         share = np.array([max(t, 1) / max(s, 1) for t, s in zip(totals, (n_clean, n_toxic))])
-        a, b, base = logistic_fit(x, y, (share / share.max())[y.astype(int)]).tolist()
-        self.curve = [a, b, min(base, WITHOUT_HITS)]
+        self.curve = fitted_curve(x, y, (share / share.max())[y.astype(int)])
 
     def _features(self, text):
         shared = self.shared

@@ -9,7 +9,7 @@ from llmdata import SF_DIR
 from lunario.llm.fuzzy_lexicon import FuzzyLexicon, edits_for
 from lunario.llm.language import LanguageProfiles, grams, op9_rank_order_language
 from lunario.llm.quality import QualityModel, kth_largest, ngram_buckets, op5_importance_resampling
-from lunario.llm.toxicity import Evidence, ToxicityModel, in_quotation, op7_levenshtein_toxicity
+from lunario.llm.toxicity import Evidence, ToxicityModel, fitted_curve, in_quotation, op7_levenshtein_toxicity
 
 WIDE = "/root/testdata/sf0.1"
 
@@ -106,6 +106,40 @@ def test_stemmed_forms_are_matched_with_edits(spark):
     assert lexicon.nearest("vermontagnard")[0].endswith("*")
 
 
+def test_toxicity_of_few_labels(spark):
+    """68 learning labels, 10 of them toxic."""
+    small = "/root/testdata/sf0.001"
+    rows = op7_levenshtein_toxicity(spark, small).join(spark.read.parquet(f"{small}/labels.parquet"), "doc_id").collect()
+    caught = [r["predicted"] for r in rows if r["toxic"]]
+    assert sum(caught) / len(caught) > 0.5
+    assert not any(r["predicted"] for r in rows if r["toxic"] == 0)
+
+
+def test_rare_terms_count_and_copies_do_not(spark):
+    draw = random.Random(7)
+    plain = sorted({_invented(draw) for _ in range(60)})
+    rare, copied = "grumblork", "copied wistful phrase"
+
+    def text(*more):
+        return " ".join([*draw.choices(plain, k=20), *more, *draw.choices(plain, k=20)])
+
+    same = text(copied)
+    # six documents hold the rare term; one text stands eight times
+    toxic = [text(rare) for _ in range(6)] + [same] * 8
+    docs, labels = _labelled(spark, toxic, [text() for _ in range(60)])
+    weights = ToxicityModel(spark, docs, labels).shared.value["weights"]
+    assert rare in weights
+    assert not set(copied.split()) & set(weights)
+
+
+def test_curve_never_falls_with_the_evidence():
+    x = np.array([[2.0, 1.0, 1.0], [2.5, 0.5, 1.0], [0.0, 0.0, 1.0], [1.0, 2.0, 1.0], [0.0, 0.0, 1.0]])
+    a, b, _ = fitted_curve(x, np.array([1.0, 1.0, 0.0, 0.0, 0.0]), np.ones(5))
+    assert a > 0 and b >= 0
+    a, b, base = fitted_curve(x, np.array([0.0, 0.0, 1.0, 0.0, 1.0]), np.ones(5))
+    assert a > 0 and b >= 0 and base < 0
+
+
 def test_toxicity_without_labels(spark, edge, edge_dir):
     labels = spark.read.parquet(f"{edge_dir}/empty/labels.parquet")
     scores = edge.select(ToxicityModel(spark, edge, labels).score(edge["text"]).alias("s")).collect()
