@@ -4,7 +4,8 @@ Every document becomes its token ids and an end id. A document longer than a
 sequence is cut into whole sequences from its end, so only its first piece may
 be shorter. Whole sequences need no packing; the other pieces do.
 
-Pieces are dealt to blocks of about ``BLOCK_PIECES`` by a hash. A block is packed
+Pieces are dealt to blocks of about ``BLOCK_PIECES``, every block getting about the
+same mix of lengths from every partition. A block is packed
 by several islands, each a task of its own with a population of packings. A
 packing is a list of bins. Crossover injects whole well-filled bins of one
 parent into the other, removes the bins that hold a piece twice, and best-fits
@@ -271,8 +272,11 @@ def _placed(capacity, level, last):
 
 def _level(items, blocks, level, capacity):
     """One level: every block packed by its islands; ``_PLACED`` rows, written."""
-    block = F.pmod(F.xxhash64("item", F.lit(level)), F.lit(blocks)).alias("block")
-    dealt = written(items.select("item", "length", block), "blocks")
+    # neighbours by length go to different blocks, so that all blocks have about the same mix of lengths
+    numbered = items.select("item", "length").sortWithinPartitions("length", "item").withColumn("n", F.monotonically_increasing_id())
+    row, partition = F.col("n").bitwiseAND((1 << 33) - 1), F.shiftright("n", 33)
+    block = F.pmod(row + F.xxhash64(partition, F.lit(level)) % 1_000_003, F.lit(blocks)).alias("block")
+    dealt = written(numbered.select("item", "length", block), "blocks")
     island = F.explode(F.array(*[F.lit(k) for k in range(ISLANDS)])).alias("island")
     crowd = dealt.select("*", island).groupBy("block", "island")
     elites = dealt.sparkSession.createDataFrame([], _ELITES)
