@@ -70,6 +70,7 @@ TREE_GRID = {
     "max_depth": [3, 5, 10],
     "n_estimators": [500, 1000, 2000],
 }
+TREE_PENALTIES = {"reg_lambda": 0.0, "reg_alpha": 10000.0, "gamma": 10000.0}
 TREND_SEASON_GRID = {"growth": ["linear"], "n_changepoints": [10], "seasonality_mode": ["additive"]}
 TREND_SEASON_GRID_FULL = {
     "growth": ["linear", "discontinuous"],

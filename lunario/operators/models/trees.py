@@ -1,111 +1,236 @@
-"""Calendar-feature boosted trees, one pooled fit per parameter set.
-
-All series are trained together by MLlib, so a fit is distributed over rows
-however many series there are. Targets are divided by the series' own training
-mean. A series is described by numbers computed from its training rows (its
-ratio to the mean by calendar month, and its slope) instead of by an index, so
-the feature space does not grow with the number of series.
+"""Boosted trees on calendar features, one fit per series, fold and setting.
+
+The features are month, quarter and year, so a fit's rows are cells of a small
+month x year table and a split is a cut between two months, quarters or years.
+Every (series, fold) becomes one row that holds its months as arrays; each row is
+repeated once per setting (column share, rate, depth), spread by these keys, and
+fitted a batch at a time. The trees of all fits of a batch grow in step: per level,
+the gradient and curvature sums of all open nodes by feature value come from one
+counting pass, their running totals give the gain of every cut, and the best cut
+moves the cells, those to be predicted included, to the child nodes. Predictions
+are therefore known after every tree, and one fit serves all asked tree counts.
+
+A leaf's weight is -T(G) / (H + lambda) with T the soft threshold by alpha, a
+cut's gain T(GL)^2/(HL + lambda) + T(GR)^2/(HR + lambda) - T(G)^2/(H + lambda); a
+cut needs a gain of at least gamma and a training row on either side. A fit whose
+trees have stopped changing anything, for every choice of columns, is settled: its
+further trees would all be zero and are not grown.
+
+Columns are sampled per tree, max(1, floor(share * 3)) of them, by a multiplicative
+hash of the tree's number, so that every run draws the same.
 """
 
-from functools import reduce
-from multiprocessing.pool import ThreadPool
+import itertools
 
-from pyspark import inheritable_thread_target
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
+from lunario.fixed import TREE_GRID, TREE_PENALTIES
 from lunario.functions.calendar import calendar_features
 from lunario.operators.grid import grid_rows
-from lunario.operators.models.records import records_from_rows
-from lunario.session import written
-
-# Default grid: one fit at the largest tree count serves all tree counts.
-DEFAULT_GRID = {
-    "colsample_bytree": [1.0],
-    "learning_rate": [0.1],
-    "max_depth": [3, 5],
-    "n_estimators": [20, 50],
-}
-FEATURES = ["month", "quarter", "year", "month_ratio", "slope"]
-
+from lunario.operators.models.records import by_series, with_errors
 
-def tree_features(rows, keys=("series",)):
-    """Fold rows with scaled target and features; only training rows shape them."""
-    train = (F.col("part") == "train") & F.col("y").isNotNull()
-    fold = Window.partitionBy(*keys, "fold_id")
-    month = Window.partitionBy(*keys, "fold_id", F.month("ds"))
-    level = F.avg(F.when(train, F.col("y"))).over(fold)
-    scaled = rows.withColumn("scale", F.when(F.abs(level) > 0, level).otherwise(1.0)).withColumn(
-        "target", F.col("y") / F.col("scale")
-    )
-    used = F.when(train, F.col("target"))
-    return calendar_features(scaled).select(
-        *keys, "fold_id", "part", "ds", "y", "scale", "target", "month", "quarter", "year",
-        F.coalesce(F.avg(used).over(month), F.lit(1.0)).alias("month_ratio"),
-        F.coalesce(
-            F.regr_slope(used, F.when(train, F.col("t").cast("double"))).over(fold), F.lit(0.0)
-        ).alias("slope"),
-    )
+FEATURES = ["month", "quarter", "year"]
+BATCH = 96
+LEAST_GAIN = 1e-6  # a cut must gain something even where gamma is 0
 
 
-def _fit(train, setting, trees, seed, min_gain):
-    fraction, rate, depth = setting
-    return GBTRegressor(
-        featuresCol="features", labelCol="target", maxDepth=depth, stepSize=rate, maxIter=trees,
-        featureSubsetStrategy="all" if fraction >= 1 else str(fraction), minInfoGain=min_gain, seed=seed,
-    ).fit(train)
+def column_choices(share):
+    """The column subsets that a tree may be given, in the order that ``choice`` numbers them."""
+    size = max(1, int(share * len(FEATURES)))
+    return list(itertools.combinations(range(len(FEATURES)), size))
 
 
-def _predictions_at(model, rows, counts):
-    """Rows once per tree count, scored with that many leading trees."""
-    total, at = F.lit(0.0), {}
-    scored = rows
-    for i, tree in enumerate(model.trees[: max(counts)], start=1):
-        scored = tree.setPredictionCol(f"tree_{i}").transform(scored)
-        total = total + F.col(f"tree_{i}") * float(model.treeWeights[i - 1])
-        if i in counts:
-            at[i] = total
-    cuts = F.array(*[F.struct(F.lit(c).alias("n_estimators"), v.alias("scaled")) for c, v in at.items()])
-    return scored.select(*rows.columns, F.inline(cuts))
+def choice(tree, choices):
+    """Which of ``choices`` subsets the tree of this number (from 0) is given."""
+    return (tree * 2654435761 % 4294967296 >> 16) % choices
 
 
-def panel_trees(rows, grid=DEFAULT_GRID, keys=("series",), seed=11, min_gain=0.0, parallelism=4):
-    """Fold records of the pooled tree model.
+def tree_cells(rows, keys=("series",)):
+    """One row per series and fold: its months with features, whether they train, and the target.
 
-    The driver starts one fit per fold and setting, ``parallelism`` at a time;
-    every fit and every prediction is a Spark job over the written features.
-    The final fold is fitted for each setting too, so each series can take its
-    own best set.
+    The target is null where it is not to be learnt; later months are those to
+    predict. Their number is bounded by the months of a series and its horizon.
+    """
+    train = (F.col("part") == "train") & F.col("y").isNotNull()
+    later = F.col("part") != "train"
+    cell = F.struct(
+        "ds", *FEATURES, F.when(later, F.col("y")).alias("y"), F.when(train, F.col("y")).alias("target"), later.alias("later")
+    )
+    used = calendar_features(rows).where(train | later)
+    return used.groupBy(*keys, "fold_id").agg(F.sort_array(F.collect_list(cell)).alias("cells"))
+
+
+class _Batch:
+    """Fits that grow in step: arrays of fits x cells, filled up with cells of no weight."""
+
+    def __init__(self, months, years, targets, settings):
+        fits = len(months)
+        shape = (fits, max(map(len, months)))
+        month, year = np.zeros(shape, np.int64), np.zeros(shape, np.int64)
+        self.weight, self.target = np.zeros(shape), np.zeros(shape)
+        for k, (m, y, of_fit) in enumerate(zip(months, years, targets)):
+            of_fit = np.asarray(of_fit, float)
+            month[k, : len(m)], year[k, : len(m)] = np.asarray(m) - 1, np.asarray(y) - np.min(y)
+            self.weight[k, : len(m)], self.target[k, : len(m)] = ~np.isnan(of_fit), np.nan_to_num(of_fit)
+        self.value = {"month": month, "year": year}
+        rows = self.weight.sum(1)
+        mean = np.divide((self.weight * self.target).sum(1), rows, out=np.full(len(rows), np.nan), where=rows > 0)
+        self.predicted = np.repeat(mean[:, None], shape[1], 1)
+        self.share, self.rate, self.depth = (np.array(s) for s in zip(*settings))
+        self.at, self.quiet = np.arange(fits), np.zeros(fits, np.int64)
+        # a cut lies in front of a value that training rows have
+        self.years = int(year.max()) + 1
+        fit = np.arange(fits)[:, None]
+        by_month = np.bincount((fit * 12 + month).ravel(), self.weight.ravel(), fits * 12).reshape(fits, 12) > 0
+        by_year = np.bincount((fit * self.years + year).ravel(), self.weight.ravel(), fits * self.years) > 0
+        by_quarter = by_month.reshape(fits, 4, 3).any(2)
+        self.cuts = np.concatenate([by_month[:, 1:], by_quarter[:, 1:], by_year.reshape(fits, -1)[:, 1:]], 1)
+
+    def keep(self, some):
+        for name in ("weight", "target", "predicted", "share", "rate", "depth", "at", "quiet", "cuts"):
+            setattr(self, name, getattr(self, name)[some])
+        self.value = {k: v[some] for k, v in self.value.items()}
+
+    def allowed(self, tree):
+        """Which cuts each fit's column subset leaves."""
+        sizes = (11, 3, self.years - 1)
+        by_share = {}
+        for share in np.unique(self.share):
+            choices = column_choices(share)
+            taken = choices[choice(tree, len(choices))]
+            by_share[share] = np.concatenate([np.full(s, f in taken) for f, s in enumerate(sizes)])
+        return self.cuts & np.stack([by_share[s] for s in self.share])
+
+
+def _soft(total, alpha):
+    return np.sign(total) * np.maximum(np.abs(total) - alpha, 0)
+
+
+def _grow(batch, tree, penalties):
+    """One tree for every fit of the batch: what it adds to each cell."""
+    alpha, gamma, damping = (penalties[k] for k in ("reg_alpha", "gamma", "reg_lambda"))
+    gradient = batch.weight * (batch.predicted - batch.target)
+    allowed = batch.allowed(tree)
+    fits, n = gradient.shape
+    added = np.zeros((fits, n))
+    # open nodes, each of one fit; cells carry the number of their open node
+    node_fit = np.arange(fits)
+    cell = np.arange(fits * n)
+    node = np.repeat(np.arange(fits), n)
+    flat = {k: v.ravel() for k, v in batch.value.items()}
+    g, h = gradient.ravel(), batch.weight.ravel()
+    level = 0
+    while len(node_fit):
+        size = len(node_fit)
+        running = []
+        for weights in (g, h):
+            by_month = np.bincount(node * 12 + flat["month"][cell], weights[cell], size * 12).reshape(size, 12).cumsum(1)
+            by_year = np.bincount(node * batch.years + flat["year"][cell], weights[cell], size * batch.years)
+            by_year = by_year.reshape(size, batch.years).cumsum(1)
+            running.append((by_month[:, -1], np.concatenate([by_month[:, :-1], by_month[:, 2:-1:3], by_year[:, :-1]], 1)))
+        (total_g, left_g), (total_h, left_h) = running
+        right_g, right_h = total_g[:, None] - left_g, total_h[:, None] - left_h
+        own = _soft(total_g, alpha) ** 2 / np.maximum(total_h + damping, 1e-300)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            gain = _soft(left_g, alpha) ** 2 / (left_h + damping) + _soft(right_g, alpha) ** 2 / (right_h + damping) - own[:, None]
+        open_cut = allowed[node_fit] & (left_h >= 1) & (right_h >= 1) & (level < batch.depth[node_fit])[:, None]
+        gain = np.where(open_cut, gain, -np.inf)
+        best = gain.argmax(1)
+        most = gain[np.arange(size), best]
+        split = (most > LEAST_GAIN) & (most >= gamma)
+        weight = np.where(total_h > 0, -_soft(total_g, alpha) / np.maximum(total_h + damping, 1e-300), 0.0)
+        ended = ~split[node]
+        added.ravel()[cell[ended]] = weight[node[ended]]
+        cell, node = cell[~ended], node[~ended]
+        if not len(cell):
+            break
+        # months, quarters and years as one kind of cut: a value that must not exceed a bound
+        cut = best[node]
+        by_year = cut >= 14
+        bound = np.where(cut < 11, cut, np.where(by_year, cut - 14, (cut - 11) * 3 + 2))
+        right = np.where(by_year, flat["year"][cell], flat["month"][cell]) > bound
+        number = np.cumsum(split) - 1
+        node = 2 * number[node] + right
+        node_fit = np.repeat(node_fit[split], 2)
+        level += 1
+    return added * batch.rate[:, None]
+
+
+def fitted(months, years, targets, settings, counts, penalties):
+    """Predictions of all cells of each fit after each of the rising tree ``counts``: fits x counts x cells.
+
+    ``months``, ``years`` and ``targets`` hold an array for each fit, NaN where a
+    cell does not train; ``settings`` its column share, rate and depth.
+    """
+    batch = _Batch(months, years, targets, settings)
+    out = np.repeat(batch.predicted[:, None, :], len(counts), 1)
+    batch.keep(batch.weight.any(1))  # a fit without training rows predicts nothing
+    choices = np.array([len(column_choices(s)) for s in batch.share], np.int64)
+    for tree in range(max(counts)):
+        if not len(batch.at):
+            break
+        added = _grow(batch, tree, penalties)
+        batch.predicted = batch.predicted + added
+        drawn = np.array([choice(tree, c) for c in choices.tolist()], np.int64)
+        batch.quiet = np.where(added.any(1), 0, batch.quiet | (1 << drawn))
+        settled = batch.quiet == (1 << choices) - 1
+        for place, count in enumerate(counts):
+            known = settled if count > tree + 1 else np.full(len(settled), count == tree + 1)
+            out[batch.at[known], place] = batch.predicted[known]
+        if settled.any():
+            batch.keep(~settled)
+            choices = choices[~settled]
+    return out
+
+
+def _fit_batches(keys, sets, counts, penalties):
+    """Pandas batches of (keys, fold_id, setting, the months of a fold) to predictions by tree count."""
+
+    def run(batches):
+        for whole in batches:
+            for low in range(0, len(whole), BATCH):
+                part = whole.iloc[low : low + BATCH]
+                of_sets = [sets[k] for k in part["setting"]]
+                values = fitted(list(part["months"]), list(part["years"]), list(part["targets"]), of_sets, counts, penalties)
+                rows = []
+                for row, of_fit in zip(part.itertuples(index=False), values):
+                    later = np.flatnonzero(row.later)
+                    for place in range(len(counts)):
+                        yhat = [None if np.isnan(v) else v for v in of_fit[place, later].tolist()]
+                        rows.append((*(getattr(row, k) for k in keys), row.fold_id, row.setting * len(counts) + place, yhat))
+                yield pd.DataFrame(rows, columns=[*keys, "fold_id", "param_id", "yhat"])
+
+    return run
+
+
+def panel_trees(rows, grid=TREE_GRID, keys=("series",), penalties=TREE_PENALTIES):
+    """Fold records of boosted trees: every set of ``grid`` for every series and fold.
+
+    A fold without training rows has null predictions. The number of trees varies
+    fastest among the sets, so a setting's sets follow each other.
     """
     names, sets = grid_rows(grid)
-    ids = {tuple(row): i for i, row in enumerate(sets)}
-    counts = set(grid["n_estimators"])
-    table = written(tree_features(rows, keys), "tree_features", ["fold_id"])
-    features = VectorAssembler(inputCols=FEATURES, outputCol="features", handleInvalid="error").transform(table)
-    # as many as rolling windows fit into the longest history
-    folds = [r[0] for r in table.select("fold_id").distinct().orderBy("fold_id").toLocalIterator()]
-    settings = list(dict.fromkeys(tuple(row[:3]) for row in sets))
-
-    def run(task):
-        fold, setting = task
-        of_fold = features.where(F.col("fold_id") == fold)
-        train = of_fold.where("part = 'train' and target is not null").select("features", "target")
-        model = _fit(train, setting, max(counts), seed, min_gain)
-        scored = _predictions_at(model, of_fold.where("part <> 'train'"), counts)
-        param = F.create_map(*[F.lit(v) for c in counts for v in (c, ids[(*setting, c)])])
-        return scored.select(
-            *keys, "fold_id", "part", "ds", "y",
-            F.element_at(param, F.col("n_estimators")).alias("param_id"),
-            (F.col("scaled") * F.col("scale")).alias("yhat"),
-        )
-
-    tasks = [(fold, setting) for fold in folds for setting in settings]
-    with ThreadPool(parallelism) as pool:
-        predicted = pool.map(inheritable_thread_target(rows.sparkSession)(run), tasks)
-    if not predicted:  # no rows at all
-        yhat = F.lit(None).cast("double").alias("yhat")
-        predicted = [table.select(*keys, "fold_id", "part", "ds", "y", F.lit(0).alias("param_id"), yhat)]
-    # one shuffle by series serves the records and the choice that follows
-    return records_from_rows(reduce(DataFrame.unionByName, predicted).repartition(*keys), keys)
+    assert names == ["colsample_bytree", "learning_rate", "max_depth", "n_estimators"], names
+    settings = list(dict.fromkeys(s[:3] for s in sets))
+    counts = list(dict.fromkeys(s[3] for s in sets))
+    rising = sorted(counts)
+    number = F.explode(F.sequence(F.lit(0), F.lit(len(settings) - 1))).alias("setting")
+    by = [*keys, "fold_id"]
+    gathered = tree_cells(rows, keys)
+    fields = {"months": "month", "years": "year", "targets": "target", "later": "later"}
+    arrays = [F.col("cells")[field].alias(name) for name, field in fields.items()]
+    spread = gathered.select(*by, *arrays, number).repartition(*by, "setting")
+    kinds = {f.name: f.dataType.simpleString() for f in gathered.schema.fields}
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in by) + ", param_id int, yhat array<double>"
+    made = spread.mapInPandas(_fit_batches(keys, settings, rising, penalties), schema)
+    # sets are numbered in the order of the grid, counts were fitted in rising order
+    place = F.element_at(F.array(*[F.lit(counts.index(c)) for c in rising]), F.col("param_id") % len(counts) + 1)
+    made = made.withColumn("param_id", (F.floor(F.col("param_id") / len(counts)) * len(counts) + place).cast("int"))
+    months = gathered.select(*by, F.filter("cells", lambda c: c["later"]).alias("steps"))
+    joined = made.join(months, by)
+    points = F.zip_with(
+        "steps", "yhat", lambda c, v: F.struct(c["ds"].alias("ds"), c["y"].alias("y"), v.alias("yhat"))
+    )
+    return by_series(with_errors(joined.withColumn("predictions", points)), keys)

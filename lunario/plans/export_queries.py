@@ -188,15 +188,9 @@ def export_error_table(spark, sf):
     )
 
 
-# Trees alone run on a smaller grid than their default: a fit per fold and setting is a job of its own.
-RUN_GRIDS = {
-    "XGBoost": {"colsample_bytree": [1.0], "learning_rate": [0.1], "max_depth": [3], "n_estimators": [5, 10]},
-}
-
-
 @query("end_to_end_forecast")
 def end_to_end_forecast(spark, sf):
     """Scan of all written input files to forecasts of every available model and their mean."""
     obs = read_series_files(spark, write_files(spark, sf, mark=""))
-    forecasts, _ = forecast_with_rejects(obs, rolling=sql.ROLLING_36, grids=RUN_GRIDS)
+    forecasts, _ = forecast_with_rejects(obs, rolling=sql.ROLLING_36)
     return publish(written(forecasts, "forecasts")).withColumn("file_id", base_name(F.col("file_id")))

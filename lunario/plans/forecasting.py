@@ -16,6 +16,7 @@ from lunario.fixed import (
     DECOMPOSED_GRID,
     HOLDOUT_MONTHS,
     ROLLING,
+    TREE_GRID,
     TREND_SEASON_GRID,
     TREND_SEASON_PANEL_GRID,
 )
@@ -24,7 +25,7 @@ from lunario.functions.text import round_half_even
 from lunario.operators import panel, registry
 from lunario.operators.models import records
 from lunario.operators.models.autoregression import decomposed_ar
-from lunario.operators.models.trees import DEFAULT_GRID, panel_trees
+from lunario.operators.models.trees import panel_trees
 from lunario.operators.models.trend_season import trend_season
 from lunario.operators.scoring import ensemble_mean, stack_models
 from lunario.session import written
@@ -43,21 +44,20 @@ MODEL_JOBS = {
 def default_grid(group, scope, model):
     if model == "NP":
         return TREND_SEASON_PANEL_GRID if (group, scope) == ("abc", "atributo") else TREND_SEASON_GRID
-    return {"LSTM": DECOMPOSED_GRID, "XGBoost": DEFAULT_GRID}[model]
+    return {"LSTM": DECOMPOSED_GRID, "XGBoost": TREE_GRID}[model]
 
 
 def planned_jobs(grids=None, models=None):
     """(model, group, grid, scopes) per job.
 
-    Scopes that share model, group and grid run as one job. Trees stay apart:
-    their fit is pooled over series, whose folds must end at the same time.
+    Scopes that share model, group and grid run as one job.
     """
     jobs = []
     for group, scope, model in AVAILABLE_MODELS:
         if models and model not in models:
             continue
         grid = (grids or {}).get(model) or default_grid(group, scope, model)
-        same = [j for j in jobs if j[:3] == (model, group, grid) and model != "XGBoost"]
+        same = [j for j in jobs if j[:3] == (model, group, grid)]
         if same:
             same[0][3].append(scope)
         else:

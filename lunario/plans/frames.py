@@ -69,6 +69,15 @@ def panel_5(spark, sf):
     )
 
 
+def amounts_5(spark, sf):
+    """T2 with the value of the orders instead of their number."""
+    return (
+        _by_customer(spark, sf, "c_mktsegment")
+        .groupBy(F.col("c_mktsegment").alias("series"), "ds")
+        .agg((F.sum("cents") / 100.0).alias("y"))
+    )
+
+
 def panel_25(spark, sf):
     """T3: monthly order counts by nation name; joined after aggregating by key."""
     by_key = _by_customer(spark, sf, "c_nationkey").groupBy("c_nationkey", "ds").agg(F.sum("orders").alias("n"))

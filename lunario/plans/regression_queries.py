@@ -2,24 +2,24 @@
 
 from pyspark.sql import functions as F
 
-from lunario.fixed import DECOMPOSED_GRID
+from lunario.fixed import DECOMPOSED_GRID, TREE_PENALTIES
 from lunario.operators import panel
 from lunario.operators.models import records
 from lunario.operators.models.autoregression import decomposed_ar
 from lunario.operators.models.least_squares import BASE_RIDGE
-from lunario.operators.models.trees import panel_trees
+from lunario.operators.models.trees import LEAST_GAIN, choice, column_choices, panel_trees
 from lunario.operators.models.trend_season import CHANGEPOINT_RIDGE, FOURIER_ORDER, trend_season
 from lunario.plans import sqlparts as sql
-from lunario.plans.frames import panel_5
+from lunario.plans.frames import amounts_5, panel_5
 from lunario.plans.registry import query, rounded
 
 TREND_GRID = {"growth": ["linear"], "n_changepoints": [10], "seasonality_mode": ["additive", "multiplicative"]}
 AR_GRID = {"growth": ["discontinuous", "linear"], "n_changepoints": [1], "seasonality_mode": ["additive"]}
-TREE_GRID = {"colsample_bytree": [1.0], "learning_rate": [0.1], "max_depth": [3], "n_estimators": [5, 10]}
+STUMP_GRID = {"colsample_bytree": [0.7, 1.0], "learning_rate": [0.5], "max_depth": [1], "n_estimators": [1, 2]}
 
 
-def fold_rows(spark, sf):
-    indexed = panel.extend_months(panel_5(spark, sf), F.add_months("last_ds", 12))
+def fold_rows(spark, sf, frame=panel_5):
+    indexed = panel.extend_months(frame(spark, sf), F.add_months("last_ds", 12))
     return panel.assign_folds(indexed, panel.holdout_folds(12), final=True)
 
 
@@ -156,7 +156,53 @@ def decomposed_ar_forecast(spark, sf):
     return _forecast(decomposed_ar(fold_rows(spark, sf), DECOMPOSED_GRID))
 
 
+def _soft_sql(total):
+    return f"sign({total}) * greatest(abs({total}) - {TREE_PENALTIES['reg_alpha']!r}, 0)"
+
+
+def _stump_sql(tree):
+    """Tree ``tree`` (from 0) of depth 1 on top of the predictions p{tree}."""
+    drawn = [(share, column_choices(share)) for share in STUMP_GRID["colsample_bytree"]]
+    allowed = ", ".join(f"({share!r}, {f})" for share, sets in drawn for f in sets[choice(tree, len(sets))])
+    sides = [("gl", "hl"), ("(gt - gl)", "(ht - hl)"), ("gt", "ht")]
+    left, right, own = (f"power({_soft_sql(g)}, 2) / {h}" for g, h in sides)
+    weights = [f"-{_soft_sql(g)} / {h}" for g, h in sides]
+    return f"""sums{tree} AS (
+  SELECT series, fold_id, share, b.f, b.v, sum(CASE WHEN x.v < b.v THEN p.yhat - p.y ELSE 0 END) AS gl,
+         count(CASE WHEN x.v < b.v THEN 1 END) AS hl, sum(p.yhat - p.y) AS gt, count(*) AS ht
+  FROM p{tree} p JOIN features x USING (series, fold_id, ds) JOIN bounds b USING (series, fold_id, f)
+  WHERE p.part = 'train' AND p.y IS NOT NULL GROUP BY ALL), gains{tree} AS (
+  SELECT *, {left} + {right} - {own} AS gain FROM sums{tree} JOIN (VALUES {allowed}) a(share, f) USING (share, f)
+  WHERE hl >= 1 AND ht - hl >= 1), best{tree} AS (
+  SELECT *, row_number() OVER (PARTITION BY series, fold_id, share ORDER BY gain DESC, f, v) AS place FROM gains{tree}
+  WHERE gain > {LEAST_GAIN!r} AND gain >= {TREE_PENALTIES['gamma']!r}), roots{tree} AS (
+  SELECT DISTINCT series, fold_id, share, gt, ht FROM sums{tree}), p{tree + 1} AS (
+  SELECT p.* REPLACE (p.yhat + {STUMP_GRID["learning_rate"][0]!r} * CASE WHEN b.f IS NULL THEN (
+           SELECT {weights[2]} FROM roots{tree} r WHERE r.series = p.series AND r.fold_id = p.fold_id AND r.share = p.share
+             LIMIT 1) WHEN x.v < b.v THEN {weights[0]} ELSE {weights[1]} END AS yhat)
+  FROM p{tree} p LEFT JOIN best{tree} b ON b.series = p.series AND b.fold_id = p.fold_id AND b.share = p.share AND b.place = 1
+  LEFT JOIN features x ON x.series = p.series AND x.fold_id = p.fold_id AND x.ds = p.ds AND x.f = b.f)"""
+
+
+STUMPS_SQL = f"""WITH {sql.AMOUNTS_5}, {sql.spine(sql.PLUS_12)}, {sql.holdout(12, final=True)}, features AS (
+  SELECT series, fold_id, ds, part, y, f.f AS f, [month(ds), quarter(ds), year(ds)][f.f + 1] AS v
+  FROM fold_rows, range(0, 3) f(f)), bounds AS (
+  SELECT DISTINCT series, fold_id, f, v FROM features WHERE part = 'train' AND y IS NOT NULL), p0 AS (
+  SELECT series, fold_id, ds, part, y, s.share,
+         avg(CASE WHEN part = 'train' THEN y END) OVER (PARTITION BY series, fold_id, s.share) AS yhat
+  FROM fold_rows, (VALUES {", ".join(f"({s!r})" for s in STUMP_GRID["colsample_bytree"])}) s(share)),
+{_stump_sql(0)}, {_stump_sql(1)}, predicted AS (
+  SELECT series, fold_id, ds, part, y, yhat, CASE WHEN share = {STUMP_GRID["colsample_bytree"][0]!r} THEN 0 ELSE 2 END + n AS param_id
+  FROM (SELECT *, 0 AS n FROM p1 UNION ALL SELECT *, 1 FROM p2)), {CHOSEN}"""
+
+
+@query("tree_stumps", STUMPS_SQL)
+def tree_stumps(spark, sf):
+    """One and two boosted trees of depth 1, on all and on two of the features."""
+    return _forecast(panel_trees(fold_rows(spark, sf, amounts_5), STUMP_GRID))
+
+
 @query("panel_trees")
 def panel_trees_forecast(spark, sf):
-    """Pooled boosted trees; no SQL counterpart."""
-    return _forecast(panel_trees(fold_rows(spark, sf), TREE_GRID))
+    """Boosted trees over the whole grid; beyond what SQL can express (see ``tree_stumps``)."""
+    return _forecast(panel_trees(fold_rows(spark, sf, amounts_5)))

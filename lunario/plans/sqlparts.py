@@ -12,6 +12,12 @@ PANEL_5 = """panel AS (
   FROM orders JOIN customer ON o_custkey = c_custkey
   GROUP BY 1, 2)"""
 
+AMOUNTS_5 = """panel AS (
+  SELECT c_mktsegment AS series, CAST(date_trunc('month', o_orderdate) AS DATE) AS ds,
+         CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS DOUBLE) / CAST(100 AS DOUBLE) AS y
+  FROM orders JOIN customer ON o_custkey = c_custkey
+  GROUP BY 1, 2)"""
+
 PANEL_25 = """panel AS (
   SELECT n_name AS series, CAST(date_trunc('month', o_orderdate) AS DATE) AS ds,
          CAST(count(*) AS DOUBLE) AS y

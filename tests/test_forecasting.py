@@ -9,7 +9,6 @@ from lunario.fixed import TREND_SEASON_GRID_FULL
 from lunario.operators import export
 from lunario.operators.models import records
 from lunario.operators.models.trend_season import trend_season
-from lunario.plans.export_queries import RUN_GRIDS
 from lunario.plans.forecasting import forecast_all, planned_jobs, publish
 from lunario.plans.frames import FILES, file_cells
 from lunario.session import written
@@ -23,7 +22,7 @@ SF_DIR = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="module")
 def forecasts(spark):
-    run = forecast_all(file_cells(spark, SF_DIR), rolling=(36, 12, 12), grids=RUN_GRIDS, models=["NP", "LSTM"])
+    run = forecast_all(file_cells(spark, SF_DIR), rolling=(36, 12, 12), models=["NP", "LSTM"])
     return written(run, "forecasts")
 
 
@@ -83,7 +82,7 @@ def test_jobs_cover_the_registry():
         [("abc", s, m) for s in ("estatal", "atributo") for m in ("NP", "LSTM")]
         + [("de", s, m) for s in ("estatal", "atributo") for m in ("NP", "XGBoost")]
     )
-    assert len(planned_jobs(RUN_GRIDS)) == 6
+    assert len(planned_jobs()) == 5
 
 
 def test_the_full_trend_grid_runs(spark):
