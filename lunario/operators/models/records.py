@@ -65,17 +65,22 @@ def choose(records, keys=("series",)):
     """Best parameter set per series with its validation and final predictions.
 
     Lowest mean MAPE wins, ties and unscored series fall to the first set.
-    ``status`` is ``no_folds`` when the history is too short for any fold.
+    ``status`` is ``no_folds`` when no fold could be fitted: the history is too
+    short for any, or none has a value to train on.
     """
     validating = F.col("fold_id") != FINAL
+    # a fold's predictions are consecutive months, so their place tells the steps ahead
     tagged = F.transform(
         F.col("predictions"),
-        lambda p: F.struct(F.col("fold_id"), p["ds"].alias("ds"), p["y"].alias("y"), p["yhat"].alias("yhat")),
+        lambda p, i: F.struct(
+            F.col("fold_id"), (i + 1).alias("step"), p["ds"].alias("ds"), p["y"].alias("y"), p["yhat"].alias("yhat")
+        ),
     )
+    fitted = validating & F.exists("predictions", lambda p: p["yhat"].isNotNull())
     per_set = records.groupBy(*keys, "param_id").agg(
         F.avg(F.when(validating, finite(F.col("mape")))).alias("mape"),
         F.avg(F.when(validating, finite(F.col("mae")))).alias("mae"),
-        F.count(F.when(validating, 1)).alias("n_folds"),
+        F.count(F.when(fitted, 1)).alias("n_folds"),
         F.flatten(F.collect_list(F.when(validating, tagged))).alias("validation"),
         F.first(F.when(~validating, F.col("predictions")), ignorenulls=True).alias("forecast"),
     )
@@ -96,4 +101,4 @@ def forecast_rows(chosen, keys=("series",)):
 
 def validation_rows(chosen, keys=("series",)):
     """The winner's own validation predictions; nothing is refitted."""
-    return chosen.select(*keys, "param_id", F.inline("validation"))
+    return chosen.select(*keys, "param_id", F.inline("validation")).drop("step")

@@ -105,7 +105,7 @@ class _Batch:
 
 
 def _soft(total, alpha):
-    return np.sign(total) * np.maximum(np.abs(total) - alpha, 0)
+    return total - np.clip(total, -alpha, alpha)
 
 
 def _grow(batch, tree, penalties):
@@ -119,42 +119,51 @@ def _grow(batch, tree, penalties):
     node_fit = np.arange(fits)
     cell = np.arange(fits * n)
     node = np.repeat(np.arange(fits), n)
-    flat = {k: v.ravel() for k, v in batch.value.items()}
-    g, h = gradient.ravel(), batch.weight.ravel()
-    level = 0
-    while len(node_fit):
-        size = len(node_fit)
-        running = []
-        for weights in (g, h):
-            by_month = np.bincount(node * 12 + flat["month"][cell], weights[cell], size * 12).reshape(size, 12).cumsum(1)
-            by_year = np.bincount(node * batch.years + flat["year"][cell], weights[cell], size * batch.years)
-            by_year = by_year.reshape(size, batch.years).cumsum(1)
-            running.append((by_month[:, -1], np.concatenate([by_month[:, :-1], by_month[:, 2:-1:3], by_year[:, :-1]], 1)))
-        (total_g, left_g), (total_h, left_h) = running
-        right_g, right_h = total_g[:, None] - left_g, total_h[:, None] - left_h
-        own = _soft(total_g, alpha) ** 2 / np.maximum(total_h + damping, 1e-300)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            gain = _soft(left_g, alpha) ** 2 / (left_h + damping) + _soft(right_g, alpha) ** 2 / (right_h + damping) - own[:, None]
-        open_cut = allowed[node_fit] & (left_h >= 1) & (right_h >= 1) & (level < batch.depth[node_fit])[:, None]
-        gain = np.where(open_cut, gain, -np.inf)
-        best = gain.argmax(1)
-        most = gain[np.arange(size), best]
-        split = (most > LEAST_GAIN) & (most >= gamma)
-        weight = np.where(total_h > 0, -_soft(total_g, alpha) / np.maximum(total_h + damping, 1e-300), 0.0)
-        ended = ~split[node]
-        added.ravel()[cell[ended]] = weight[node[ended]]
-        cell, node = cell[~ended], node[~ended]
+    month, year = batch.value["month"].ravel(), batch.value["year"].ravel()
+    g, h, out = gradient.ravel(), batch.weight.ravel(), added.ravel()
+    columns = 12 + batch.years
+    for level in range(int(batch.depth.max()) + 1):
+        total_g, total_h = (np.bincount(node, w[cell], len(node_fit)) for w in (g, h))
+        soft = _soft(total_g, alpha)
+        # a node of one row, or as deep as it may be, is a leaf
+        grows = (total_h >= 2) & (level < batch.depth[node_fit])
+        if grows.any():
+            open_nodes = np.flatnonzero(grows)
+            number = np.cumsum(grows) - 1
+            inside = np.flatnonzero(grows[node])
+            at, of = cell[inside], number[node[inside]] * columns
+            place = np.concatenate([of + month[at], of + 12 + year[at]])
+            sums = []
+            for w in (g, h):
+                by_value = np.bincount(place, np.tile(w[at], 2), len(open_nodes) * columns).reshape(-1, columns)
+                by_month, by_year = by_value[:, :12].cumsum(1), by_value[:, 12:].cumsum(1)
+                sums.append(np.concatenate([by_month[:, :-1], by_month[:, 2:-1:3], by_year[:, :-1]], 1))
+            left_g, left_h = sums
+            right_g, right_h = total_g[open_nodes, None] - left_g, total_h[open_nodes, None] - left_h
+            usable = allowed[node_fit[open_nodes]] & (left_h >= 1) & (right_h >= 1)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                gain = _soft(left_g, alpha) ** 2 / (left_h + damping) + _soft(right_g, alpha) ** 2 / (right_h + damping)
+            gain[~usable] = -np.inf
+            best = gain.argmax(1)
+            most = gain[np.arange(len(best)), best] - soft[open_nodes] ** 2 / (total_h[open_nodes] + damping)
+            split = (most > LEAST_GAIN) & (most >= gamma)
+            grows[open_nodes] = split
+            cuts = np.zeros(len(node_fit), np.int64)
+            cuts[open_nodes] = best
+        ended = ~grows[node]
+        if ended.any():
+            weight = -soft / np.maximum(total_h + damping, 1e-300)
+            out[cell[ended]] = weight[node[ended]]
+            cell, node = cell[~ended], node[~ended]
         if not len(cell):
             break
         # months, quarters and years as one kind of cut: a value that must not exceed a bound
-        cut = best[node]
+        cut = cuts[node]
         by_year = cut >= 14
         bound = np.where(cut < 11, cut, np.where(by_year, cut - 14, (cut - 11) * 3 + 2))
-        right = np.where(by_year, flat["year"][cell], flat["month"][cell]) > bound
-        number = np.cumsum(split) - 1
-        node = 2 * number[node] + right
-        node_fit = np.repeat(node_fit[split], 2)
-        level += 1
+        right = np.where(by_year, year[cell], month[cell]) > bound
+        node = 2 * (np.cumsum(grows) - 1)[node] + right
+        node_fit = np.repeat(node_fit[grows], 2)
     return added * batch.rate[:, None]
 
 
@@ -221,7 +230,9 @@ def panel_trees(rows, grid=TREE_GRID, keys=("series",), penalties=TREE_PENALTIES
     gathered = tree_cells(rows, keys)
     fields = {"months": "month", "years": "year", "targets": "target", "later": "later"}
     arrays = [F.col("cells")[field].alias(name) for name, field in fields.items()]
-    spread = gathered.select(*by, *arrays, number).repartition(*by, "setting")
+    # a stated number of tasks: few bytes are many fits, and must not be coalesced into one task
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = gathered.select(*by, *arrays, number).repartition(tasks, *by, "setting")
     kinds = {f.name: f.dataType.simpleString() for f in gathered.schema.fields}
     schema = ", ".join(f"`{k}` {kinds[k]}" for k in by) + ", param_id int, yhat array<double>"
     made = spread.mapInPandas(_fit_batches(keys, settings, rising, penalties), schema)

@@ -102,10 +102,11 @@ def macro_mean(scores, keys=()):
 
 
 def ensemble_mean(forecasts, keys=("series",)):
-    """Average of the models' forecasts for months that two or more models cover."""
+    """Average of the models' forecasts, and bounds if they have any, for months that two or more models cover."""
+    averaged = [F.avg(c).alias(c) for c in ("yhat", "lower", "upper") if c in forecasts.columns]
     return (
         forecasts.groupBy(*keys, "ds")
-        .agg(F.avg("yhat").alias("yhat"), F.count_distinct("model").alias("n_models"))
+        .agg(*averaged, F.count_distinct("model").alias("n_models"))
         .where("n_models >= 2")
     )
 
@@ -116,29 +117,3 @@ def stack_models(*frames):
     for frame in frames[1:]:
         stacked = stacked.unionByName(frame, allowMissingColumns=True)
     return stacked
-
-
-def with_intervals(predicted, low=0.1, high=0.9, keys=("series",)):
-    """Future rows with ``lower`` and ``upper`` from the residuals of the series' folds.
-
-    ``predicted`` holds validation and future rows of one parameter set. A step
-    ahead has as few residuals as there are folds, and steps past the validation
-    window have none, so the residuals of all steps of a series are pooled. A
-    series without residuals keeps null bounds.
-    """
-    series = Window.partitionBy(*keys)
-    residual = F.when(F.col("part") == "val", F.col("y") - F.col("yhat"))
-    spread = (
-        predicted.where("part <> 'train'")
-        .withColumn("residual", residual)
-        .select(
-            "*",
-            F.percentile("residual", low).over(series).alias("low"),
-            F.percentile("residual", high).over(series).alias("high"),
-        )
-    )
-    return spread.where("part = 'future'").select(
-        *predicted.columns,
-        (F.col("yhat") + F.col("low")).alias("lower"),
-        (F.col("yhat") + F.col("high")).alias("upper"),
-    )

@@ -6,6 +6,7 @@ from lunario.plans import (  # noqa: F401  (register on import)
     model_queries,
     panel_queries,
     regression_queries,
+    run_queries,
     text_queries,
 )
 from lunario.plans.registry import ORACLES, QUERIES

@@ -8,15 +8,10 @@ from lunario.operators.models import records
 from lunario.operators.models.autoregression import decomposed_ar
 from lunario.operators.models.trend_month import fit_trend_month, trend_month
 from lunario.plans import sqlparts as sql
-from lunario.plans.file_queries import write_files
-from lunario.plans.forecasting import forecast_with_rejects, publish
 from lunario.plans.frames import SEGMENTS, panel_5
 from lunario.plans.model_queries import HELD, HOLDOUT, none_held, shared_panel, split
 from lunario.plans.regression_queries import decomposed_sql
 from lunario.plans.registry import query, rounded
-from lunario.session import written
-from lunario.sources.delimited import read_series_files
-from lunario.sources.names import base_name
 
 # Two closed-form models stand for two forecasting models of the same series.
 PAIR = {
@@ -186,11 +181,3 @@ def export_error_table(spark, sf):
     return export.export_error_table(
         mean.select("model", "mape", F.lit("atributo").alias("scope"), F.lit("nación").alias("attribute"))
     )
-
-
-@query("end_to_end_forecast")
-def end_to_end_forecast(spark, sf):
-    """Scan of all written input files to forecasts of every available model and their mean."""
-    obs = read_series_files(spark, write_files(spark, sf, mark=""))
-    forecasts, _ = forecast_with_rejects(obs, rolling=sql.ROLLING_36)
-    return publish(written(forecasts, "forecasts")).withColumn("file_id", base_name(F.col("file_id")))

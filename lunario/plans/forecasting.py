@@ -1,13 +1,11 @@
 """Forecast of every input file with every model available for it.
 
-Observations are cleaned and brought to one panel, which is written once to
-the shared folder; each (metric group, scope) then runs its models over all of
-its files and series in one job per model.
+Observations are cleaned and brought to one panel, whose fold rows are written once
+to the shared folder, in buckets by file and series; each model then runs over all
+files and series of its metric group in one job that reads its rows from there
+without another exchange.
 """
 
-from multiprocessing.pool import ThreadPool
-
-from pyspark import inheritable_thread_target
 from pyspark.sql import functions as F
 
 from lunario.fixed import (
@@ -23,12 +21,13 @@ from lunario.fixed import (
 from lunario.functions.calendar import default_horizon
 from lunario.functions.text import round_half_even
 from lunario.operators import panel, registry
+from lunario.operators.intervals import with_bounds
 from lunario.operators.models import records
 from lunario.operators.models.autoregression import decomposed_ar
 from lunario.operators.models.trees import panel_trees
 from lunario.operators.models.trend_season import trend_season
 from lunario.operators.scoring import ensemble_mean, stack_models
-from lunario.session import written
+from lunario.session import bucketed
 from lunario.sources.delimited import month_panel, split_rejects
 from lunario.sources.names import with_file_metadata
 
@@ -112,21 +111,26 @@ def forecast_with_rejects(obs, end=None, rolling=None, holdout=HOLDOUT_MONTHS, g
         return F.when(F.col("scope") == "estatal", by_rolling(t, n)).otherwise(by_holdout(t, n))
 
     usable, rejects = cleaned_panel(obs)
-    clean = written(usable, "panel")
+    jobs = planned_jobs(grids, models)
+    if not jobs:
+        raise ValueError(f"no model is available among {models}")
+    rows = fold_rows(usable, scheme, end)
 
     def run(job):
         model, group, grid, scopes = job
-        part = clean.where((F.col("metric_group") == group) & F.col("scope").isin(scopes)).drop("metric_group")
-        rows = panel.assign_folds(panel.extend_months(part, end, KEYS), scheme, final=True)
-        chosen = records.choose(MODEL_JOBS[model](rows, grid, group), KEYS)
+        part = rows.where((F.col("metric_group") == group) & F.col("scope").isin(scopes)).drop("metric_group", "scope")
+        chosen = with_bounds(records.choose(MODEL_JOBS[model](part, grid, group), KEYS))
         return records.forecast_rows(chosen, KEYS).withColumn("model", F.lit(model))
 
-    # a handful of jobs; tree jobs fit while the others are being planned
-    jobs = planned_jobs(grids, models)
-    if not jobs:
-        raise ValueError(f"no model is available among {models}")
-    with ThreadPool(len(jobs)) as pool:
-        return stack_models(*pool.map(inheritable_thread_target(obs.sparkSession)(run), jobs)), rejects
+    return stack_models(*map(run, jobs)), rejects
+
+
+def fold_rows(usable, scheme, end):
+    """Fold rows of every series, written in buckets by file and series."""
+    # dealt before the months are filled in: windows, folds and buckets then share one exchange
+    buckets = int(usable.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = panel.extend_months(usable.repartition(buckets, *KEYS), end, KEYS)
+    return bucketed(panel.assign_folds(dealt, scheme, final=True), "fold_rows", KEYS, buckets)
 
 
 def publish(forecasts):
@@ -134,9 +138,13 @@ def publish(forecasts):
     mean = ensemble_mean(forecasts, KEYS).drop("n_models").withColumn("model", F.lit("Ensemble"))
     every = stack_models(forecasts, mean)
     named = with_file_metadata(every)
-    nothing = F.lit(None).cast("double")
     return named.select(
         "metric", "scope", "attribute", "file_id", "series", "model", "ds", "yhat",
         round_half_even(F.col("yhat")).alias("valor"),
-        nothing.alias("lower"), nothing.alias("upper"), "mape", "status",
+        "lower", "upper", "mape", "status",
     )
+
+
+def publish_rejects(rejects):
+    """What the cleaning left out, and why."""
+    return rejects.select("file_id", "series", "col_pos", "fecha_raw", "raw", "reason")

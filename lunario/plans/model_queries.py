@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from lunario.operators import panel, scoring
 from lunario.operators.grid import param_grid
+from lunario.operators.intervals import AROUND, COVERAGE, with_bounds
 from lunario.fixed import TREND_MONTH_GRID
 from lunario.operators.models import autoregression, records
 from lunario.operators.models.trend_month import fit_trend_month, trend_month
@@ -282,20 +283,18 @@ def recursive_forecast(spark, sf):
     )
 
 
-INTERVALS = f"""{ROLLED}, residuals AS (
-  SELECT series, y - yhat AS residual FROM predicted
-  WHERE param_id = 0 AND part = 'val' AND y IS NOT NULL), spread AS (
-  SELECT series, quantile_cont(residual, 0.1) AS low, quantile_cont(residual, 0.9) AS high
-  FROM residuals GROUP BY 1)
-SELECT p.series, strftime(p.ds, '%Y-%m') AS ds, round(yhat, 4) AS yhat, round(yhat + low, 4) AS lower,
-       round(yhat + high, 4) AS upper
-FROM predicted p LEFT JOIN spread s ON s.series = p.series
+PLUS_36 = "CAST(last_ds + INTERVAL 36 MONTH AS DATE)"
+INTERVALS = f"""WITH {sql.PANEL_25}, {sql.spine(PLUS_36)}, {sql.rolling(*sql.ROLLING_36, final=True)}, {sql.TREND_MONTH},
+{sql.bounds("predicted WHERE param_id = 0", f"{COVERAGE}", AROUND)}
+SELECT p.series, strftime(p.ds, '%Y-%m') AS ds, round(yhat, 4) AS yhat, round(yhat - w.width, 4) AS lower,
+       round(yhat + w.width, 4) AS upper
+FROM predicted p LEFT JOIN widths w ON w.series = p.series AND w.step = p.t - p.n + 1
 WHERE fold_id = -1 AND param_id = 0 AND part = 'future'"""
 
 
 @query("interval_columns", INTERVALS)
 def interval_columns(spark, sf):
-    """Three years ahead with the 10 % and 90 % points of the folds' residuals."""
-    rows = fit_trend_month(fold_rows(spark, sf, ROLLING, final=True), LINEAR)
-    bounded = scoring.with_intervals(rows).select("series", "ds", "yhat", "lower", "upper")
-    return rounded(bounded, "yhat", "lower", "upper")
+    """Three years ahead with bounds that grow with the months ahead; the folds validate one year."""
+    rows = panel.assign_folds(panel.extend_months(panel_25(spark, sf), F.add_months("last_ds", 36)), ROLLING, final=True)
+    chosen = with_bounds(records.choose(trend_month(rows, LINEAR)))
+    return rounded(records.forecast_rows(chosen).select("series", "ds", "yhat", "lower", "upper"), "yhat", "lower", "upper")

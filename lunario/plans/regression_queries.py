@@ -62,7 +62,14 @@ TREND_WIDTH = 2 + 10
 TREND_TERMS = ["CAST(1 AS DOUBLE)", "s", *_hinges_sql(10), *_season_sql()]
 TREND_RIDGE = [BASE_RIDGE] * 2 + [BASE_RIDGE + CHANGEPOINT_RIDGE] * 10 + [BASE_RIDGE] * 11
 
-TREND_SEASON_SQL = f"""WITH RECURSIVE {ROWS}, {SCALED}, design AS (
+
+def trend_chain(multiplicative=True):
+    """CTEs from the fold rows to the ``predicted`` rows of trend and season, additive as set 0."""
+    ratio = """
+  UNION ALL
+  SELECT v.series, v.fold_id, v.ds, v.part, v.y, v.t, v.start_idx, v.train_n, v.n, 1, v.trend * r.ratio * v.scale FROM valued v
+  JOIN ratios r ON r.series = v.series AND r.fold_id = v.fold_id AND r.m = month(v.ds)"""
+    return f"""{SCALED}, design AS (
   SELECT *, 0 AS param_id, [{", ".join(TREND_TERMS)}] AS x, y / scale AS v FROM scaled), training AS (
   SELECT series, fold_id, param_id, x, v FROM design WHERE part = 'train' AND v IS NOT NULL),
 {sql.solved("training", len(TREND_TERMS), TREND_RIDGE)}, valued AS (
@@ -71,10 +78,10 @@ TREND_SEASON_SQL = f"""WITH RECURSIVE {ROWS}, {SCALED}, design AS (
   FROM design d JOIN coefs c ON c.series = d.series AND c.fold_id = d.fold_id), ratios AS (
   SELECT series, fold_id, month(ds) AS m, avg(v / trend) AS ratio FROM valued
   WHERE part = 'train' AND v IS NOT NULL GROUP BY 1, 2, 3), predicted AS (
-  SELECT series, fold_id, ds, part, y, 0 AS param_id, fit * scale AS yhat FROM valued
-  UNION ALL
-  SELECT v.series, v.fold_id, v.ds, v.part, v.y, 1, v.trend * r.ratio * v.scale FROM valued v
-  JOIN ratios r ON r.series = v.series AND r.fold_id = v.fold_id AND r.m = month(v.ds)), {CHOSEN}"""
+  SELECT series, fold_id, ds, part, y, t, start_idx, train_n, n, 0 AS param_id, fit * scale AS yhat FROM valued{ratio if multiplicative else ""})"""
+
+
+TREND_SEASON_SQL = f"WITH RECURSIVE {ROWS}, {trend_chain()}, {CHOSEN}"
 
 
 @query("trend_season_forecast", TREND_SEASON_SQL)
@@ -95,23 +102,35 @@ AR_TERMS = [
 ]
 AR_RIDGE = [BASE_RIDGE] * 2 + [BASE_RIDGE + CHANGEPOINT_RIDGE] * 2 + [BASE_RIDGE] * 13
 
-AR_SQL = f"""WITH RECURSIVE {ROWS}, {SCALED}, lagged AS (
+
+def linear_ar_design(points):
+    """(terms, ridge) of a linear trend with ``points`` changepoints, season and two lags."""
+    terms = ["CAST(1 AS DOUBLE)", "s", *_hinges_sql(points), *_season_sql()]
+    return terms, [BASE_RIDGE] * 2 + [BASE_RIDGE + CHANGEPOINT_RIDGE] * points + [BASE_RIDGE] * 13
+
+
+def ar_chain(terms, ridge, sets):
+    """CTEs from the fold rows to the ``predicted`` rows of trend, season and two lags."""
+    return f"""{SCALED}, lagged AS (
   SELECT *, lag(y_known, 1) OVER w / scale AS lag_1, lag(y_known, 2) OVER w / scale AS lag_2
   FROM scaled WINDOW w AS (PARTITION BY series, fold_id ORDER BY scaled.t)), design AS (
-  SELECT l.*, g.param_id, [{", ".join(AR_TERMS)}] AS xt, y / scale AS v
-  FROM lagged l CROSS JOIN (VALUES (0), (1)) AS g(param_id)), training AS (
+  SELECT l.*, g.param_id, [{", ".join(terms)}] AS xt, y / scale AS v
+  FROM lagged l CROSS JOIN (VALUES {", ".join(f"({k})" for k in range(sets))}) AS g(param_id)), training AS (
   SELECT series, fold_id, param_id, list_concat(xt, [lag_1, lag_2]) AS x, v FROM design
   WHERE part = 'train' AND v IS NOT NULL AND lag_1 IS NOT NULL AND lag_2 IS NOT NULL),
-{sql.solved("training", len(AR_TERMS) + 2, AR_RIDGE)}, walk AS (
+{sql.solved("training", len(terms) + 2, ridge)}, walk AS (
   SELECT series, fold_id, param_id, t, [y_known / scale, lag_1] AS h FROM design
   WHERE part = 'train' AND t = start_idx + train_n - 1
   UNION ALL
   SELECT d.series, d.fold_id, d.param_id, d.t, [{_step("c.coef", "d.xt", 2)}, h[1]]
   FROM walk w JOIN design d ON d.series = w.series AND d.fold_id = w.fold_id AND d.param_id = w.param_id AND d.t = w.t + 1
   JOIN coefs c ON c.series = w.series AND c.fold_id = w.fold_id AND c.param_id = w.param_id), predicted AS (
-  SELECT d.series, d.fold_id, d.param_id, d.ds, d.part, d.y, w.h[1] * d.scale AS yhat
+  SELECT d.series, d.fold_id, d.param_id, d.ds, d.part, d.y, d.t, d.start_idx, d.train_n, d.n, w.h[1] * d.scale AS yhat
   FROM walk w JOIN design d ON d.series = w.series AND d.fold_id = w.fold_id AND d.param_id = w.param_id AND d.t = w.t
-  WHERE d.part <> 'train'), {CHOSEN}"""
+  WHERE d.part <> 'train')"""
+
+
+AR_SQL = f"WITH RECURSIVE {ROWS}, {ar_chain(AR_TERMS, AR_RIDGE, 2)}, {CHOSEN}"
 
 
 @query("trend_season_ar_forecast", AR_SQL)
@@ -120,15 +139,16 @@ def trend_season_ar_forecast(spark, sf):
     return _forecast(trend_season(fold_rows(spark, sf), AR_GRID, lags=2))
 
 
-def decomposed_sql(lags, final):
-    """Check SQL of the decomposed autoregression up to ``predicted``."""
+def decomposed_sql(lags, final, source=None):
+    """Check SQL of the decomposed autoregression up to ``predicted``; ``source``: CTEs up to the fold rows."""
+    source = source or f"{sql.PANEL_5}, {sql.spine(sql.PLUS_12)}, {sql.holdout(12, final=final)}"
     most = max(lags)
     sets = ", ".join(f"({i}, {n})" for i, n in enumerate(lags))
     lag_terms = ", ".join(f"CASE WHEN g.lags >= {k} THEN lag_{k} ELSE 0 END" for k in range(1, most + 1))
     lag_columns = ", ".join(f"lag(known, {k}) OVER w AS lag_{k}" for k in range(1, most + 1))
     seeds = ", ".join(["known", *[f"lag_{k}" for k in range(1, most)]])
     step = "c.coef[1]" + "".join(f" + c.coef[{k + 1}] * h[{k}]" for k in range(1, most + 1))
-    return f"""{sql.PANEL_5}, {sql.spine(sql.PLUS_12)}, {sql.holdout(12, final=final)}, {sql.DECOMPOSED}, scaled AS (
+    return f"""{source}, {sql.DECOMPOSED}, scaled AS (
   SELECT *, avg(CASE WHEN part = 'train' THEN abs(z) END) OVER (PARTITION BY series, fold_id) AS scale
   FROM parts), lagged AS (
   SELECT *, {lag_columns} FROM (SELECT *, coalesce(z / scale, 0) AS known FROM scaled) q
@@ -145,7 +165,7 @@ def decomposed_sql(lags, final):
   FROM walk w JOIN coefs c ON c.series = w.series AND c.fold_id = w.fold_id AND c.param_id = w.param_id
   WHERE EXISTS (SELECT 1 FROM lagged l WHERE l.series = w.series AND l.fold_id = w.fold_id AND l.t = w.t + 1)),
   predicted AS (
-  SELECT l.series, l.fold_id, w.param_id, l.ds, l.part, l.y, w.h[1] * l.scale + l.trend + l.season AS yhat
+  SELECT l.series, l.fold_id, w.param_id, l.ds, l.part, l.y, l.t, l.start_idx, l.train_n, l.n, w.h[1] * l.scale + l.trend + l.season AS yhat
   FROM walk w JOIN lagged l ON l.series = w.series AND l.fold_id = w.fold_id AND l.t = w.t
   WHERE l.part <> 'train')"""
 

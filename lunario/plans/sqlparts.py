@@ -119,6 +119,26 @@ SCORES = f"""scores AS (
   SELECT series, param_id, fold_id, {ERRORS}
   FROM predicted WHERE part = 'val' AND y IS NOT NULL GROUP BY 1, 2, 3)"""
 
+
+def bounds(source, coverage, around, steps=60):
+    """Half width of every step ahead (``widths``: series, step, width) from the validation rows of ``source``."""
+    return f"""gaps AS (
+  SELECT series, t - start_idx - train_n + 1 AS step, abs(y - yhat) AS gap
+  FROM (SELECT * FROM {source}) q WHERE part = 'val' AND y IS NOT NULL AND yhat IS NOT NULL), windows AS (
+  SELECT series, max(step) AS last FROM gaps GROUP BY 1), pools AS (
+  SELECT w.series, w.last, s.s AS step, list_sort(list(g.gap)) AS pool
+  FROM windows w JOIN range(1, {steps + 1}) s(s) ON s.s <= w.last
+  JOIN gaps g ON g.series = w.series AND abs(g.step - s.s) <= {around} GROUP BY ALL), grown AS (
+  SELECT series, last, step, max(pool[CAST(least(len(pool), ceil((len(pool) + 1) * {coverage})) AS INTEGER)])
+           OVER (PARTITION BY series ORDER BY step) AS width
+  FROM pools), rates AS (
+  SELECT series, last, max(width) AS width, greatest(0, coalesce(regr_slope(width, step), 0)) AS rate
+  FROM grown GROUP BY ALL), widths AS (
+  SELECT series, step, width FROM grown
+  UNION ALL
+  SELECT series, s.s, width + rate * (s.s - last) FROM rates JOIN range(1, {steps + 1}) s(s) ON s.s > last)"""
+
+
 MEANS = """means AS (
   SELECT series, param_id, avg(mape) AS mape, avg(mae) AS mae, count(*) AS n_folds
   FROM scores GROUP BY 1, 2), ranked AS (

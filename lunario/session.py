@@ -54,6 +54,20 @@ def written(df: DataFrame, name: str, partition_by=()) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, keys, buckets=None) -> DataFrame:
+    """Write ``df`` to the shared folder in buckets of ``keys`` and read it back.
+
+    What groups, windows or joins by the keys afterwards needs no exchange, in as
+    many jobs as read the table. The table's name lives in the session only.
+    """
+    spark = df.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = scratch_path(spark, name)
+    title = f"{name}_{path[-32:]}"
+    df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).option("path", path).saveAsTable(title)
+    return spark.table(title)
+
+
 def values_frame(spark, names, rows) -> DataFrame:
     """A small constant table (registries, parameter grids) built inside the plan."""
     structs = [F.struct(*[_lit(v).alias(n) for n, v in zip(names, row)]) for row in rows]

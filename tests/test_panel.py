@@ -110,18 +110,6 @@ def test_large_grids_run_like_small_ones(spark):
     assert grid.with_params(spark.range(2), values).count() == 24_000
 
 
-def test_intervals_pool_the_residuals_of_a_series(spark):
-    rows = spark.createDataFrame(
-        [("a", "val", 12 * f + 36, 12 * f, 36, float(v), 0.0) for f, v in enumerate(range(-5, 6))]
-        + [("a", "future", 79 + k, 0, 79, None, 10.0 + k) for k in range(2)],
-        "series string, part string, t int, start_idx int, train_n int, y double, yhat double",
-    )
-    got = {r.t: (r.lower, r.upper) for r in scoring.with_intervals(rows).collect()}
-    assert got == {79: (6.0, 14.0), 80: (7.0, 15.0)}
-    none = scoring.with_intervals(rows.where("part = 'future'")).collect()
-    assert {(r.lower, r.upper) for r in none} == {(None, None)}
-
-
 def test_decomposition_reverts_and_recovers(spark):
     value = "3D + 0.5D * i + 0.02D * i * i + 4D * cos(3.141592653589793D * i / 6)"
     rows = deseasonalize(detrend_quadratic(panel.monthly_spine(months(spark, 120, value=value))))
