@@ -53,6 +53,11 @@ WIDE_GATE = 53
 # Months kept back for comparing parameter sets when a file has many series.
 HOLDOUT_MONTHS = 12
 
+# Months of a series that lie further than this from its others, in a group of at most
+# that many, are mistyped.
+FAR_MONTHS = 120
+FAR_GROUP = 12
+
 # Rolling-origin window for one national series, in months.
 ROLLING = {"train": 96, "val": 36, "step": 12}
 

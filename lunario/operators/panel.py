@@ -10,6 +10,7 @@ All windows share the series partitioning, so one shuffle serves a whole chain.
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from lunario.fixed import FAR_GROUP, FAR_MONTHS
 from lunario.functions.calendar import month_number
 
 FINAL = -1  # fold id of the refit on all history
@@ -21,10 +22,6 @@ def melt_panel(wide, ds="ds"):
     return wide.unpivot([ds], names, "series", "y")
 
 
-def mask_null_target(panel):
-    return panel.where(F.col("y").isNotNull())
-
-
 def with_span(panel, keys=("series",)):
     """Add first and last month, month count ``n`` and time index ``t`` (from 0).
 
@@ -77,6 +74,26 @@ def extend_months(panel, end=None, keys=("series",)):
     )
 
 
+def far_months(panel, keys=("series",), gap=FAR_MONTHS, group=FAR_GROUP):
+    """Add ``reason``: ``far_month`` for months that a series can hardly have.
+
+    Months with no gap of more than ``gap`` months between them are an island. All
+    islands of at most ``group`` months but the largest one (the latest of equal
+    ones) are far away, whatever their years; filling the months in between would
+    blow the series up. A longer island is a real break and stays.
+    """
+    ordered = Window.partitionBy(*keys).orderBy("ds")
+    since = month_number(F.col("ds")) - F.lag(month_number(F.col("ds"))).over(ordered)
+    # gaps are numbered first: a window inside a window's argument needs a column of its own
+    numbered = panel.withColumn("after_gap", (since > gap).cast("int"))
+    numbered = numbered.withColumn("island", F.coalesce(F.sum("after_gap").over(ordered), F.lit(0)))
+    sized = numbered.withColumn("island_months", F.count(F.lit(1)).over(Window.partitionBy(*keys, "island")))
+    largest = F.max(F.struct("island_months", "island")).over(Window.partitionBy(*keys))["island"]
+    return sized.withColumn("largest", largest).withColumn(
+        "reason", F.when((F.col("island") != F.col("largest")) & (F.col("island_months") <= group), "far_month")
+    ).drop("after_gap", "island", "island_months", "largest")
+
+
 def monthly_spine(panel, keys=("series",)):
     """Regular monthly grid per series; gap months have null ``y``."""
     return extend_months(panel, None, keys).drop("is_future")

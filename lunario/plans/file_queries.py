@@ -68,6 +68,19 @@ def scan_delimited(spark, sf):
     return obs.select(named(), "series", "col_pos", "ds", "y")
 
 
+@query(
+    "scan_records",
+    f"""WITH {WIDE_ROWS}
+SELECT file_id, CASE WHEN grp >= 2 THEN 'Región ' ELSE '' END || segment || chr(10) || 'total' AS series,
+       strftime(ds, '%Y-%m') AS ds, y
+FROM obs""",
+)
+def scan_records(spark, sf):
+    """Headers in quotes with line breaks, in every separator and encoding."""
+    obs = delimited.read_series_files(spark, write_files(spark, sf, mark="\ntotal"))
+    return obs.select(named(), "series", "ds", "y")
+
+
 @query(
     "scan_encoding",
     f"""WITH {WIDE_ROWS}

@@ -18,7 +18,7 @@ from lunario.fixed import (
     TREND_SEASON_GRID,
     TREND_SEASON_PANEL_GRID,
 )
-from lunario.functions.calendar import default_horizon
+from lunario.functions.calendar import default_horizon, month_label
 from lunario.functions.text import round_half_even
 from lunario.operators import panel, registry
 from lunario.operators.intervals import with_bounds
@@ -69,7 +69,7 @@ def cleaned_panel(obs):
 
     Files with one national series keep their first value column. Rejects are
     unreadable cells, files whose name or metric is unknown and further columns
-    of national files, with a reason.
+    of national files and months far from all others of their series, with a reason.
     """
     accepted, rejected = split_rejects(obs)
     known = registry.with_metric_group(with_file_metadata(accepted))
@@ -84,10 +84,14 @@ def cleaned_panel(obs):
     named = F.when((F.col("scope") == "estatal") & (F.col("series") == ""), F.col("metric")).otherwise(F.col("series"))
     usable = usable.withColumn("series", named)
     fields = ["metric_group", "scope"]
-    return (
-        month_panel(usable, [*fields, *KEYS]),
-        rejected.unionByName(unknown.select(*rejected.columns)).unionByName(beyond.select(*rejected.columns)),
+    # dealt by series before the windows: islands, months, folds and buckets then share one exchange
+    buckets = int(obs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    months = panel.far_months(month_panel(usable, [*fields, *KEYS]).repartition(buckets, *KEYS), KEYS)
+    far = months.where("reason is not null").select(
+        *KEYS, month_label(F.col("ds")).alias("fecha_raw"), F.col("y").cast("string").alias("raw"), "ds", "y", "reason"
     )
+    rejects = rejected.unionByName(unknown.select(*rejected.columns)).unionByName(beyond.select(*rejected.columns))
+    return months.where("reason is null").drop("reason"), rejects.unionByName(far, allowMissingColumns=True)
 
 
 def forecast_all(obs, **options):
@@ -127,10 +131,7 @@ def forecast_with_rejects(obs, end=None, rolling=None, holdout=HOLDOUT_MONTHS, g
 
 def fold_rows(usable, scheme, end):
     """Fold rows of every series, written in buckets by file and series."""
-    # dealt before the months are filled in: windows, folds and buckets then share one exchange
-    buckets = int(usable.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = panel.extend_months(usable.repartition(buckets, *KEYS), end, KEYS)
-    return bucketed(panel.assign_folds(dealt, scheme, final=True), "fold_rows", KEYS, buckets)
+    return bucketed(panel.assign_folds(panel.extend_months(usable, end, KEYS), scheme, final=True), "fold_rows", KEYS)
 
 
 def publish(forecasts):

@@ -11,6 +11,7 @@ from lunario.operators.models.trend_month import fit_trend_month
 from lunario.plans import sqlparts as sql
 from lunario.plans.frames import masked_panel, national, panel_5, panel_25, wide_5
 from lunario.plans.registry import query, rounded
+from lunario.session import written
 
 
 @query(
@@ -173,6 +174,24 @@ def holdout_context(spark, sf):
     return marked.where("part = 'val' or is_context").select("series", "ds", "y", "is_context")
 
 
+@query(
+    "far_months",
+    f"""WITH {sql.PANEL_5}, firsts AS (
+  SELECT series, min(ds) AS first_ds FROM panel GROUP BY 1)
+SELECT series, strftime(ds, '%Y-%m') AS ds, y, CAST(NULL AS VARCHAR) AS reason FROM panel
+UNION ALL
+SELECT series, strftime(first_ds - INTERVAL (k) YEAR, '%Y-%m'), 1, CASE WHEN k > 10 THEN 'far_month' END
+FROM firsts, (VALUES (1000), (21), (10)) AS away(k)""",
+)
+def far_months(spark, sf):
+    """Mistyped years beside real months: 1,000 and 21 years away; ten are still near."""
+    monthly = written(panel_5(spark, sf), "panel")
+    first = monthly.groupBy("series").agg(F.min("ds").alias("ds"))
+    away = F.explode(F.array(F.lit(1000), F.lit(21), F.lit(10))).alias("years")
+    odd = first.select("series", "ds", away).select("series", F.add_months("ds", -12 * F.col("years")).alias("ds"), F.lit(1.0).alias("y"))
+    return panel.far_months(monthly.unionByName(odd))
+
+
 @query(
     "rolling_folds",
     f"""WITH {sql.PANEL_25}, {sql.spine()}, {sql.rolling(36, 12, 12)}

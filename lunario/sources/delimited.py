@@ -3,9 +3,11 @@
 Lines are read with the text source, so a large file is split over tasks. One
 pass profiles every physical file (header line, encoding, separator); the
 profile is one row per file, written to the shared folder so that the join
-back to the lines sees its true size.
+back to the lines sees its true size. Files with cells that hold line breaks are
+brought to one line a record first (``quoting``).
 """
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lunario.fixed import DATE_HEADERS, WIDE_GATE
@@ -14,9 +16,12 @@ from lunario.functions.calendar import month_label
 from lunario.functions.columns import computed_once
 from lunario.session import written
 from lunario.sources.names import logical_file
+from lunario.sources.quoting import joined_records, spans_lines
 
 BOM = "﻿"
 NO_ROWS = 0  # position of the one observation of a file without values
+REPEATED_HEADER, OPEN_QUOTE = -1, -2  # positions of observations that are whole lines
+LINE_REJECTS = {NO_ROWS: "no_rows", REPEATED_HEADER: "repeated_header", OPEN_QUOTE: "open_quote"}
 YEARS = (1000, 2999)  # a month outside is a mistyped one
 
 # A cell is everything after a separator up to the next one; a cell that opens
@@ -58,6 +63,8 @@ def profile_files(lines):
         F.min("pos").alias("header_pos"),
         F.bool_and(F.is_valid_utf8("value")).alias("utf8"),
         F.count_if(text.strip(F.col("value")) != "").alias("n_lines"),
+        F.bool_or(spans_lines(F.col("value"), ";")).alias("spans_semicolon"),
+        F.bool_or(spans_lines(F.col("value"), "\t")).alias("spans_tab"),
     )
     header = F.replace(decoded(F.col("raw_header"), F.col("utf8")), F.lit(BOM), F.lit(""))
     found = per_file.select(
@@ -68,11 +75,39 @@ def profile_files(lines):
         "n_lines",
         header.alias("text"),
         F.when(header.contains("\t"), "\t").otherwise(";").alias("sep"),
+        F.when(header.contains("\t"), F.col("spans_tab")).otherwise(F.col("spans_semicolon")).alias("spans"),
     )
     cells = computed_once(found, {"cells": F.transform(split_cells(F.col("text"), F.col("sep")), text.strip)})
     return cells.select("*", distinct_names(F.col("cells")).alias("header")).drop("text", "cells")
 
 
+def whole_records(lines, files):
+    """(lines, files, open lines) with one line a record, given the profile of the files.
+
+    Open lines are those that a file's last quotes, never closed, run over; None
+    where no file has cells that span lines.
+    """
+    if files.where("spans").isEmpty():
+        return lines, files, None
+    of_lines = files.where("spans").select("path", "sep")
+    records, unclosed = joined_records(lines.join(of_lines, "path"))
+    # written: positions must not change between the profile of the records and their reading
+    records = written(records.withColumn("closed", F.lit(True)).unionByName(unclosed.withColumn("closed", F.lit(False))), "records")
+    made = records.where("closed").drop("closed")
+    profile = written(profile_files(made), "file_profile")
+    rest = lines.join(of_lines.select("path"), "path", "left_anti").select("path", "pos", "value")
+    return rest.unionByName(made), files.where(~F.col("spans")).unionByName(profile), records.where("not closed").drop("closed")
+
+
+def line_rejects(lines, position):
+    """One observation, a reject, for every one of ``lines`` (path, pos, text)."""
+    nothing = F.lit(None).cast("string")
+    return lines.select(
+        logical_file(F.col("path")).alias("file_id"), "pos", nothing.alias("series"), F.lit(position).alias("col_pos"),
+        F.lit(0).alias("n_series"), nothing.alias("fecha_raw"), F.lit(None).cast("date").alias("ds"), F.col("text").alias("raw"),
+    )
+
+
 def distinct_names(cells):
     """A name that stands to the left already gets its number of times appended: A, A.1, A.2."""
 
@@ -143,27 +178,30 @@ def read_rows(spark, path):
 
 
 def rows_of(lines):
-    return rows_with(lines, written(profile_files(lines), "file_profile"))
+    lines, files, _ = whole_records(lines, written(profile_files(lines), "file_profile"))
+    return rows_with(lines, files)[0]
 
 
 def rows_with(lines, files):
-    """Data rows of ``lines``, given the profile of their files.
+    """(data rows, lines that repeat the header) of ``lines``, given the profile of their files.
 
-    The header is the line in a file's first block that equals the first line;
-    line numbers depend on how a scan packs files and are not compared.
+    A file's first line is its header. Line numbers depend on how a scan packs
+    files, so lines that equal it are ranked in this pass: the first one in the
+    first block goes, the others are rejects. They are few; no other line is
+    shuffled for it.
     """
-    line = decoded(F.col("value"), F.col("utf8"))
-    header = (F.col("pos.block") == F.col("header_pos.block")) & F.col("value").eqNullSafe(F.col("raw_header"))
-    return (
-        lines.join(files, "path")
-        .where(~header & (text.strip(F.col("value")) != ""))
-        .select(
-            logical_file(F.col("path")).alias("file_id"),
-            "pos",
-            "header",
-            split_cells(line, F.col("sep")).alias("cells"),
-        )
+    plain = lambda c: F.replace(F.col(c), F.lit(BOM), F.lit(""))
+    known = lines.join(files, "path").where(text.strip(F.col("value")) != "")
+    same = plain("value").eqNullSafe(plain("raw_header"))
+    data = known.where(~same).select(
+        logical_file(F.col("path")).alias("file_id"),
+        "pos",
+        "header",
+        split_cells(decoded(F.col("value"), F.col("utf8")), F.col("sep")).alias("cells"),
     )
+    place = F.row_number().over(Window.partitionBy("path").orderBy("pos"))
+    equal = known.where(same).select("path", "pos", decoded(F.col("value"), F.col("utf8")).alias("text"), place.alias("place"))
+    return data, equal.where("place > 1").drop("place")
 
 
 def without_values(files):
@@ -187,8 +225,12 @@ def read_series_files(spark, path):
 
 
 def observations(lines):
-    files = written(profile_files(lines), "file_profile")
-    return parse_cells(cells_long(rows_with(lines, files)).unionByName(without_values(files)))
+    lines, files, unclosed = whole_records(lines, written(profile_files(lines), "file_profile"))
+    data, repeated = rows_with(lines, files)
+    found = cells_long(data).unionByName(without_values(files)).unionByName(line_rejects(repeated, REPEATED_HEADER))
+    if unclosed is not None:
+        found = found.unionByName(line_rejects(unclosed.withColumnRenamed("value", "text"), OPEN_QUOTE))
+    return parse_cells(found)
 
 
 def parse_cells(cells):
@@ -200,9 +242,8 @@ def split_rejects(obs):
     bad_number = F.col("y").isNull() & ~text.is_missing(F.col("raw"))
     reason = F.when(F.col("ds").isNull(), "bad_date").when(bad_number, "bad_number")
     if {"col_pos", "series"} <= set(obs.columns):
-        reason = (
-            F.when(F.col("col_pos") == NO_ROWS, "no_rows").when(F.col("series").isNull(), "extra_cells").otherwise(reason)
-        )
+        of_line = F.try_element_at(F.create_map(*[F.lit(v) for kv in LINE_REJECTS.items() for v in kv]), F.col("col_pos"))
+        reason = F.coalesce(of_line, F.when(F.col("series").isNull(), "extra_cells"), reason)
     if "ds" in obs.columns:
         year = F.year("ds")
         reason = F.coalesce(reason, F.when(~year.between(*YEARS), "bad_year"))

@@ -135,5 +135,85 @@ def test_header_does_not_depend_on_how_files_are_packed(spark, tmp_path):
         files = delimited.written(delimited.profile_files(delimited.read_lines(spark, str(tmp_path))), "profile")
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
-    rows = delimited.rows_with(delimited.read_lines(spark, str(tmp_path)).coalesce(1), files)
+    rows, repeated = delimited.rows_with(delimited.read_lines(spark, str(tmp_path)).coalesce(1), files)
+    assert repeated.count() == 0
     assert rows.count() == 72
+
+
+def test_a_repeated_header_is_a_reject(spark, tmp_path):
+    head = "﻿Fecha;A\n"
+    lines = ["2010-01;1", "Fecha;A", "2010-02;2", "Fecha;A", "Fecha;A", "2010-03;3"]
+    put(tmp_path, "Parados desde 2010 por CCAA.csv", head + "\n".join(lines) + "\n")
+    for size in ("20", "134217728"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            accepted, rejected = delimited.split_rejects(delimited.read_series_files(spark, str(tmp_path)))
+            assert sorted(r.y for r in accepted.collect()) == [1.0, 2.0, 3.0]
+            assert [(r.reason, r.raw) for r in rejected.collect()] == [("repeated_header", "Fecha;A")] * 3
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+SPANNING = 'Fecha;"Castilla\ny León";B\n2010-01;"1\n";"2"\n2010-02;"";"7 ""x""\n\n;"";\n5"\n2010-03;5" pipe;4\n"2010-\n04";8;9\n'
+
+
+@pytest.mark.parametrize("size", ["7", "134217728"])
+def test_quoted_line_breaks(spark, tmp_path, size):
+    """Whatever the blocks, against Python's own reader."""
+    import csv
+    import io
+
+    put(tmp_path, "Parados desde 2010 por CCAA.csv", SPANNING)
+    put(tmp_path, "Contratos desde 2010 por CCAA.csv", SPANNING.replace(";", "\t"), "latin-1")
+    put(tmp_path, "Afiliados desde 2010 estatal.csv", "Fecha;A\n2010-01;1\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    try:
+        obs = delimited.read_series_files(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    got = {}
+    for r in obs:
+        got.setdefault(r.file_id.rsplit("/", 1)[-1].split(" ")[0], []).append((r.fecha_raw, r.series, r.raw))
+    for name, sep in (("Parados", ";"), ("Contratos", "\t")):
+        head, *rows = csv.reader(io.StringIO(SPANNING.replace(";", sep)), delimiter=sep)
+        assert sorted(got[name]) == sorted((row[0], h, v) for row in rows for h, v in zip(head[1:], row[1:]))
+    assert got["Afiliados"] == [("2010-01", "A", "1")]
+
+
+def test_random_quotes_against_a_state_machine(spark, tmp_path):
+    import csv
+    import io
+    import random
+
+    draw = random.Random(4)
+    texts = {}
+    for k in range(4):
+        rows = [[f"{2000 + n}-01", *("".join(draw.choice('ab;"\n') for _ in range(draw.randint(0, 6))) for _ in "xy")] for n in range(12)]
+        out = io.StringIO()
+        csv.writer(out, delimiter=";", lineterminator="\n").writerows([["Fecha", "A", "B"], *rows])
+        texts[f"Parados desde 20{k:02d} por CCAA.csv"] = (out.getvalue(), rows)
+    for name, (content, _) in texts.items():
+        put(tmp_path, name, content)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "60")
+    try:
+        obs = delimited.read_series_files(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    got = {}
+    for r in obs:
+        got.setdefault(r.file_id.rsplit("/", 1)[-1], []).append((r.fecha_raw, r.series, r.raw))
+    for name, (_, rows) in texts.items():
+        assert sorted(got[name]) == sorted((d, s, v) for d, *values in rows for s, v in zip("AB", values))
+
+
+def test_quotes_that_never_close(spark, tmp_path):
+    put(tmp_path, "Parados desde 2010 por CCAA.csv", 'Fecha;A\n2010-01;"1\n"\n2010-02;"2\n2010-03;3\n2010-04;4\n')
+    for size in ("20", "134217728"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            accepted, rejected = delimited.split_rejects(delimited.read_series_files(spark, str(tmp_path)))
+            assert [r.fecha_raw for r in accepted.collect()] == ["2010-01"]
+            found = sorted((r.reason, r.raw) for r in rejected.collect())
+            assert found == [("open_quote", t) for t in ('2010-02;"2', "2010-03;3", "2010-04;4")]
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")

@@ -118,3 +118,19 @@ def test_decomposition_reverts_and_recovers(spark):
     assert rows.agg(F.max(F.abs("z"))).first()[0] < 0.2
     centre = rows.groupBy(F.month("ds").alias("m")).agg(F.first("season").alias("s")).agg(F.sum("s")).first()[0]
     assert abs(centre) < 1e-9
+
+
+def test_far_months(spark):
+    """Short islands go, the largest and long ones stay; a spine has the real months only."""
+    def dates(series, *spans):
+        return [(series, year + m // 12, m % 12 + 1) for year, n in spans for m in range(n)]
+
+    rows = dates("typo", (2012, 3), (1012, 1)) + dates("break", (1980, 13), (2000, 30)) + dates("tie", (1980, 2), (2000, 2))
+    panel_rows = spark.createDataFrame(rows, "series string, y int, m int").select(
+        "series", F.expr("make_date(y, m, 1)").alias("ds"), F.lit(1.0).alias("y")
+    )
+    found = panel.far_months(panel_rows)
+    far = {(r.series, r.ds.year) for r in found.where("reason = 'far_month'").collect()}
+    assert far == {("typo", 1012), ("tie", 1980)}
+    assert panel.monthly_spine(found.where("reason is null").drop("reason")).where("series = 'typo'").count() == 3
+    assert panel.far_months(panel_rows.where("false")).count() == 0
