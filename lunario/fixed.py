@@ -58,6 +58,11 @@ HOLDOUT_MONTHS = 12
 FAR_MONTHS = 120
 FAR_GROUP = 12
 
+# Missing training values: gaps of up to so many months are interpolated, longer ones and
+# those at the ends take the mean of the values within so many months.
+FILL_GAP = 10
+FILL_WINDOW = 10
+
 # Rolling-origin window for one national series, in months.
 ROLLING = {"train": 96, "val": 36, "step": 12}
 

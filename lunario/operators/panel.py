@@ -10,7 +10,7 @@ All windows share the series partitioning, so one shuffle serves a whole chain.
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lunario.fixed import FAR_GROUP, FAR_MONTHS
+from lunario.fixed import FAR_GROUP, FAR_MONTHS, FILL_GAP, FILL_WINDOW
 from lunario.functions.calendar import month_number
 
 FINAL = -1  # fold id of the refit on all history
@@ -105,6 +105,42 @@ def carry_forward(rows, keys=("series",)):
     return rows.withColumn("y_known", F.last("y", ignorenulls=True).over(past))
 
 
+def fill_missing(rows, keys=("series", "fold_id"), gap=FILL_GAP, window=FILL_WINDOW):
+    """Fold rows whose missing training values are filled in: adds ``fill`` (observed, linear, mean or null).
+
+    A gap of up to ``gap`` months between two known values is interpolated, each
+    neighbour weighing the more the nearer it is. Longer gaps, and months before the
+    first or after the last known value, take the mean of the known values within
+    ``window`` months, and stay null where there are none. Only training rows are
+    filled and only they are looked at.
+    """
+    known = F.when(F.col("part") == "train", F.col("y"))
+    point = F.when(known.isNotNull(), F.struct("t", known.alias("y")))
+    ordered = Window.partitionBy(*keys).orderBy("t")
+    before = ordered.rowsBetween(Window.unboundedPreceding, 0)
+    after = ordered.rowsBetween(0, Window.unboundedFollowing)
+    near = ordered.rangeBetween(-window, window)
+    around = rows.select(
+        "*",
+        F.last(point, ignorenulls=True).over(before).alias("last_known"),
+        F.first(point, ignorenulls=True).over(after).alias("next_known"),
+        F.avg(known).over(near).alias("near_mean"),
+    )
+    low, high = F.col("last_known"), F.col("next_known")
+    share = (F.col("t") - low["t"]) / (high["t"] - low["t"])
+    linear = low["y"] + (high["y"] - low["y"]) * share
+    missing = (F.col("part") == "train") & F.col("y").isNull()
+    between = (high["t"] - low["t"] - 1) <= gap
+    how = (
+        F.when(F.col("y").isNotNull(), "observed")
+        .when(missing & between, "linear")
+        .when(missing & F.col("near_mean").isNotNull(), "mean")
+    )
+    filled = around.withColumn("fill", how)
+    value = F.when(F.col("fill") == "linear", linear).when(F.col("fill") == "mean", F.col("near_mean")).otherwise(F.col("y"))
+    return filled.withColumn("y", value).drop("last_known", "next_known", "near_mean")
+
+
 def ar_lags(rows, lags, y="y", keys=("series",), order="t"):
     """Add ``lag_1..lag_L`` of ``y`` in time order."""
     ordered = Window.partitionBy(*keys).orderBy(order)

@@ -174,6 +174,18 @@ def holdout_context(spark, sf):
     return marked.where("part = 'val' or is_context").select("series", "ds", "y", "is_context")
 
 
+@query(
+    "fill_missing",
+    f"""WITH {sql.MASKED.replace("% 10 = 0", "% 10 = 0 OR year(ds) = 1997")}, {sql.spine()}, {sql.filled(sql.holdout(12))}
+SELECT series, strftime(ds, '%Y-%m') AS ds, part, fill, round(y, 4) AS y FROM fold_rows""",
+)
+def fill_missing(spark, sf):
+    """Single missing months and a missing year: interpolated, or the mean of the months around."""
+    gappy = masked_panel(spark, sf).withColumn("y", F.when(F.year("ds") != 1997, F.col("y")))
+    rows = panel.assign_folds(panel.extend_months(gappy), panel.holdout_folds(12))
+    return rounded(panel.fill_missing(rows).select("series", "ds", "part", "fill", "y"), "y")
+
+
 @query(
     "far_months",
     f"""WITH {sql.PANEL_5}, firsts AS (

@@ -90,9 +90,9 @@ WHERE p.fold_id = -1 AND p.part = 'future')"""
 def _every_sql():
     """``every``: forecast months of all models but trees."""
     (bends,), (panel_bends,) = TREND_SEASON_GRID["n_changepoints"], TREND_SEASON_PANEL_GRID["n_changepoints"]
-    parts = [_part("NP", f"{_fold_rows(g)}, {trend_chain(multiplicative=False)}") for g in (0, 3)]
+    parts = [_part("NP", f"{sql.filled(_fold_rows(g))}, {trend_chain(multiplicative=False)}") for g in (0, 3)]
     for group, points in ((1, panel_bends), (2, bends)):
-        parts.append(_part("NP", f"{_fold_rows(group)}, {ar_chain(*linear_ar_design(points), 1)}"))
+        parts.append(_part("NP", f"{sql.filled(_fold_rows(group))}, {ar_chain(*linear_ar_design(points), 1)}"))
         parts.append(_part("LSTM", decomposed_sql(DECOMPOSED_GRID["lags"], final=True, source=_fold_rows(group))))
     return f"every AS ({' UNION ALL '.join(parts)})"
 

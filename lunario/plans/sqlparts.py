@@ -1,5 +1,7 @@
 """Pieces of the check SQL shared by several queries."""
 
+from lunario.fixed import FILL_GAP, FILL_WINDOW
+
 NATIONAL = """national AS (
   SELECT 'total' AS series, CAST(date_trunc('month', o_orderdate) AS DATE) AS ds,
          CAST(count(*) AS DOUBLE) AS y,
@@ -76,6 +78,25 @@ def holdout(val=12, final=False):
   FROM indexed WHERE t < n AND n > {val}{last})"""
 
 
+def filled(rows):
+    """``rows`` (CTEs up to the fold rows) with missing training values filled in; ``fill`` says how."""
+    return rows.replace("fold_rows AS (", "plain_rows AS (", 1) + f""", around AS (
+  SELECT *, last_value(CASE WHEN known IS NOT NULL THEN t END IGNORE NULLS) OVER back AS t0,
+         last_value(known IGNORE NULLS) OVER back AS y0,
+         first_value(CASE WHEN known IS NOT NULL THEN t END IGNORE NULLS) OVER ahead AS t1,
+         first_value(known IGNORE NULLS) OVER ahead AS y1, avg(known) OVER near AS near_mean
+  FROM (SELECT *, CASE WHEN part = 'train' THEN y END AS known FROM plain_rows) q
+  WINDOW back AS (PARTITION BY series, fold_id ORDER BY t),
+         ahead AS (PARTITION BY series, fold_id ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING),
+         near AS (PARTITION BY series, fold_id ORDER BY t RANGE BETWEEN {FILL_WINDOW} PRECEDING AND {FILL_WINDOW} FOLLOWING)),
+  fills AS (
+  SELECT *, CASE WHEN y IS NOT NULL THEN 'observed' WHEN part = 'train' AND t1 - t0 - 1 <= {FILL_GAP} THEN 'linear'
+                 WHEN part = 'train' AND near_mean IS NOT NULL THEN 'mean' END AS fill FROM around), fold_rows AS (
+  SELECT * EXCLUDE (known, t0, y0, t1, y1, near_mean) REPLACE (CASE fill WHEN 'linear' THEN y0 + (y1 - y0) * (t - t0) / (t1 - t0)
+                                WHEN 'mean' THEN near_mean ELSE y END AS y)
+  FROM fills)"""
+
+
 def rolling(train, val, step, final=False):
     last = (
         """ UNION ALL

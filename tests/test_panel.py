@@ -134,3 +134,18 @@ def test_far_months(spark):
     assert far == {("typo", 1012), ("tie", 1980)}
     assert panel.monthly_spine(found.where("reason is null").drop("reason")).where("series = 'typo'").count() == 3
     assert panel.far_months(panel_rows.where("false")).count() == 0
+
+
+def test_missing_training_values(spark):
+    values = [None, 10.0, None, None, 40.0, *[None] * 11, 100.0, 5.0, None]
+    parts = ["train"] * 17 + ["val"] * 2
+    rows = spark.createDataFrame(
+        [("a", 0, t, p, v) for t, (p, v) in enumerate(zip(parts, values))], "series string, fold_id int, t int, part string, y double"
+    )
+    got = [(r.y, r.fill) for r in panel.fill_missing(rows).orderBy("t").collect()]
+    # the first month has no value before it; validation rows are neither filled nor looked at
+    assert got[:5] == [(25.0, "mean"), (10.0, "observed"), (20.0, "linear"), (30.0, "linear"), (40.0, "observed")]
+    assert got[5] == (25.0, "mean") and got[10] == (50.0, "mean") and got[15] == (100.0, "mean")
+    assert got[16:] == [(100.0, "observed"), (5.0, "observed"), (None, None)]
+    none = rows.withColumn("y", F.lit(None).cast("double"))
+    assert {(r.y, r.fill) for r in panel.fill_missing(none).collect()} == {(None, None)}
