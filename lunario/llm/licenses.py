@@ -2,14 +2,15 @@
 
 A template of m word shingles is looked for in windows of w shingles that start
 every w/4, with m + w/4 <= w, so some window holds any full occurrence. A window
-and a template have one minimum for each of ``MASKS`` hash functions (a shingle
-hash, xored with a mask); a band is one of them, and one equal band retrieves
-the template. At a Jaccard similarity s a window is retrieved with probability
-1 - (1 - s)^MASKS. Window sizes grow by about a half, so a window with
+and a template have one minimum for each of ``HASHES`` independent hash functions
+(each hashes its number and the shingle's hash); a band is one of them, and one equal
+band retrieves the template. At a Jaccard similarity s a window is retrieved with
+probability 1 - (1 - s)^HASHES. Window sizes grow by about a half, so a window with
 a whole template has s >= 0.25 (the shortest templates) and mostly 0.4 or more:
-at least 0.9999 with 32 masks; at a containment of 0.8 it is above 0.998. What is
-retrieved is verified: the share of the template's shingles that the window
-holds must reach ``CONTAINMENT``.
+0.9999 or more with 32 of them, and four windows hold an occurrence as a rule. At a
+containment of 0.8 it is above 0.998 a window. What is retrieved is verified exactly:
+of the stretches of as many places as the template has shingles, each starting at one
+of these, the best must hold a share of them of ``CONTAINMENT``.
 
 A band can only be equal if the window holds the very shingle whose hash is the
 template's minimum. So texts, and within them places, without any of these
@@ -25,8 +26,6 @@ result. Other columns are not looked at. Of several occurrences of one template
 in one document the best one counts, of equal ones the first.
 """
 
-import random
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +33,7 @@ from lunario.functions.columns import computed_once
 
 SHINGLE_WORDS = 5
 CONTAINMENT = 0.8
-MASKS = 32
+HASHES = 32
 MOST_TEMPLATES = 64
 
 # fixed values: wording of public license notices
@@ -73,12 +72,6 @@ def shingles(tokens):
     return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), one)).otherwise(F.array().cast("array<bigint>"))
 
 
-def masks():
-    """One 64-bit mask a hash function, signed."""
-    draw = random.Random(42)
-    return [draw.getrandbits(64) - (1 << 63) for _ in range(MASKS)]
-
-
 def window_size(m):
     """The smallest window, a multiple of four and growing by about a half, with room for m shingles at any start."""
     w = 4
@@ -88,14 +81,18 @@ def window_size(m):
 
 
 def prepared(spark, templates: dict) -> list:
-    """(name, shingles, minima, window) of every template."""
+    """(name, shingles, minimum and its shingle by hash function, window) of every template."""
     rows = spark.createDataFrame(sorted(templates.items()), "name string, text string")
     rows = computed_once(rows.select("name", words(F.col("text")).alias("w")), {"s": shingles(F.col("w"))})
+    least = [
+        F.array_min(F.transform("s", lambda x: F.struct(F.xxhash64(F.lit(k), x).alias("minimum"), x.alias("shingle"))))
+        for k in range(HASHES)
+    ]
     ready = []
-    for name, found in rows.select("name", F.array_distinct("s")).collect():
+    for name, found, minima in rows.select("name", F.array_distinct("s"), F.array(*least)).collect():
         if not found:
             raise ValueError(f"template {name} has fewer than {SHINGLE_WORDS} words")
-        ready.append((name, found, [min(x ^ m for x in found) for m in masks()], window_size(len(found))))
+        ready.append((name, found, minima, window_size(len(found))))
     return ready
 
 
@@ -108,7 +105,7 @@ def _literal(template):
     return F.struct(
         F.lit(name).alias("name"),
         _longs(found).alias("found"),
-        _longs(minima).alias("minima"),
+        _longs(m["minimum"] for m in minima).alias("minima"),
         F.lit(window).alias("window"),
     )
 
@@ -126,14 +123,23 @@ def _windows(template):
 
 
 def _checked(template):
-    """(containment, start) of the template's best retrieved window; the struct orders better and earlier ones up."""
-    pairs = F.arrays_zip(_longs(masks()).alias("mask"), template["minima"].alias("minimum"))
+    """(containment, start) of the template's best stretch in a retrieved window; the struct orders better and earlier ones up."""
+    numbers = F.array(*[F.lit(k) for k in range(HASHES)])
+    pairs = F.arrays_zip(numbers.alias("number"), template["minima"].alias("minimum"))
+    size = F.size(template["found"])
+
+    def stretch(start):
+        share = F.size(F.array_intersect(F.slice("shingles", start + 1, size), template["found"])) / size
+        return F.struct(share.alias("containment"), (-start).alias("back"))
 
     def one(start):
         part = F.slice("shingles", start + 1, template["window"])
-        hit = F.exists(pairs, lambda z: F.array_min(F.transform(part, lambda x: x.bitwiseXOR(z["mask"]))) == z["minimum"])
-        share = F.size(F.array_intersect(part, template["found"])) / F.size(template["found"])
-        return F.when(hit, F.struct(share.alias("containment"), (-start).alias("back")))
+        hit = F.exists(
+            pairs, lambda z: F.array_min(F.transform(part, lambda x: F.xxhash64(z["number"], x))) == z["minimum"]
+        )
+        within = F.sequence(start, start + F.size(part) - 1)
+        begins = F.filter(within, lambda i: F.array_contains(template["found"], F.get("shingles", i)))
+        return F.when(hit, F.array_max(F.transform(begins, stretch)))
 
     return F.array_max(F.transform(_windows(template), one))
 
@@ -150,7 +156,7 @@ def scan(docs: DataFrame, templates: dict = TEMPLATES) -> DataFrame:
 
 def _scan(docs, ready):
     # by template the shingles that are its minima: the only ones that can make a band equal
-    minima = {x for _, found, least, _ in ready for x in found if any(x ^ m == v for m, v in zip(masks(), least))}
+    minima = sorted({m["shingle"] for _, _, least, _ in ready for m in least})
     cut = computed_once(docs.select("doc_id", "text"), {"w": words(F.col("text"))}).select("doc_id", "w")
     hashed = computed_once(cut, {"shingles": shingles(F.col("w"))}).select("doc_id", "shingles")
     telling = lambda x: x.isin(*minima)
