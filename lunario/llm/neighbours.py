@@ -5,7 +5,7 @@ can hold; a vector that a third of all rows share is thus one node. Nodes are
 dealt to shards of about ``SHARD_NODES`` by a hash; every shard builds its own
 robust-pruned directed graph (``proximity_graph``), written as rows of a table,
 so an index is all rows and any search can use it. Queries, distinct vectors in
-blocks, visit every shard by beam search; what they find is scored again in
+blocks, visit every shard by beam search; all that a beam holds is scored again in
 double precision on the original vectors, and the best of all shards stay.
 
 Defined results: null vectors, vectors with null or non-finite components, zero
@@ -29,7 +29,6 @@ NEIGHBOURS = 5
 SHARD_NODES = 4096
 QUERY_BLOCK = 4096
 BEAM = 64
-RESCORED = 16
 EVERY = 50
 
 
@@ -102,7 +101,7 @@ def _searched(found_per_shard, beam):
         for low in range(0, len(points), 256):
             part = points[low : low + 256]
             near, _ = beam_search(vectors, edges, entry, _unit(part), beam)
-            for query, point, found in zip(asked["query"].iloc[low : low + 256], part, near[:, :RESCORED]):
+            for query, point, found in zip(asked["query"].iloc[low : low + 256], part, near):
                 found = found[found >= 0]
                 score = original[found] @ point / (length[found] * np.linalg.norm(point))
                 best = np.lexsort((nodes[found], -score))[:found_per_shard]
