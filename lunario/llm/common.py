@@ -6,12 +6,38 @@ from pyspark.sql import functions as F
 from lunario.plans.frames import table
 from lunario.session import scratch_path, written
 
-__all__ = ["binary_values", "bucket_of", "learning_labels", "scratch_path", "table", "without_rows", "written"]
+__all__ = ["binary_values", "bucket_of", "in_worker", "learning_labels", "scratch_path", "table", "values", "without_rows", "written"]
 
 
-def binary_values(texts: pa.Array) -> list:
-    """The UTF-8 bytes of every text; null is empty."""
-    return [value or b"" for value in texts.cast(pa.binary()).to_pylist()]
+AT_ONCE = 256
+
+
+def values(column: pa.Array):
+    """The values of a column as Python objects, a slice at a time: a batch of texts is large beside what a task keeps."""
+    for low in range(0, len(column), AT_ONCE):
+        yield from column.slice(low, AT_ONCE).to_pylist()
+
+
+def binary_values(texts: pa.Array):
+    """The UTF-8 bytes of every text, a slice at a time; null is empty."""
+    for low in range(0, len(texts), AT_ONCE):
+        for value in texts.slice(low, AT_ONCE).cast(pa.binary()).to_pylist():
+            yield value or b""
+
+
+_HELD = {}
+
+
+def in_worker(key, make):
+    """What tasks work with, made once a worker process; only the one asked for last is kept.
+
+    Workers outlive their stage: whatever another model or operator left behind goes
+    before the new one is made.
+    """
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
 
 
 def bucket_of(doc_id, modulus):

@@ -1,11 +1,15 @@
 """Toxicity, quality and language on held-out rows and on edge cases; the fuzzy lexicon against edit distance."""
 
 import random
+import unicodedata
+import zlib
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from llmdata import SF_DIR
+from lunario.llm import language
 from lunario.llm.fuzzy_lexicon import FuzzyLexicon, edits_for
 from lunario.llm.language import LanguageProfiles, grams, op9_rank_order_language
 from lunario.llm.quality import QualityModel, kth_largest, ngram_buckets, op5_importance_resampling
@@ -202,11 +206,61 @@ def test_language_of_odd_texts(spark, edge_dir):
 
 
 def test_profiles_by_hand():
-    a, b = (np.unique(grams(w)) for w in ("aaab", "cccd"))
+    a, b = (grams(w)[0] for w in ("aaab", "cccd"))
     profiles = LanguageProfiles({"x": a.tolist(), "y": b.tolist()})
     assert profiles.nearest("aaab")[0] == "x" and profiles.nearest("CCCD")[0] == "y"
     assert profiles.nearest("123") == ("und", 0.0)
     # nothing shared with either: a tie goes to the smaller name
     assert profiles.nearest("zzz") == ("x", 0.0)
     assert LanguageProfiles({}).nearest("abc") == ("und", 0.0)
-    assert len(grams("ab")) == 2 + 3 + 2
+    assert grams("ab")[1].sum() == 2 + 3 + 2
+
+
+def plain_grams(text):
+    words = "".join(c if unicodedata.category(c)[0] == "L" else " " for c in text.lower()).split()
+    padded = [f" {w} " for w in words]
+    return Counter(p[i : i + n] for p in padded for n in (1, 2, 3) for i in range(len(p) - n + 1) if p[i : i + n] != " ")
+
+
+def test_languages_against_a_plain_version(spark):
+    """Counts, ranks and distances gram by gram over a whole table, learned from the same rows."""
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [(r.doc_id, r.text or "", r.lang) for r in table.collect()]
+    fold = {i: zlib.crc32(str(i).encode()) % 4 for i, *_ in rows}
+    learned = {}
+    for i, text, lang in rows:
+        if lang is not None and fold[i] != 2:
+            learned.setdefault(lang, Counter()).update(plain_grams(text))
+
+    def ranked(count):
+        return [g for g, _ in sorted(count.items(), key=lambda x: (-x[1], code(x[0])))][:400]
+
+    def code(gram):
+        value = 0
+        for c in gram:
+            value = value << 21 | ord(c)
+        return value
+
+    places = {lang: {g: k for k, g in enumerate(ranked(c))} for lang, c in learned.items()}
+    found = {r.doc_id: r for r in op9_rank_order_language(spark, "/root/testdata/sf0.001").collect()}
+    for i, text, _ in rows:
+        mine = ranked(plain_grams(text))
+        off = sorted((sum(abs(p[g] - k) if g in p else 400 for k, g in enumerate(mine)), lang) for lang, p in places.items())
+        assert found[i].held_out == (fold[i] == 2)
+        assert found[i].lang_pred == (off[0][1] if mine else "und")
+
+
+def test_stretches_of_a_long_text(monkeypatch):
+    text = "Añb x yz, 12 ½ δοκιμή " * 40
+    whole = grams(text)
+    monkeypatch.setattr(language, "STRETCH", 37)
+    parts = grams(text)
+    assert (whole[0] == parts[0]).all() and (whole[1] == parts[1]).all()
+    assert dict(zip(whole[0].tolist(), whole[1].tolist())) == {
+        sum(ord(c) << 21 * k for k, c in enumerate(reversed(g))): n for g, n in plain_grams(text).items()
+    }
+
+
+def test_numbers_are_not_letters():
+    profiles = LanguageProfiles({"en": grams("the ½ house")[0].tolist()})
+    assert profiles.nearest("½ ② ² Ⅷ 7_") == ("und", 0.0)
\ No newline at end of file
