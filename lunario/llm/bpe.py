@@ -17,25 +17,26 @@ encoded whole.
 import json
 import mmap
 import re
-import unicodedata
 from collections import Counter
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lunario.llm.common import binary_values, scratch_path, written
+from lunario.llm.common import binary_values, in_worker, scratch_path, written
 from lunario.llm.transducer import Transducer, compiled
 
 LEXICON_WORDS = 200_000
 COUNTED_AT_ONCE = 300_000
 REMEMBERED = 300_000
 REMEMBERED_PIECES = 50_000
+STABLE = "ɐ"  # below U+0250 all versions of Unicode agree
 
 
 def byte_letters():
@@ -48,19 +49,33 @@ def byte_letters():
 class Pieces:
     """Cuts a word into what is merged on its own: special tokens (ids), and pieces in lower case."""
 
-    def __init__(self, spec: dict):
+    def __init__(self, spec: str):
+        from tokenizers import Tokenizer
+
+        library = Tokenizer.from_str(spec)
+        self.normal, self.pre = library.normalizer, library.pre_tokenizer
+        self.bytes_of = {letter: bytes([b]) for b, letter in byte_letters().items()}
+        spec = json.loads(spec)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.specials = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         # the vocabulary's own pattern; its white space is that of Unicode
         self.cut = regex.compile(split["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}"))
 
+    def _foreign(self, text):
+        """Pieces by the library's own tables: versions of Unicode differ in what is a letter and its lower case."""
+        shown = self.pre.pre_tokenize_str(self.normal.normalize_str(text))
+        return [b"".join(map(self.bytes_of.__getitem__, piece)).decode() for piece, _ in shown]
+
     def _plain(self, text):
         if text.isascii():
             text = text.lower()
+        elif max(text) < STABLE:
+            text = text.lower()
+            if not text.isalpha() and max(text) >= STABLE:
+                return self._foreign(text)
         else:
-            # letter by letter: no final form of sigma
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+            return self._foreign(text)
         if text.isalpha():
             return (text,)
         if text[:-1].isalpha() and text[-1] in ",.":
@@ -80,6 +95,7 @@ class ExactBpe:
     """Exact encoding of words with one vocabulary file (word ends marked, lower case, byte letters)."""
 
     def __init__(self, spec: str):
+        self.pieces = Pieces(spec)
         spec = json.loads(spec)
         model = spec["model"]
         vocab, end = dict(model["vocab"]), model["end_of_word_suffix"]
@@ -90,12 +106,11 @@ class ExactBpe:
         self.rank = np.array([order[p] for p in self.pairs.tolist()] + [len(pairs)], np.int64)
         self.merged = np.array([vocab[a + b] for a, b in pairs] + [-1], np.int64)
         self.none = len(pairs)
-        self.pieces = Pieces(spec)
         letters = byte_letters()
         self.inner = np.array([vocab[letters[b]] for b in range(256)], np.int64)
         self.last = np.array([vocab[letters[b] + end] for b in range(256)], np.int64)
         names = {i: t for t, i in (vocab | self.pieces.special).items()}
-        self.names = [names.get(i) for i in range(max(names) + 1)]
+        self.names = pa.array([names.get(i) for i in range(max(names) + 1)], pa.string())
         self.known = {}
 
     def _ranks(self, left, right):
@@ -163,8 +178,12 @@ class ExactBpe:
             b"".join([known[p] if isinstance(p, str) else p.to_bytes(4, "little") for p in pieces]) for pieces in cut
         ]
 
-    def decode(self, ids):
-        return " ".join(map(self.names.__getitem__, ids))
+    def decode(self, packed: list) -> pa.Array:
+        """The texts of packed ids (bytes, four each): the token strings with a space between."""
+        ends = np.cumsum([0, *map(len, packed)]) // 4
+        ids = pa.array(np.frombuffer(b"".join(packed), "<u4"))
+        tokens = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), self.names.take(ids).cast(pa.large_string()))
+        return pc.binary_join(tokens, pa.scalar(" ", pa.large_string())).cast(pa.string())
 
 
 def word_counts(texts: DataFrame, text="text") -> DataFrame:
@@ -201,16 +220,14 @@ def frequent_words(counts: DataFrame, at_most: int) -> list:
     return [bytes(r["word"]) for r in counts.where(F.col("n") >= floor).select("word").toLocalIterator()]
 
 
-_OPEN = {}
-
-
 def _opened(name, spec):
     """The mapped lexicon, the exact encoder and the words met so far, once per worker process."""
-    if name not in _OPEN:
-        _OPEN.clear()
+
+    def made():
         with open(SparkFiles.get(name), "rb") as file:
-            _OPEN[name] = Transducer(mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ)), ExactBpe(spec.value), {}
-    return _OPEN[name]
+            return Transducer(mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ)), ExactBpe(spec.value), {}
+
+    return in_worker(("bpe", name), made)
 
 
 def encoded(texts: list, lexicon: Transducer, exact: ExactBpe, known: dict) -> list:
@@ -258,10 +275,11 @@ class Codec:
         @F.arrow_udf("binary")
         def bpe_ids(texts: pa.Array) -> pa.Array:
             lexicon, exact, known = _opened(name, spec)
-            out, values = [], binary_values(texts)
-            for at in range(0, len(values), 2000):
-                out += encoded(values[at : at + 2000], lexicon, exact, known)
-            return pa.array(out, pa.binary())
+            parts = [pa.array([], pa.binary())]
+            for low in range(0, len(texts), 1000):
+                some = list(binary_values(texts.slice(low, 1000)))
+                parts.append(pa.array(encoded(some, lexicon, exact, known), pa.binary()))
+            return pa.concat_arrays(parts)
 
         return bpe_ids(text)
 
@@ -271,9 +289,10 @@ class Codec:
 
         @F.arrow_udf("string")
         def bpe_text(packed: pa.Array) -> pa.Array:
-            exact = _opened(name, spec)[1]
-            values = (np.frombuffer(b or b"", "<u4").tolist() for b in packed.to_pylist())
-            return pa.array(map(exact.decode, values), pa.string())
+            exact, parts = _opened(name, spec)[1], [pa.array([], pa.string())]
+            for low in range(0, len(packed), 1000):
+                parts.append(exact.decode([b or b"" for b in packed.slice(low, 1000).to_pylist()]))
+            return pa.concat_arrays(parts)
 
         return bpe_text(ids)
 

@@ -19,16 +19,17 @@ index names count: an attempt that was lost or ran twice leaves a file that no
 one reads. Files go through Arrow's file systems, so any store it knows will do.
 
 Texts are cut at ASCII white space, which no token of this vocabulary crosses.
-Words repeat, so a task remembers the ids of words; a word it does not know is
-cut into pieces by the vocabulary's rules, and the library's model merges them.
+Words repeat, so a worker remembers the ids of words, up to a stated number of
+bytes. A new word of code points below U+0250, where no version of Unicode differs,
+is cut into pieces by the vocabulary's rules and merged by the library's model; any
+other new word goes through the whole library.
 
 Defined results: null and empty texts are a record of the end id alone. Null
-doc_ids come first; rows with one doc_id are ordered by text and repeated rows
-stay. An empty table gives no files and an empty index. Other columns are not
+doc_ids come first; rows with one doc_id are ordered by a hash of their text and
+repeated rows stay. An empty table gives no files and an empty index. Other columns are not
 looked at. Very long texts are encoded whole.
 """
 
-import json
 import struct
 import uuid
 import zlib
@@ -40,15 +41,17 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lunario.llm.bpe import Pieces, byte_letters
-from lunario.llm.common import binary_values, scratch_path, written
+from lunario.llm.bpe import STABLE, Pieces, byte_letters
+from lunario.llm.common import binary_values, in_worker, scratch_path, written
 
 END_ID = 1
 HEAD = struct.Struct("<QI")
 FOOT = struct.Struct("<I")
 ABOUT = struct.Struct("<qBB")
 MASK_DELTA = 0xA282EAD8
-REMEMBERED = 500_000
+REMEMBERED_BYTES = 64 << 20
+ENTRY_BYTES = 200  # two short bytes objects and their place in a dictionary
+TEXTS_AT_ONCE = 500
 INDEX = "doc_id long, file string, place long, offset long, length long, n_tokens long, inside long"
 
 
@@ -94,9 +97,11 @@ class WordEncoder(dict):
     def __init__(self, spec: str):
         from tokenizers import Tokenizer
 
-        library = Tokenizer.from_str(spec)
+        self.library = library = Tokenizer.from_str(spec)
+        library.no_truncation()
+        library.no_padding()
         self.merge = library.model.tokenize
-        self.pieces = Pieces(json.loads(spec))
+        self.pieces = Pieces(spec)
         self.letters = byte_letters()
         largest = max([*library.get_vocab(with_added_tokens=True).values(), END_ID])
         self.width = 2 if largest < 1 << 16 else 4
@@ -104,37 +109,44 @@ class WordEncoder(dict):
         self.end = self.packed[END_ID]
 
     def __missing__(self, word):
-        if len(self) >= REMEMBERED:
+        if len(self) * ENTRY_BYTES > REMEMBERED_BYTES:
             # the words met first are the common ones; they stay
-            common = list(islice(self.items(), REMEMBERED // 2))
+            common = list(islice(self.items(), len(self) // 2))
             self.clear()
             self.update(common)
-        ids = []
-        for piece in self.pieces.of(word.decode()):
-            if isinstance(piece, int):
-                ids.append(piece)
-            else:
-                # one letter a byte; plain ASCII is its own letters
-                shown = piece if piece.isprintable() and piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
-                ids += [t.id for t in self.merge(shown)]
-        packed = self[word] = b"".join(map(self.packed.__getitem__, ids))
+        text = word.decode()
+        if not text.isascii() and max(text) >= STABLE:
+            ids = self.library.encode(text, add_special_tokens=False).ids
+        else:
+            ids = []
+            for piece in self.pieces.of(text):
+                if isinstance(piece, int):
+                    ids.append(piece)
+                else:
+                    # one letter a byte; plain ASCII is its own letters
+                    shown = piece if piece.isprintable() and piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+                    ids += [t.id for t in self.merge(shown)]
+        packed = b"".join(map(self.packed.__getitem__, ids))
+        if len(word) <= ENTRY_BYTES // 2:  # a longer one is hardly met again
+            self[word] = packed
         return packed
 
-    def encode(self, texts):
-        """Packed ids of every text (bytes), each with the end id."""
-        of = self.__getitem__
-        return [b"".join(map(of, text.split())) + self.end for text in texts]
+    def encode(self, text):
+        """Packed ids of a text (bytes) with the end id."""
+        return b"".join(map(self.__getitem__, text.split())) + self.end
 
 
 def _written_files(spec, folder):
     def write(batches):
-        encoder, out, name, place, at, inside_file = WordEncoder(spec.value), None, None, 0, 0, 0
+        # later tasks find the words that earlier ones have met
+        encoder = in_worker(("records", hash(spec.value)), lambda: WordEncoder(spec.value))
+        out, name, place, at, inside_file = None, None, 0, 0, 0
         try:
             for batch in batches:
-                ids_of, texts = batch.column(0).to_pylist(), binary_values(batch.column(1))
-                for low in range(0, len(texts), 1000):
-                    rows = []
-                    for doc_id, ids in zip(ids_of[low : low + 1000], encoder.encode(texts[low : low + 1000])):
+                for low in range(0, batch.num_rows, TEXTS_AT_ONCE):
+                    part, rows = batch.slice(low, TEXTS_AT_ONCE), []
+                    texts = binary_values(part.column(1))
+                    for doc_id, ids in zip(part.column(0).to_pylist(), map(encoder.encode, texts)):
                         if out is None:
                             store, inside = pyarrow.fs.FileSystem.from_uri(folder)
                             store.create_dir(inside)
@@ -171,9 +183,11 @@ def write_records(spark, docs: DataFrame, vocabulary_path: str):
     with open(vocabulary_path, encoding="utf-8") as file:
         spec = spark.sparkContext.broadcast(file.read())
     folder = scratch_path(spark, "records")
-    order = [F.asc_nulls_first("doc_id"), F.asc_nulls_first("text")]
-    dealt = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(order[0])
-    dealt = dealt.sortWithinPartitions(*order).mapInArrow(_written_files(spec, folder), INDEX)
+    rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_key"))
+    order = [F.asc_nulls_first("doc_id"), F.asc("text_key")]
+    # by text too, or rows of one doc_id, or of none, would all meet in one task
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order, F.asc_nulls_first("text"))
+    dealt = dealt.select("doc_id", "text").mapInArrow(_written_files(spec, folder), INDEX)
     index = written(dealt.withColumn("file_no", F.spark_partition_id()), "record-index")
     # one row a file: their order is that of the ranges
     sums = index.groupBy("file_no", "file").agg(F.sum("n_tokens").alias("n"))

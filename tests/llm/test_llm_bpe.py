@@ -53,15 +53,28 @@ def test_exact_merges_equal_the_library(library, spec):
     for text, packed in zip(texts, encoded([t.encode() for t in texts], lexicon, exact, {})):
         ids = library.encode(text, add_special_tokens=False).ids
         assert np.frombuffer(packed, "<u4").tolist() == ids, repr(text)
-        assert exact.decode(ids) == library.decode(ids, skip_special_tokens=False)
+        assert exact.decode([packed]).to_pylist() == [library.decode(ids, skip_special_tokens=False)]
+    assert exact.decode([b"", b""]).to_pylist() == ["", ""] and exact.decode([]).to_pylist() == []
 
 
 def test_word_encoder_equals_the_library(library, spec):
     texts = noise(4000)
-    for text, packed in zip(texts, WordEncoder(spec).encode([t.encode() for t in texts])):
+    for text, packed in zip(texts, map(WordEncoder(spec).encode, [t.encode() for t in texts])):
         assert np.frombuffer(packed, "<u2").tolist() == [*library.encode(text, add_special_tokens=False).ids, 1]
 
 
+def test_every_code_point_equals_the_library(library, spec):
+    """Between two letters, whatever version of Unicode this Python has: assigned or not."""
+    points = [p for p in [*range(0x20000), *range(0x20000, 0x110000, 101)] if not 0xD800 <= p < 0xE000]
+    words, exact, lexicon, known = WordEncoder(spec), ExactBpe(spec), Transducer(compiled([])), {}
+    for low in range(0, len(points), 500):
+        texts = [f"Ab{chr(p)}cD" for p in points[low : low + 500]]
+        wanted = [e.ids for e in library.encode_batch_fast(texts, add_special_tokens=False)]
+        for text, ids, packed in zip(texts, wanted, encoded([t.encode() for t in texts], lexicon, exact, known)):
+            assert np.frombuffer(packed, "<u4").tolist() == ids, repr(text)
+            assert np.frombuffer(words.encode(text.encode()), "<u2").tolist() == [*ids, 1], repr(text)
+
+
 def test_op8_equals_the_library(spark, texts, library):
     rows = {r["doc_id"]: tuple(r)[1:] for r in op8_transducer_bpe(spark, SF_DIR).collect()}
     assert set(rows) == set(texts)
