@@ -1,5 +1,9 @@
 """Helpers that several operators share."""
 
+import contextlib
+import ctypes
+import gc
+
 import pyarrow as pa
 from pyspark.sql import functions as F
 
@@ -32,14 +36,22 @@ def in_worker(key, make):
     """What tasks work with, made once a worker process; only the one asked for last is kept.
 
     Workers outlive their stage: whatever another model or operator left behind goes
-    before the new one is made.
+    before the new one is made, and its memory back to the system.
     """
     if key not in _HELD:
         _HELD.clear()
+        _give_back()
         _HELD[key] = make()
     return _HELD[key]
 
 
+def _give_back():
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # only where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def bucket_of(doc_id, modulus):
     """crc32 of the id as text, modulo ``modulus``: the folds that contracts name."""
     return F.crc32(doc_id.cast("string")) % modulus

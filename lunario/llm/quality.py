@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lunario.llm.common import id_key, without_rows, written
+from lunario.llm.common import id_key, values, without_rows, written
 from lunario.llm.toxicity import labelled_sample, logistic_fit
 
 BUCKETS = 1 << 16
@@ -55,7 +55,7 @@ def _bucket_counts(batches):
     """One row a task: the packed counts of its texts' n-grams."""
     total = np.zeros(BUCKETS, np.int64)
     for batch in batches:
-        for text in batch.column(0).to_pylist():
+        for text in values(batch.column(0)):
             if text:
                 total += np.bincount(ngram_buckets(text), minlength=BUCKETS)
     at = np.flatnonzero(total)
@@ -78,7 +78,7 @@ def ratio_column(spark, ratio: np.ndarray, text):
     @F.arrow_udf("struct<weight: double, n: long>")
     def log_ratio(texts: pa.Array) -> pa.Array:
         weights, sizes = [], []
-        for value in texts.to_pylist():
+        for value in values(texts):
             found = ngram_buckets(value or "")
             weights.append(float(shared.value[found].sum()))
             sizes.append(len(found))

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lunario.llm.common import bucket_of, learning_labels, written
+from lunario.llm.common import bucket_of, in_worker, learning_labels, values, written
 from lunario.llm.fuzzy_lexicon import STEM, FuzzyLexicon
 
 FOLDS, HELD_OUT = 5, 0
@@ -46,7 +46,6 @@ STEM_SIZES = (4, 5, 6)
 LEAST_FORMS = 4
 STEM_CLEAN = 0.02
 CHANCE = 0.5
-EXACT_TAILS = 300
 LEAST_TELLING = 3.0
 KNOWN_CLEAN = 2
 CONTEXT = 120
@@ -103,16 +102,10 @@ class Evidence:
         return total, len(words)
 
 
-_OPEN = {}
-
-
 def _evidence(shared):
     """The evidence of a broadcast lexicon, once per worker process."""
-    key = shared.value["key"]
-    if key not in _OPEN:
-        _OPEN.clear()
-        _OPEN[key] = Evidence(shared.value["weights"], shared.value["clean"])
-    return _OPEN[key]
+    lexicon = shared.value
+    return in_worker(("toxicity", lexicon["key"]), lambda: Evidence(lexicon["weights"], lexicon["clean"]))
 
 
 def features(text: str, evidence: Evidence):
@@ -130,8 +123,9 @@ def _word_counts(batches):
         columns = [words, [seen[1][w] for w in words], [seen[0][w] for w in words]]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64()))], ["word", "toxic", "clean"])
 
+    in_worker("word counts", dict)  # what earlier stages have left in this worker goes
     for batch in batches:
-        for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for text, label in zip(values(batch.column(0)), batch.column(1).to_pylist()):
             seen[label].update(set(WORD.findall((text or "").lower())))
             if len(seen[0]) + len(seen[1]) > 300_000:
                 yield rows()
@@ -179,7 +173,7 @@ def _context_counts(texts, terms):
     def met(batches):
         for batch in batches:
             found = set()
-            for text in batch.column(0).to_pylist():
+            for text in values(batch.column(0)):
                 words = ["", *WORD.findall((text or "").lower()), ""]
                 found.update((w, a + " " + b) for a, w, b in zip(words, words[1:], words[2:]) if w in terms)
             term, around = zip(*found) if found else ((), ())
@@ -226,25 +220,22 @@ def _gain(toxic, clean, rate):
     return np.where(toxic > n * rate, found, 0.0)
 
 
-def _expected_by_chance(sizes, rate):
-    """How many words reach a gain, or more, if each document is toxic with chance ``rate``.
+def _expected_by_chance(gains, sizes, rate):
+    """How many words reach each of ``gains``, or more, if each document is toxic with chance ``rate``.
 
-    ``sizes``: number of words by number of documents. Up to EXACT_TAILS documents
-    the binomial law is summed, above it the bound exp(-gain) stands for its tail.
+    ``sizes``: number of words by number of documents. The gain of a word of n
+    documents rises with the toxic ones, so a binomial tail answers each question;
+    n is bounded by the labelled sample.
     """
-    gains, masses, many = [], [], 0
+    logs = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, max(sizes) + 1)))])
+    asked, place = np.unique(gains, return_inverse=True)
+    expected = np.zeros(len(asked))
     for n, words in sizes.items():
-        if n > EXACT_TAILS:
-            many += words
-            continue
         toxic = np.arange(n + 1)
-        ways = np.array([math.lgamma(n + 1) - math.lgamma(t + 1) - math.lgamma(n - t + 1) for t in range(n + 1)])
-        gains.append(_gain(toxic, n - toxic, rate))
-        masses.append(words * np.exp(ways + toxic * math.log(rate) + (n - toxic) * math.log1p(-rate)))
-    gains, masses = (np.concatenate(v) if v else np.zeros(0) for v in (gains, masses))
-    order = np.argsort(gains)
-    gains, above = gains[order], np.append(np.cumsum(masses[order][::-1])[::-1], 0.0)
-    return lambda gain: above[np.searchsorted(gains, gain - 1e-9)] + many * np.exp(-gain)
+        chance = np.exp(logs[n] - logs[toxic] - logs[n - toxic] + toxic * math.log(rate) + (n - toxic) * math.log1p(-rate))
+        tail = np.append(np.cumsum(chance[::-1])[::-1], 0.0)
+        expected += words * tail[np.searchsorted(_gain(toxic, n - toxic, rate), asked - 1e-9)]
+    return expected[place]
 
 
 def chance_shares(toxic, clean, sizes, rate):
@@ -254,7 +245,7 @@ def chance_shares(toxic, clean, sizes, rate):
     falling = gain[order]
     # words of equal gain are found together
     found = np.searchsorted(-falling, -falling + 1e-9, side="right")
-    share = np.minimum(_expected_by_chance(sizes, rate)(falling) / np.maximum(found, 1), 1.0)
+    share = np.minimum(_expected_by_chance(falling, sizes, rate) / np.maximum(found, 1), 1.0)
     out = np.empty(len(gain))
     # a word is no worse than one with less gain
     out[order] = np.minimum.accumulate(share[::-1])[::-1]
@@ -283,7 +274,7 @@ def telling_words(counts, texts, n_toxic, n_clean):
     if not passing:
         return {}
     few = F.broadcast(counts.sparkSession.createDataFrame(passing, "toxic long, clean long"))
-    rows = counts.join(few, ["toxic", "clean"]).where(F.length("word") > 1).select("word", "toxic", "clean").collect()
+    rows = counts.join(few, ["toxic", "clean"]).select("word", "toxic", "clean").collect()
     varied = _context_counts(texts, {r["word"] for r in rows})
     rows = [(r["word"], min(r["toxic"], varied.get(r["word"], 0)), r["clean"]) for r in rows]
     rows = sorted(r for r in rows if r[1] and odds(*r[1:]) > LEAST_TELLING)
@@ -351,7 +342,7 @@ class ToxicityModel:
         @F.arrow_udf("struct<a: double, b: double>")
         def toxic_features(texts: pa.Array) -> pa.Array:
             evidence = _evidence(shared)
-            found = np.array([features(t or "", evidence) for t in texts.to_pylist()]).reshape(-1, 2)
+            found = np.array([features(t or "", evidence) for t in values(texts)]).reshape(-1, 2)
             return pa.StructArray.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
 
         return toxic_features(text)
@@ -365,7 +356,7 @@ class ToxicityModel:
         @F.arrow_udf("double")
         def toxicity(texts: pa.Array) -> pa.Array:
             evidence = _evidence(shared)
-            found = np.array([features(t or "", evidence) for t in texts.to_pylist()]).reshape(-1, 2)
+            found = np.array([features(t or "", evidence) for t in values(texts)]).reshape(-1, 2)
             return pa.array(1 / (1 + np.exp(-np.clip(found @ curve[:2] + curve[2], -30, 30))))
 
         return toxicity(text)
