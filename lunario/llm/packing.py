@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lunario.llm.byte_bpe import ByteBpe
-from lunario.llm.common import binary_values, written
+from lunario.llm.common import binary_values, in_worker, written
 
 CAPACITY = 1024
 END_ID = 2
@@ -55,18 +55,6 @@ TEXTS_AT_ONCE = 500
 
 _PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long, ids binary"
 _KINDS = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
-_SLOT = {}
-
-
-def _coder(spec):
-    """The coder of a vocabulary, one in a worker at a time: later tasks find the words it has met."""
-    key = hash(spec)
-    if key not in _SLOT:
-        _SLOT.clear()
-        _SLOT[key] = ByteBpe(spec)
-    return _SLOT[key]
-
-
 def cut(length: int, capacity: int) -> list:
     """(start, length) of the pieces of a document: only the first may be shorter than ``capacity``."""
     head = length % capacity or capacity
@@ -75,13 +63,14 @@ def cut(length: int, capacity: int) -> list:
 
 def _cut_documents(spec, end_id, capacity):
     def pieces(batches):
-        coder = _coder(spec.value)
+        # later tasks find the words that earlier ones have met
+        coder = in_worker(("byte bpe", hash(spec.value)), lambda: ByteBpe(spec.value))
         end, width = end_id.to_bytes(coder.width, "little"), coder.width
         for batch in batches:
-            ids_of, texts = batch.column(0).to_pylist(), binary_values(batch.column(1))
-            for low in range(0, len(texts), TEXTS_AT_ONCE):
-                rows = []
-                for doc_id, packed in zip(ids_of[low:], coder.encode(texts[low : low + TEXTS_AT_ONCE])):
+            for low in range(0, batch.num_rows, TEXTS_AT_ONCE):
+                part, rows = batch.slice(low, TEXTS_AT_ONCE), []
+                coded = coder.encode(list(binary_values(part.column(1))))
+                for doc_id, packed in zip(part.column(0).to_pylist(), coded):
                     packed += end
                     wide = np.frombuffer(packed, coder.kind).astype("<u4")
                     for k, (at, n) in enumerate(cut(len(wide), capacity)):
@@ -139,8 +128,11 @@ def best_fit(bin_of: np.ndarray, loose: np.ndarray, length: np.ndarray, capacity
     free = capacity - np.bincount(numbered, length[kept], len(used)).astype(np.int64)
     by_free = [[] for _ in range(capacity + 1)]
     open_bins = 0  # bit r: some bin has r places free
-    for number, room in enumerate(free.tolist()):
+    # bins that not even the smallest piece fits into need not be listed
+    listed = np.flatnonzero(free >= length[loose].min(initial=capacity))
+    for number, room in zip(listed.tolist(), free[listed].tolist()):
         by_free[room].append(number)
+    for room in np.unique(free[listed]).tolist():
         open_bins |= 1 << room
     bins = len(used)
     order = loose[np.argsort(-(length if weight is None else weight)[loose], kind="stable")]
@@ -193,32 +185,33 @@ def evolved(length, capacity, rng, immigrants=()):
     """The best packings of a population, best first."""
     n, bound = len(length), lower_bound(length, capacity)
 
-    def fitness(packing):
-        return quality(packing, length, capacity)
+    def rated(packings):
+        return [(*quality(p, length, capacity), p) for p in packings]
+
+    def best(entries):
+        # packings of one fitness count as one, or copies of the best soon fill the island
+        unlike = {e[:2]: e for e in reversed(entries)}
+        return [unlike[f] for f in sorted(unlike)]
 
     nothing, everything = np.zeros(n, np.int32), np.arange(n)
-    population = list(immigrants) or [best_fit(nothing, everything, length, capacity)]
-    if n == 0 or fitness(min(population, key=fitness))[0] <= bound:
-        return sorted(population, key=fitness)[:ELITE]
-    while len(population) < POPULATION:
+    population = best(rated(list(immigrants) or [best_fit(nothing, everything, length, capacity)]))
+    if n == 0 or population[0][0] <= bound:
+        return [p for *_, p in population[:ELITE]]
+    starts = []
+    while len(population) + len(starts) < POPULATION:
         # other starts: the pieces in an order that is only roughly that of their size
-        population.append(best_fit(nothing, everything, length, capacity, length * rng.uniform(0.7, 1.3, n)))
-    population.sort(key=fitness)
+        starts.append(best_fit(nothing, everything, length, capacity, length * rng.uniform(0.7, 1.3, n)))
+    population = best(population + rated(starts))
     for _ in range(GENERATIONS):
-        a, b = sorted(rng.choice(len(population), 2, replace=False))
-        children = [
-            crossed(population[a], population[b], length, capacity, rng),
-            crossed(population[b], population[a], length, capacity, rng),
-            mutated(population[0], length, capacity, rng),
-        ]
-        # packings of one fitness count as one, or copies of the best soon fill the island
-        unlike = {fitness(p): p for p in children + population}
-        population = [unlike[f] for f in sorted(unlike)][:POPULATION]
-        if len(population) == 1:
-            population.append(mutated(population[0], length, capacity, rng))
-        if fitness(population[0])[0] <= bound:
+        first = population[0][2]
+        children = [mutated(first, length, capacity, rng)]
+        if len(population) > 1:
+            a, b = (population[k][2] for k in sorted(rng.choice(len(population), 2, replace=False)))
+            children += [crossed(a, b, length, capacity, rng), crossed(b, a, length, capacity, rng)]
+        population = best(population + rated(children))[:POPULATION]
+        if population[0][0] <= bound:
             break
-    return population[:ELITE]
+    return [p for *_, p in population[:ELITE]]
 
 
 # ---------------------------------------------------------------- islands and levels

