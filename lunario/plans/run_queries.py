@@ -158,12 +158,12 @@ def file_records(spark, sf):
 @query(
     "file_error_table",
     f"""WITH {FILE_ERRORS}
-SELECT file_id, CASE modelo WHEN 'NP' THEN 'NeuralProphet' ELSE modelo END AS modelo, printf('%.1f%%', mape) AS mape_texto,
+SELECT file_id, CASE modelo WHEN 'NP' THEN 'NeuralProphet' ELSE modelo END AS modelo, printf('%.1f%%', CAST(round(CAST(mape AS DECIMAL(18, 2)), 1) AS DOUBLE)) AS mape_texto,
        CASE WHEN file_id LIKE '%sector%' THEN 'MAPE esperado 1 año promedio sector' ELSE 'MAPE esperado 3 años' END AS titulo
 FROM files""",
 )
 def file_error_table(spark, sf):
-    """The error table of every file, titled by what its name says."""
+    """The error table of every file, titled by what its name says; halves of the record's two-place error go up."""
     errors = export.file_errors(_file_records(spark, sf)).withColumn("file_id", base_name(F.col("file_id")))
     return export.export_error_table(errors)
 
