@@ -6,9 +6,12 @@ on both sides of it (the text's end counts as white space there). Special
 tokens are cut out first. What lies between two cuts repeats, so its packed ids
 are remembered, up to a stated number of bytes.
 
-A new stretch of letters below U+0250, where no version of Unicode differs, with
-or without a mark behind it goes straight to the library's merges; any other
-new stretch goes through the whole library.
+A new stretch of ASCII without apostrophes goes straight to the library's merges, as
+does one of letters below U+0250, where no version of Unicode differs, with or without
+a mark behind it. Many go at a time, a line each: no merge joins letters, digits,
+marks and line ends, or a blank to what stands before it, so none crosses what the
+cutting rule parts (looked up in the vocabulary). Any other new stretch goes through
+the whole library.
 """
 
 import json
@@ -16,10 +19,15 @@ import os
 import re
 from itertools import islice
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 from lunario.llm.bpe import byte_letters
 
 REMEMBERED_BYTES = 72 << 20
 ENTRY_BYTES = 200  # two short bytes objects and their place in a dictionary
+JOINED = 1000  # stretches in one string
 STABLE = "ɐ"
 MARKS = ",.;:!?"
 
@@ -28,6 +36,23 @@ _MAYBE = re.compile(rb" (?:[\s\x1c-\x1f\xc2\xe1-\xe3]|\Z)")
 _INSIDE = re.compile(r"\s (?:\s|\Z)")
 _CUT = re.compile(r"(?<=\S)(?= )|(?= \S)")
 _BLANK = re.compile("(?= )")
+_PLAIN = re.compile(rb"[!-&(-~]+(?:\n[!-&(-~]+)*")
+
+
+def _kind(letter):
+    if letter.isascii() and letter.isalnum():
+        return "0" if letter.isdigit() else "a"
+    return letter if letter in "ĠĊ" else "." if letter.isascii() and letter != "'" else None
+
+
+def kept_apart(merges) -> bool:
+    """Whether no merge crosses what the cutting rule parts in a plain stretch and the blank before it."""
+    edges = {(_kind(a[-1]), _kind(b[0])) for a, b in merges}
+    return all(x in (y, "Ġ") or y is None or x is None and y != "Ċ" for x, y in edges)
+
+
+def _stable(text):
+    return text.isalpha() and max(text) < STABLE
 
 
 class ByteBpe:
@@ -40,53 +65,66 @@ class ByteBpe:
         self.library = Tokenizer.from_str(spec)
         self.library.no_truncation()
         self.library.no_padding()
-        specials = [t["content"] for t in json.loads(spec)["added_tokens"]]
+        spec = json.loads(spec)
+        specials = [t["content"] for t in spec["added_tokens"]]
         self.specials = re.compile("(" + "|".join(map(re.escape, specials)) + ")") if specials else None
         self.heads = {s.encode()[:2] for s in specials}
         self.letters = byte_letters()
+        merges = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
+        self.apart = kept_apart(merges)
         largest = max(self.library.get_vocab(with_added_tokens=True).values())
         self.width = 2 if largest < 1 << 16 else 4
         self.kind = f"<u{self.width}"
-        self.packed = [i.to_bytes(self.width, "little") for i in range(largest + 1)]
+        # tokens that begin with a blank, which stands as this letter in byte-level vocabularies
+        self.leads = np.zeros(largest + 1, bool)
+        self.leads[[i for t, i in self.library.get_vocab(with_added_tokens=False).items() if t[0] == "Ġ"]] = True
         self.limit = remembered
         # by what stands before a stretch: nothing or a blank
         self.known = {"": {}, " ": {}}
-        self.marks = {m: b"".join(self._merged([m])) for m in MARKS}
 
-    def _merged(self, pieces):
-        """Packed ids of pieces that the cutting rule leaves whole, by the library's merges."""
-        shown = "\n".join(pieces).encode().decode("latin-1").translate(self.letters).split(self.letters[10])
-        merge, packed = self.library.model.tokenize, self.packed
-        return [b"".join([packed[t.id] for t in merge(s)]) for s in shown] if pieces else []
+        coded = self.library.encode_batch_fast([*MARKS], add_special_tokens=False)
+        self.marks = {m.encode(): self._packed(c.ids) for m, c in zip(MARKS, coded)}
+
+    def _packed(self, ids):
+        return np.array(ids, self.kind).tobytes()
+
+    def _merged(self, stretches):
+        """Packed ids of stretches that follow a blank, a line each: the first token begins with the blank, the last ends the line."""
+        out, width = [], self.width
+        for low in range(0, len(stretches), JOINED):
+            lines = b" " + b"\n ".join(stretches[low : low + JOINED]) + b"\n"
+            shown = lines.decode("latin-1").translate(self.letters)
+            ids = np.array([t.id for t in self.library.model.tokenize(shown)], self.kind)
+            at, packed = width * np.flatnonzero(self.leads[ids]), ids.tobytes()
+            ends = np.append(at[1:], len(packed)) - width
+            out += [packed[a:b] for a, b in zip(at.tolist(), ends.tolist())]
+        return out
 
     def _learn(self, stretches, lead):
-        """Remember the packed ids of new stretches."""
-        if not stretches:
-            return
-        table, simple, marked, whole = self.known[lead], [], [], []
-        texts = [s.decode() for s in stretches]
-        stable = max(map(max, filter(None, texts)), default="") < STABLE
-        for text in texts:
-            if " " not in text and (stable or max(text, default="") < STABLE):
-                if text.isalpha():
-                    simple.append(text)
-                    continue
-                if text[-1:] in self.marks and text[:-1].isalpha():
-                    marked.append(text)
-                    continue
-            whole.append(text)
-        # a word in front of a mark is often met without it as well
-        stems = set(simple).union([t[:-1] for t in marked])
-        new = [t for t in stems if t.encode() not in table]
-        merged = dict(zip(new, self._merged([lead + t for t in new])))
-        table.update([(t.encode(), merged[t]) for t in simple])
-        for text in marked:
-            stem = merged.get(text[:-1])
-            table[text.encode()] = (table[text[:-1].encode()] if stem is None else stem) + self.marks[text[-1]]
-        coded = self.library.encode_batch_fast([lead + t for t in whole], add_special_tokens=False)
-        packed = self.packed
-        for text, ids in zip(whole, coded):
-            table[text.encode()] = b"".join([packed[i] for i in ids.ids])
+        """Remember the packed ids of new stretches (a set)."""
+        table, plain, marked, whole = self.known[lead], [], [], []
+        straight = lead and self.apart
+        for stretch in stretches:
+            mark = stretch[-1:] if stretch[-1:] in self.marks else b""
+            stem = stretch.removesuffix(mark)
+            if straight and (stem.isalpha() or not stem.isascii() and _stable(stem.decode())):
+                # a word in front of a mark is often met without it as well
+                if not mark:
+                    plain.append(stretch)
+                elif stem in table:
+                    table[stretch] = table[stem] + self.marks[mark]
+                else:
+                    marked.append((stretch, mark))
+                    plain.append(stem)
+            elif straight and _PLAIN.fullmatch(stretch):
+                plain.append(stretch)
+            else:
+                whole.append(stretch)
+        table.update(zip(plain, self._merged(plain), strict=True))
+        for stretch, mark in marked:
+            table[stretch] = table[stretch.removesuffix(mark)] + self.marks[mark]
+        coded = self.library.encode_batch_fast([lead + s.decode() for s in whole], add_special_tokens=False)
+        table.update([(s, self._packed(c.ids)) for s, c in zip(whole, coded)])
 
     def _forget(self):
         """The stretches met first, the common ones, stay when the memory is full."""
@@ -105,26 +143,43 @@ class ByteBpe:
                 elif stretch:
                     yield "", stretch.encode()
 
+    def _known(self, stretches, lead):
+        """Packed ids of the stretches behind one kind of lead; new ones are learned."""
+        table = self.known[lead]
+        packed = list(map(table.get, stretches))
+        new = [k for k, ids in enumerate(packed) if ids is None]
+        self._learn({stretches[k] for k in new}, lead)
+        for k in new:
+            packed[k] = table[stretches[k]]
+        return packed
+
+    def _cut_at_blanks(self, texts):
+        """Packed ids of texts that can be cut at every blank."""
+        words = pc.split_pattern(pa.array(texts, pa.large_binary()), b" ")
+        begin = words.offsets.to_numpy()[:-1]
+        first, coded = words.values.take(pa.array(begin)).to_pylist(), words.values.dictionary_encode()
+        later = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        packed = self._known(later, " ") + self._known(first, "")
+        at = coded.indices.to_numpy().astype(np.int64)
+        at[begin] = len(later) + np.arange(len(first))
+        ids = pa.array(packed, pa.large_binary()).take(pa.array(at))
+        lists = pa.LargeListArray.from_arrays(words.offsets.cast(pa.int64()), ids)
+        return pc.binary_join(lists, pa.scalar(b"", pa.large_binary())).to_pylist()
+
+    def _cut_with_care(self, text):
+        """Packed ids of a text with special tokens or blanks beside white space."""
+        return b"".join([self._known([stretch], lead)[0] for lead, stretch in self._stretches(text.decode())])
+
     def encode(self, texts):
         """Packed ids of every text (bytes of UTF-8)."""
         self._forget()
-        cut, met = [], {"": set(), " ": set()}
-        for text in texts:
+        out, plain = [b""] * len(texts), []
+        for k, text in enumerate(texts):
             if any(h in text for h in self.heads) or _MAYBE.search(text) and _INSIDE.search(text.decode()):
-                words = list(self._stretches(text.decode()))
-                for lead, stretch in words:
-                    met[lead].add(stretch)
-            else:
-                words = text.split(b" ")
-                met[""].add(words[0])
-                met[" "].update(words[1:])
-            cut.append(words)
-        for lead, stretches in met.items():
-            self._learn(list(stretches.difference(self.known[lead])), lead)
-        first, later = self.known[""], self.known[" "]
-        return [
-            b"".join([self.known[lead][s] for lead, s in words])
-            if words and isinstance(words[0], tuple)
-            else first[words[0]] + b"".join(map(later.__getitem__, words[1:]))
-            for words in cut
-        ]
+                out[k] = self._cut_with_care(text)
+            elif text:
+                plain.append(k)
+        if plain:
+            for k, packed in zip(plain, self._cut_at_blanks([texts[k] for k in plain])):
+                out[k] = packed
+        return out

@@ -49,7 +49,7 @@ EPOCHS = 2
 POPULATION = 6
 GENERATIONS = 24
 ELITE = 2
-TEXTS_AT_ONCE = 500
+TEXTS_AT_ONCE = 1000
 
 # ---------------------------------------------------------------- pieces
 
@@ -173,12 +173,13 @@ def crossed(host, guest, length, capacity, rng):
 
 
 def mutated(bin_of, length, capacity, rng):
-    """The emptiest bins and a few others dissolved, their pieces best-fitted."""
+    """The emptiest bins and a few others dissolved, their pieces best-fitted in an order that is only roughly that of their size."""
     fill = np.bincount(bin_of, length)
     gone = np.zeros(len(fill), bool)
     gone[np.argsort(fill, kind="stable")[: 2 + len(fill) // 200]] = True
-    gone |= rng.random(len(fill)) < 0.02
-    return best_fit(bin_of, np.flatnonzero(gone[bin_of]), length, capacity)
+    # one other bin at least, as 2 % of few bins are none
+    gone |= rng.random(len(fill)) < max(0.02, 1 / len(fill))
+    return best_fit(bin_of, np.flatnonzero(gone[bin_of]), length, capacity, length * rng.uniform(0.7, 1.3, len(length)))
 
 
 def evolved(length, capacity, rng, immigrants=()):

@@ -3,6 +3,7 @@
 import itertools
 import random
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
@@ -10,7 +11,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from lunario.llm import packing
-from lunario.llm.byte_bpe import ByteBpe
+from lunario.llm.byte_bpe import ByteBpe, kept_apart
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -33,6 +34,24 @@ def test_ids_are_those_of_the_library(library):
             assert np.frombuffer(packed, coder.kind).tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_new_words_are_merged_many_at_a_time(library):
+    with open(PATH, encoding="utf-8") as file:
+        coder = ByteBpe(file.read())
+    calls, model, whole = [], coder.library.model, coder.library.encode_batch_fast
+    coder.library = SimpleNamespace(
+        model=SimpleNamespace(tokenize=lambda text: calls.append(1) or model.tokenize(text)),
+        encode_batch_fast=lambda *a, **k: calls.append(1) or whole(*a, **k),
+    )
+    rng = random.Random(6)
+    ends = ["", "", ",", ".", "###", "!!", ".\nEnd", "7", "\n\nx", "'s", "\n", "à", "à,", "ß.\nÉ", "\xa0", "…"]
+    texts = [" ".join("".join(rng.choices("abcdeéàñW", k=6)) + rng.choice(ends) for _ in range(40)) for _ in range(80)]
+    for text, packed in zip(texts, coder.encode([t.encode() for t in texts])):
+        assert np.frombuffer(packed, coder.kind).tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+    assert len(calls) < 12
+    assert kept_apart([("a", "b"), ("Ġ", "a"), (".", "."), ("Ċ", "Ċ"), ("'", "s"), ("Ġ", "Ã"), ("Ã", "©")])
+    assert not any(kept_apart([pair]) for pair in [("a", ","), ("a", "1"), ("Ċ", "Ġ"), ("Ġa", "Ġ"), ("©", "Ċ"), (".", "Ċ")])
+
+
 def checked(rows, capacity):
     """Every sequence gapless from 0 and within its capacity."""
     by_sequence = {}
@@ -107,6 +126,12 @@ def test_bound_and_packing_against_the_optimum():
     assert reached >= 54 and better  # also cases that best fit alone leaves
 
 
+def test_few_bins_are_mutated_as_well():
+    # best fit, and the emptiest bins alone, leave five
+    for lengths in ([49, 44, 28, 22, 34, 36, 33, 44, 19, 47, 39], [44, 40, 17, 23, 38, 37, 24, 56, 21, 55, 43]):
+        assert packing.evolved(np.array(lengths), 100, np.random.default_rng(1))[0].max() + 1 == fewest(lengths, 100) == 4
+
+
 def test_crossover_keeps_every_piece_once():
     rng = np.random.default_rng(4)
     length = rng.integers(1, 400, 300)
