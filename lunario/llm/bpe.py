@@ -34,6 +34,7 @@ from lunario.llm.transducer import Transducer, compiled
 
 LEXICON_WORDS = 200_000
 COUNTED_AT_ONCE = 300_000
+TEXTS_AT_ONCE = 1000
 REMEMBERED = 300_000
 REMEMBERED_PIECES = 50_000
 STABLE = "ɐ"  # below U+0250 all versions of Unicode agree
@@ -170,7 +171,7 @@ class ExactBpe:
         """Packed ids (little-endian unsigned 32-bit) of every word (str)."""
         if len(self.known) > REMEMBERED_PIECES:
             self.known.clear()
-        cut = [self.pieces.of(w) for w in words]
+        cut = [(w.lower(),) if w.isascii() and w.isalpha() else self.pieces.of(w) for w in words]
         new = {p for pieces in cut for p in pieces if p not in self.known}
         self._learn([p for p in new if isinstance(p, str)])
         known = self.known
@@ -240,15 +241,21 @@ def encoded(texts: list, lexicon: Transducer, exact: ExactBpe, known: dict) -> l
         common = list(islice(known.items(), REMEMBERED // 2))
         known.clear()
         known.update(common)
-    distinct = set()
-    for text in texts:
-        distinct.update(text.split())
-    new = list(distinct.difference(known))
+    words = pc.ascii_split_whitespace(pa.array(texts, pa.large_binary()).cast(pa.large_string()))
+    coded = words.values.cast(pa.large_binary()).dictionary_encode()  # white space at a text's ends gives empty words
+    distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+    packed = list(map(known.get, distinct))
+    unknown = [k for k, ids in enumerate(packed) if ids is None]
+    new = [distinct[k] for k in unknown]
     ranks = lexicon.ranks(new).tolist() if new else []
-    known.update((word, lexicon.ids_of(rank).tobytes()) for word, rank in zip(new, ranks) if rank >= 0)
+    known.update([(word, lexicon.ids_of(rank).tobytes()) for word, rank in zip(new, ranks) if rank >= 0])
     missing = [word for word, rank in zip(new, ranks) if rank < 0]
     known.update(zip(missing, exact.encode_words([word.decode() for word in missing])))
-    return [b"".join(map(known.__getitem__, text.split())) for text in texts]
+    for k, word in zip(unknown, new):
+        packed[k] = known[word]
+    ids = pa.array(packed, pa.large_binary()).take(coded.indices)
+    lists = pa.LargeListArray.from_arrays(words.offsets.cast(pa.int64()), ids)
+    return pc.binary_join(lists, pa.scalar(b"", pa.large_binary())).to_pylist()
 
 
 class Codec:
@@ -276,8 +283,8 @@ class Codec:
         def bpe_ids(texts: pa.Array) -> pa.Array:
             lexicon, exact, known = _opened(name, spec)
             parts = [pa.array([], pa.binary())]
-            for low in range(0, len(texts), 1000):
-                some = list(binary_values(texts.slice(low, 1000)))
+            for low in range(0, len(texts), TEXTS_AT_ONCE):
+                some = list(binary_values(texts.slice(low, TEXTS_AT_ONCE)))
                 parts.append(pa.array(encoded(some, lexicon, exact, known), pa.binary()))
             return pa.concat_arrays(parts)
 

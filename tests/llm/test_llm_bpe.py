@@ -57,6 +57,24 @@ def test_exact_merges_equal_the_library(library, spec):
     assert exact.decode([b"", b""]).to_pylist() == ["", ""] and exact.decode([]).to_pylist() == []
 
 
+def test_a_repeated_word_is_looked_up_once(library, spec):
+    class Counted(dict):
+        asked = 0
+
+        def __getitem__(self, word):
+            self.asked += 1
+            return super().__getitem__(word)
+
+        def get(self, word):
+            self.asked += 1
+            return super().get(word)
+
+    known, text = Counted(), " the  cat\x0bThe Qzx, é.\x1f\n" * 500
+    for packed in encoded([text.encode(), b"", b" ", b"cat"], Transducer(compiled([])), ExactBpe(spec), known)[:1]:
+        assert np.frombuffer(packed, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert known.asked <= 14  # seven distinct words, the empty one too
+
+
 def test_word_encoder_equals_the_library(library, spec):
     texts = noise(4000)
     for text, packed in zip(texts, map(WordEncoder(spec).encode, [t.encode() for t in texts])):
