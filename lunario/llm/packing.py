@@ -34,6 +34,7 @@ import zlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,7 +50,7 @@ EPOCHS = 2
 POPULATION = 6
 GENERATIONS = 24
 ELITE = 2
-TEXTS_AT_ONCE = 1000
+TEXT_BYTES = 8 << 20  # of texts at once
 
 # ---------------------------------------------------------------- pieces
 
@@ -61,14 +62,21 @@ def cut(length: int, capacity: int) -> list:
     return [(0, min(head, length))] + [(at, capacity) for at in range(head, length, capacity)]
 
 
+def _slices(batch):
+    """Slices of a batch with at most ``TEXT_BYTES`` and one text each."""
+    whole = np.cumsum(pc.binary_length(batch.column(1)).fill_null(0).to_numpy().astype(np.int64)) // TEXT_BYTES
+    ends = [*np.flatnonzero(np.diff(whole)) + 1, batch.num_rows]
+    return [batch.slice(low, high - low) for low, high in zip([0, *ends], ends)]
+
+
 def _cut_documents(spec, end_id, capacity):
     def pieces(batches):
         # later tasks find the words that earlier ones have met
         coder = in_worker(("byte bpe", hash(spec.value)), lambda: ByteBpe(spec.value))
         end, width = end_id.to_bytes(coder.width, "little"), coder.width
         for batch in batches:
-            for low in range(0, batch.num_rows, TEXTS_AT_ONCE):
-                part, rows = batch.slice(low, TEXTS_AT_ONCE), []
+            for part in _slices(batch):
+                rows = []
                 coded = coder.encode(list(binary_values(part.column(1))))
                 for doc_id, packed in zip(part.column(0).to_pylist(), coded):
                     packed += end

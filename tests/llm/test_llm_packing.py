@@ -7,6 +7,7 @@ from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -52,6 +53,33 @@ def test_new_words_are_merged_many_at_a_time(library):
     assert not any(kept_apart([pair]) for pair in [("a", ","), ("a", "1"), ("Ċ", "Ġ"), ("Ġa", "Ġ"), ("©", "Ċ"), (".", "Ċ")])
 
 
+def test_few_stretches_go_through_the_whole_library(library):
+    with open(PATH, encoding="utf-8") as file:
+        coder = ByteBpe(file.read(), remembered=20_000)
+    sent, model, whole = [], coder.library.model, coder.library.encode_batch_fast
+    coder.library = SimpleNamespace(model=model, encode_batch_fast=lambda s, **k: sent.extend(s) or whole(s, **k))
+    rng = random.Random(8)
+    ends = ["é###", "à.\nÉ", "ß,", "ç1", "!ñ", "ÿ\nɏ.", "À", "&&&"]
+    words = ["".join(rng.choices("abcdeéàñW", k=6)) + rng.choice(ends) for _ in range(4000)]
+    odd = ["ª", "aº", "×", "÷a", "ɐ", "a's", "½", "…"]
+    for _ in range(2):
+        texts = [" ".join(rng.sample(words, 60) + rng.sample(odd, 2) + ["end"]) for _ in range(300)]
+        for text, packed in zip(texts, coder.encode([t.encode() for t in texts]), strict=True):
+            assert np.frombuffer(packed, coder.kind).tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+    # beside first words only those that the straight way leaves, though the memory is full
+    assert {s for s in sent if s.startswith(" ")} == {" " + s for s in odd} and len(sent) < 700
+
+
+def test_texts_are_taken_by_their_bytes(monkeypatch):
+    monkeypatch.setattr(packing, "TEXT_BYTES", 100)
+    texts = ["x" * n for n in (30, 30, 30, 30, 250, 0, 5, 99, 1)] + [None, "é" * 60]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    slices = [part.column(0).to_pylist() for part in packing._slices(batch)]
+    assert sum(slices, []) == list(range(len(texts)))
+    assert len(slices) > 3 and all(sum(len((texts[k] or "").encode()) for k in part[1:]) <= 100 for part in slices)
+    assert packing._slices(batch.slice(0, 0)) in ([], [batch.slice(0, 0)])
+
+
 def checked(rows, capacity):
     """Every sequence gapless from 0 and within its capacity."""
     by_sequence = {}
